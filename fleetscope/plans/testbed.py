@@ -17,6 +17,9 @@ from fleetscope.operators import (
     classify, config, counters, dims, forest, indexes, memory, reshape, samples, sessions, storage, topk,
 )
 from fleetscope.operators.topk import Measure
+from fleetscope.session import mounted_path, shared_folder
+from fleetscope.sources import bundles, sinks
+from fleetscope.streaming import load as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -770,7 +773,7 @@ def low_density_groups(spark, folder):
     sizes = lines.groupBy(F.col("l_partkey").alias("obj#")).agg(F.count(F.lit(1)).alias("n"))
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("obj#"), "p_size")
     index = parts.join(sizes, "obj#").select(
-        "obj#", F.col("obj#").alias("bo#"), (F.col("n") * 100).alias("rowcnt"),
+        "obj#", F.col("obj#").alias("bo#"), (F.col("n") * 10).alias("rowcnt"),
         (F.col("p_size").cast("bigint") + 1).alias("leafcnt"),
         F.lit(2).alias("initrans"), (F.col("p_size") % 20).alias("pctfree$"),
         F.when(F.col("p_size") % 3 == 0, 2).otherwise(1).alias("type#"))
@@ -880,3 +883,62 @@ def fixed_width_text(spark, folder):
         numbers.number_text(F.col("c_acctbal"), 3, 2).alias("narrow"),
         numbers.number_text(F.col("c_acctbal") / 10, 3, leading_zero=True).alias("whole"),
         concat_nn(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.lit(":"), F.col("c_mktsegment")).alias("joined"))
+
+
+# ---------------------------------------------------------------- sections, bundles, streams
+
+
+def sections_with_bundles(spark, folder) -> dict[str, DataFrame]:
+    """Two sections of several bundles."""
+    redo = group_member_join(spark, folder)
+    bundle = F.concat(F.lit("db"), F.col("thread_id").cast("string"))
+    groups = table(spark, folder, "nation").select(
+        F.concat(F.lit("db"), text("n_regionkey")).alias("bundle_id"), F.col("n_nationkey").alias("con_id"),
+        F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "READ, \"WRITE\"").alias("open_mode"))
+    return {"redo-log": redo.withColumn("bundle_id", bundle), "pdb-info": groups}
+
+
+@query
+def bundle_roundtrip(spark, folder):
+    """Sections to bundles and back. Without a mounted shared folder, sections take CSV folders instead."""
+    sections = sections_with_bundles(spark, folder)
+    out = shared_folder(spark, "bundles")
+    mounted = mounted_path(out)
+    if mounted is None:
+        sinks.write_sections(sections, out, "csv")
+        return sinks.read_section(spark, out, "redo-log", "csv")
+    written = bundles.write_bundles(sections, mounted)
+    written.write.mode("overwrite").parquet(f"{out}/written")
+    return bundles.read_bundle_section(spark, out, "redo-log")
+
+
+@query
+def section_csv_roundtrip(spark, folder):
+    out = shared_folder(spark, "sections")
+    sinks.write_sections(sections_with_bundles(spark, folder), out, "csv")
+    return sinks.read_section(spark, out, "pdb-info", "csv")
+
+
+def event_stream(spark, folder) -> DataFrame:
+    schema = table(spark, folder, "events").schema
+    return streams.sample_stream(spark, folder, schema, "events.parquet")
+
+
+@query
+def load_peak_stream(spark, folder):
+    """Streaming peak load per ten minutes; buckets the watermark has not passed stay open."""
+    rows = event_stream(spark, folder).withColumnRenamed("event_type", "con_id").select("con_id", "ts")
+    out = shared_folder(spark, "stream")
+    streams.run_available(streams.peak_load_stream(rows, ts="ts"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query
+def active_by_state_stream(spark, folder):
+    rows = event_stream(spark, folder).withColumn("con_id", (F.col("user_id") % 3).cast("int"))
+    counted = streams.active_by_state_stream(
+        rows, ts="ts", state=classify.first_match(F.col("event_type"), EVENT_STATES, "WAIT"),
+        foreground=F.col("event_type") != "signup")
+    out = shared_folder(spark, "stream")
+    streams.run_available(counted, f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows")

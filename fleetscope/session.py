@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """New folder name below the checkpoint folder, for tables that one job writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def mounted_path(folder: str) -> str | None:
+    """The folder as a plain path if it is on a file system, else None (object store, HDFS)."""
+    if folder.startswith("file:"):
+        return "/" + folder.removeprefix("file:").lstrip("/")
+    return folder if folder.startswith("/") else None

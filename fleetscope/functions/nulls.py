@@ -24,8 +24,5 @@ def substr_nn(text: Column, start: Column, length: Column) -> Column:
 
 
 def try_ratio(numerator: Column, denominator: Column) -> Column:
-    """Decimal quotient with 14 places, NULL for a zero divisor.
-
-    Decimals make sums of quotients independent of the order in which tasks deliver them.
-    """
-    return F.try_divide(numerator.cast("decimal(24,4)"), denominator.cast("decimal(24,4)"))
+    """Quotient as a double, NULL for a zero divisor."""
+    return F.try_divide(numerator.cast("double"), denominator.cast("double"))

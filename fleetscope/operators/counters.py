@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetscope.functions.times import minute_label
 from fleetscope.operators.ordered import (
-    SERIES, SLICE, fill_forward, lead_within, next_head, slice_heads, with_slices,
+    SERIES_KEY, SLICE_KEY, fill_forward, lead_within, next_head, slice_heads, with_slices,
 )
+from fleetscope.session import checkpointed
 
 SERIES_KEYS = ("con_id", "dbid", "instance_number", "stat_name")
 # Snapshots per slice. A series has one row per snapshot, so this bounds every window group.
@@ -99,14 +100,18 @@ def counter_deltas(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, order
     """
     delta = f"{value}_delta"
     slice_expr = F.floor(F.col(order) / slice_snapshots)
-    cut = with_slices(totals, series, slice_expr).withColumn("_place", F.struct(order, *ties))
-    whole = W.partitionBy(SERIES)
-    borders = slice_heads(cut, "_place", value, *_moments(cut, value)).select(
-        SERIES, SLICE, next_head().alias("_border"), _series_variance(whole).alias("waits_var")
+    cut = with_slices(totals, series, slice_expr)
+    place = order
+    if ties:
+        place = "_place"
+        cut = cut.withColumn(place, F.struct(order, *ties))
+    whole = W.partitionBy(*SERIES_KEY)
+    borders = slice_heads(cut, place, value, *_moments(cut, value)).select(
+        *SLICE_KEY, next_head().alias("_border"), _series_variance(whole).alias("waits_var")
     )
     if not keep_constant:
         borders = borders.filter(F.col("waits_var") != 0)
-    joined = lead_within(cut, "_place", value).join(borders, [SERIES, SLICE])
+    joined = lead_within(cut, place, value).join(borders, list(SLICE_KEY))
     following = F.when(F.col("_inside"), F.col("_next")).otherwise(F.col("_border"))
     change = following - F.col(value)
     if on_reset == "null":
@@ -119,6 +124,8 @@ def counter_deltas(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, order
     )
     if not fill_last:
         return out
+    if not ties:
+        return fill_forward(out, series, order, delta, slice_expr)
     placed = out.withColumn("_place", F.struct(order, *ties))
     return fill_forward(placed, series, "_place", delta, slice_expr).drop("_place")
 
@@ -138,24 +145,40 @@ def counter_history(facts: DataFrame, snapshots: DataFrame, begin, end, value: s
     return counter_deltas(totals, [*series, *extra], **delta_options)
 
 
-def series_scores(history: DataFrame, tenant: Sequence[str] = ("con_id",),
+def series_variance(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, value: str = "wait_time") -> DataFrame:
+    """(series, row_count, waits_var) of every series that is not constant: one aggregation, no window."""
+    parts = totals.groupBy(*series).agg(F.count(F.lit(1)).alias("row_count"), *_moments(totals, value))
+    exact = F.try_subtract(
+        F.try_multiply(F.col("_n").cast("decimal(20,0)"), F.col("_s2")), F.try_multiply(F.col("_s1"), F.col("_s1"))
+    ).cast("double") / (F.col("_n") * (F.col("_n") - 1)).cast("double")
+    plain = F.col("_spread") * F.col("_n") / (F.col("_n") - 1)
+    varied = parts.filter((F.col("_n") > 1) & (F.col("_low") != F.col("_high")))
+    return varied.select(*series, "row_count", F.coalesce(exact, plain).alias("waits_var"))
+
+
+def series_scores(variances: DataFrame, tenant: Sequence[str] = ("con_id",),
                   series: Sequence[str] = ("stat_name", "instance_number"), score: str = "waits_var") -> DataFrame:
-    """Mean of ``score`` per series; decimal sums keep equal series equal."""
-    value = F.col(score).cast("decimal(38,4)")
-    mean = F.sum(value).cast("double") / F.count(score)
-    return history.groupBy(*tenant, *series).agg(mean.alias("score"))
+    """Mean of ``score`` over the rows of a charted series; decimals keep equal series equal.
 
+    A charted series may consist of several stored ones (latch levels), each weighted by its rows.
+    """
+    weighted = F.sum(F.col(score).cast("decimal(38,4)") * F.col("row_count"))
+    mean = weighted.cast("double") / F.sum("row_count")
+    return variances.groupBy(*tenant, *series).agg(mean.alias("score"))
 
-def top_series(history: DataFrame, tenant: Sequence[str] = ("con_id",),
+
+def top_series(variances: DataFrame, tenant: Sequence[str] = ("con_id",),
                series: Sequence[str] = ("stat_name", "instance_number"), k: int = 15,
                include: Sequence[str] = (), exclude: DataFrame | None = None,
                stat: str = "stat_name", exclude_column: str = "name") -> DataFrame:
     """The ``k`` series of largest mean variance per tenant, with their ``series_rank``.
 
+    ``variances`` comes from ``series_variance``: ranking needs no deltas.
+
     ``exclude`` (for example the idle events) is removed before ranking. ``include`` lists stats
     that stay whatever their rank; they take the ranks after the first ``k``.
     """
-    scores = series_scores(history, tenant, series)
+    scores = series_scores(variances, tenant, series)
     if exclude is not None:
         names = exclude.select(F.col(exclude_column).alias(stat)).distinct()
         scores = scores.join(names, stat, "left_anti")
@@ -175,12 +198,26 @@ def series_label(stat: str = "stat_name", instance: str = "instance_number") ->
     return F.concat(F.col(stat), F.lit("@"), F.col(instance).cast("string"))
 
 
-def series_points(history: DataFrame, chosen: DataFrame, tenant: Sequence[str] = ("con_id",),
-                  series: Sequence[str] = ("stat_name", "instance_number")) -> DataFrame:
-    """Rows of the chosen series, with rank and label."""
-    return history.join(chosen.drop("score"), [*tenant, *series]).withColumn(
-        "series", series_label(series[0], series[1])
-    ).withColumn("time_label", minute_label(F.col("begin_interval_time")))
+def only_series(facts: DataFrame, chosen: DataFrame, tenant: Sequence[str] = ("con_id",),
+                series: Sequence[str] = ("stat_name", "instance_number")) -> DataFrame:
+    """Facts of the chosen series, so that a second pass sums and sorts little."""
+    return facts.join(chosen.select(*tenant, *series), [*tenant, *series], "left_semi")
+
+
+def series_points(totals: DataFrame, chosen: DataFrame, tenant: Sequence[str] = ("con_id",),
+                  series: Sequence[str] = ("stat_name", "instance_number"),
+                  keys: Sequence[str] = SERIES_KEYS, **delta_options) -> DataFrame:
+    """Deltas of the chosen series only, with rank and label.
+
+    Rows of other series leave before the windows, so these see at most the charted series; facts
+    cut by ``only_series`` before their sum spare the sum too.
+    """
+    names = chosen.select(*tenant, *series, "series_rank")
+    kept = totals.join(names, [*tenant, *series]).select(*totals.columns, "series_rank")
+    points = counter_deltas(kept, keys, **delta_options)
+    return points.withColumn("series", series_label(series[0], series[1])).withColumn(
+        "time_label", minute_label(F.col("begin_interval_time"))
+    )
 
 
 def series_matrix(points: DataFrame, slots: int, index: Sequence[str] = ("con_id", "begin_interval_time"),
@@ -246,24 +283,45 @@ COUNTER_REPORTS = {
 }
 
 
-def counter_report(name: str, history: DataFrame, snapshots: DataFrame, begin, end,
-                   keys: Sequence[str] = ("con_id",), **options) -> DataFrame:
-    """Run one of ``COUNTER_REPORTS`` on its history table; the stat column becomes ``stat_name``."""
+def report_totals(name: str, history: DataFrame, snapshots: DataFrame, begin, end, keys: Sequence[str] = ("con_id",),
+                  snap_keys: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Totals and series keys of one of ``COUNTER_REPORTS``; the stat column becomes ``stat_name``."""
     spec = COUNTER_REPORTS[name]
     facts = history.withColumn("stat_name", F.col(spec.stat))
     series = [*keys, "dbid", "instance_number", "stat_name"]
-    snap_keys = [*(k for k in keys if k == "bundle_id"), "dbid", "snap_id"]
+    link = snap_keys or [*(k for k in keys if k == "bundle_id"), "dbid", "snap_id"]
+    totals = counter_totals(facts, snapshots, begin, end, spec.value, series, link, spec.extra)
+    return totals, series
+
+
+def counter_report(name: str, history: DataFrame, snapshots: DataFrame, begin, end, keys: Sequence[str] = ("con_id",),
+                   snap_keys: Sequence[str] | None = None, mix_extra: bool = False, **options) -> DataFrame:
+    """Run one of ``COUNTER_REPORTS`` on its history table: all series with deltas and variance."""
+    spec = COUNTER_REPORTS[name]
+    totals, series = report_totals(name, history, snapshots, begin, end, keys, snap_keys)
     options.setdefault("var_round", spec.var_round)
-    return counter_history(facts, snapshots, begin, end, spec.value, series, options.pop("snap_keys", snap_keys),
-                           spec.extra, **options)
+    if mix_extra:
+        return counter_deltas(totals, series, ties=spec.extra, **options)
+    return counter_deltas(totals, [*series, *spec.extra], **options)
 
 
-def counter_chart(name: str, report: DataFrame, event_classes: DataFrame | None = None,
-                  tenant: Sequence[str] = ("con_id",), k: int = 15) -> tuple[DataFrame, DataFrame]:
-    """Points and chosen series of a counter report, as its chart shows them."""
+def counter_chart(name: str, history: DataFrame, snapshots: DataFrame, begin, end, keys: Sequence[str] = ("con_id",),
+                  snap_keys: Sequence[str] | None = None, event_classes: DataFrame | None = None, k: int = 15,
+                  **options) -> tuple[DataFrame, DataFrame]:
+    """Points and chosen series of a counter report, as its chart shows them.
+
+    Series are ranked by variance first; only the chosen ones get deltas, the last one filled. The
+    ranking runs at once and its few rows are kept in the checkpoint folder, because both the
+    second pass over the facts and the result use them.
+    """
     spec = COUNTER_REPORTS[name]
+    totals, series = report_totals(name, history, snapshots, begin, end, keys, snap_keys)
+    stored = [*series, *spec.extra]
     idle = None
     if spec.skip_idle and event_classes is not None:
         idle = event_classes.filter(F.col("wait_class") == "Idle")
-    chosen = top_series(report, tenant, k=k, include=spec.include, exclude=idle)
-    return series_points(report, chosen, tenant), chosen
+    chosen = checkpointed(top_series(series_variance(totals, stored), keys, k=k, include=spec.include, exclude=idle))
+    options.setdefault("fill_last", True)
+    few = only_series(history.withColumn("stat_name", F.col(spec.stat)), chosen, keys).drop("stat_name")
+    again, _ = report_totals(name, few, snapshots, begin, end, keys, snap_keys)
+    return series_points(again, chosen, keys, keys=stored, **options), chosen

@@ -14,23 +14,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SERIES = "_series"
-SLICE = "_slice"
+HASH, SERIES, SLICE = "_hash", "_series", "_slice"
+# The hash leads every sort: sorting compares one number before it compares a struct.
+SERIES_KEY = (HASH, SERIES)
+SLICE_KEY = (HASH, SERIES, SLICE)
 
 
 def with_slices(df: DataFrame, series: Sequence[str], slice_expr: Column) -> DataFrame:
-    """Add the series struct and the slice number."""
-    return df.withColumn(SERIES, F.struct(*series)).withColumn(SLICE, slice_expr)
+    """Add the series struct, its hash and the slice number."""
+    return df.withColumns({HASH: F.xxhash64(*series), SERIES: F.struct(*series), SLICE: slice_expr})
 
 
 def slice_heads(df: DataFrame, order: str, value: str, *more: Column) -> DataFrame:
     """Per (series, slice): the first value in ``order``, plus further aggregates."""
-    return df.groupBy(SERIES, SLICE).agg(F.min_by(value, order).alias("_head"), *more)
+    return df.groupBy(*SLICE_KEY).agg(F.min_by(value, order).alias("_head"), *more)
 
 
 def lead_within(df: DataFrame, order: str, value: str) -> DataFrame:
     """Add ``_next`` and ``_inside``: the next value, and whether it lies in the same slice."""
-    window = W.partitionBy(SERIES, SLICE).orderBy(F.col(order).asc_nulls_last())
+    window = W.partitionBy(*SLICE_KEY).orderBy(F.col(order).asc_nulls_last())
     return df.withColumn("_next", F.lead(value).over(window)).withColumn(
         "_inside", F.lead(F.lit(True)).over(window)
     )
@@ -38,7 +40,7 @@ def lead_within(df: DataFrame, order: str, value: str) -> DataFrame:
 
 def next_head() -> Column:
     """First value of the following slice, over the table of heads."""
-    return F.lead("_head").over(W.partitionBy(SERIES).orderBy(SLICE))
+    return F.lead("_head").over(W.partitionBy(*SERIES_KEY).orderBy(SLICE))
 
 
 def next_value(df: DataFrame, series: Sequence[str], order: str, value: str, alias: str,
@@ -48,8 +50,8 @@ def next_value(df: DataFrame, series: Sequence[str], order: str, value: str, ali
         window = W.partitionBy(*series).orderBy(F.col(order).asc_nulls_last())
         return df.withColumn(alias, F.lead(value).over(window))
     cut = with_slices(df, series, slice_expr)
-    border = slice_heads(cut, order, value).select(SERIES, SLICE, next_head().alias("_border"))
-    joined = lead_within(cut, order, value).join(border, [SERIES, SLICE])
+    border = slice_heads(cut, order, value).select(*SLICE_KEY, next_head().alias("_border"))
+    joined = lead_within(cut, order, value).join(border, list(SLICE_KEY))
     filled = joined.withColumn(alias, F.when(F.col("_inside"), F.col("_next")).otherwise(F.col("_border")))
     return filled.select(*df.columns, alias)
 
@@ -62,11 +64,11 @@ def fill_forward(df: DataFrame, series: Sequence[str], order: str, column: str,
         window = W.partitionBy(*series).orderBy(by_order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(column, F.last(column, ignorenulls=True).over(window))
     cut = with_slices(df, series, slice_expr)
-    tails = cut.groupBy(SERIES, SLICE).agg(
+    tails = cut.groupBy(*SLICE_KEY).agg(
         F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_tail")
     )
-    before = W.partitionBy(SERIES).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    border = tails.select(SERIES, SLICE, F.last("_tail", ignorenulls=True).over(before).alias("_border"))
-    window = W.partitionBy(SERIES, SLICE).orderBy(by_order).rowsBetween(W.unboundedPreceding, 0)
-    inner = cut.withColumn("_own", F.last(column, ignorenulls=True).over(window)).join(border, [SERIES, SLICE])
+    before = W.partitionBy(*SERIES_KEY).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    border = tails.select(*SLICE_KEY, F.last("_tail", ignorenulls=True).over(before).alias("_border"))
+    window = W.partitionBy(*SLICE_KEY).orderBy(by_order).rowsBetween(W.unboundedPreceding, 0)
+    inner = cut.withColumn("_own", F.last(column, ignorenulls=True).over(window)).join(border, list(SLICE_KEY))
     return inner.withColumn(column, F.coalesce("_own", "_border")).select(*df.columns)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetscope.functions.nulls import try_ratio
+from fleetscope.operators.dims import with_value
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,20 @@ STATEMENT_MEASURES = {
 }
 
 
+# Places kept of a sum of quotients: below the noise that the order of addition leaves.
+RATIO_PLACES = 6
+
+
+def measure_sum(measure: Measure, executions: str | None = None) -> Column:
+    """Summed measure; with ``executions`` only rows that pass the guard count.
+
+    Quotients are added as doubles and rounded, so that equal sums stay equal whatever order tasks
+    deliver them in, and ties fall to the tie-break columns.
+    """
+    value = measure.value() if executions is None else F.when(measure.guard(executions), measure.value())
+    return F.sum(value) if measure.per is None else F.round(F.sum(value), RATIO_PLACES)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], value: str, k: int, ties: Sequence[str] = (),
                   rank: str = "count_sql") -> DataFrame:
     """First ``k`` rows of each group by ``value`` descending, ``ties`` ascending after it.
@@ -86,26 +101,50 @@ def topk_statements(statements: DataFrame, measure: Measure, keys: Sequence[str]
     summed = (
         statements.filter(measure.guard(executions))
         .groupBy(*keys, *item)
-        .agg(F.sum(measure.value()).alias("value"))
+        .agg(measure_sum(measure).alias("value"))
     )
     return top_per_group(summed, keys, "value", k, item) if keys else top_overall(summed, "value", k, item)
 
 
 def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tuple(STATEMENT_MEASURES.values()),
                         keys: Sequence[str] = ("con_id",), item: Sequence[str] = ("sql_id", "sql_text"),
-                        executions: str = "executions", k: int = 5) -> DataFrame:
-    """All measures from one scan and one aggregation: rows (measure, tenant, statement, value, rank)."""
+                        executions: str = "executions", k: int = 5, buckets: int = 64) -> DataFrame:
+    """All measures from one scan and one aggregation: rows (measure, tenant, statement, value, rank).
+
+    Ranking every statement under every measure would sort (statements x measures) rows. Instead
+    statements are hashed into ``buckets``; the ``k``-th largest bucket maximum of a measure is
+    a value that at least ``k`` statements reach, so smaller ones cannot be among the first ``k``.
+    Only statements at or above it, a few per tenant and measure, become long rows and are ranked.
+    """
     chosen = list(measures)
-    sums = [
-        F.sum(F.when(m.guard(executions), m.value().cast("decimal(38,14)"))).alias(m.name) for m in chosen
-    ]
-    tall = (
-        statements.filter(F.col(executions) > 0)
-        .groupBy(*keys, *item)
-        .agg(*sums)
-        .unpivot([*keys, *item], [m.name for m in chosen], "measure", "value")
-        .filter(F.col("value").isNotNull())
+    names = [m.name for m in chosen]
+    sums = [measure_sum(m, executions).alias(m.name) for m in chosen]
+    summed = statements.filter(F.col(executions) > 0).groupBy(*keys, *item).agg(*sums)
+    maxima = (
+        summed.groupBy(*keys, F.pmod(F.xxhash64(*item), F.lit(buckets)).alias("_bucket"))
+        .agg(*[F.max(f"`{n}`").alias(n) for n in names])
+        .groupBy(*keys)
+        .agg(*[F.sort_array(F.collect_list(f"`{n}`"), asc=False).alias(n) for n in names])
+    )
+    # A missing k-th maximum gives NULL: the tenant has few statements, all of them stay.
+    bounds = maxima.select(
+        *[F.col(c).alias(f"_of_{c}") for c in keys],
+        F.array(*[F.get(f"`{n}`", F.lit(k - 1)).cast("double") for n in names]).alias("_bounds"),
     )
+    if keys:
+        # NULL-safe, so that both sides read one shuffle of the sums: no side gets a NULL filter.
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+        joined = summed.join(bounds, same, "left")
+    else:
+        joined = with_value(summed, bounds, "_bounds", "_bounds", required=False)
+    entries = [
+        F.when(
+            F.col(f"`{n}`").cast("double") >= F.coalesce(F.col("_bounds")[i], F.lit(float("-inf"))),
+            F.struct(F.lit(n).alias("measure"), F.col(f"`{n}`").cast("decimal(38,6)").alias("value")),
+        )
+        for i, n in enumerate(names)
+    ]
+    tall = joined.select(*keys, *item, F.inline(F.array_compact(F.array(*entries))))
     return top_per_group(tall, ["measure", *keys], "value", k, item)
 
 

@@ -17,7 +17,7 @@ from fleetscope.operators import (
     classify, config, counters, dims, forest, indexes, memory, reshape, samples, sessions, storage, topk,
 )
 from fleetscope.operators.topk import Measure
-from fleetscope.session import mounted_path, shared_folder
+from fleetscope.session import checkpointed, mounted_path, shared_folder
 from fleetscope.sources import bundles, sinks
 from fleetscope.streaming import load as streams
 
@@ -101,7 +101,7 @@ def topk_ratio_per_tenant(spark, folder):
         F.col("l_extendedprice").alias("price"), whole("l_quantity").alias("executions"),
     )
     found = topk.topk_statements(lines, Measure("unit price", "price", "executions"), item=["sql_id"])
-    return as_double(found, "value", 4)
+    return as_double(found, "value")
 
 
 @query
@@ -111,12 +111,12 @@ def topk_multi_measure(spark, folder):
         Measure("discount", "disk_reads"), Measure("price per line", "sharable_mem", "executions"),
     ]
     found = topk.topk_statements_all(statements(spark, folder), chosen, item=["sql_id"])
-    return as_double(found, "value", 4)
+    return as_double(found, "value")
 
 
 @query
 def topk_all_statement_measures(spark, folder):
-    return as_double(topk.topk_statements_all(statements(spark, folder)), "value", 4)
+    return as_double(topk.topk_statements_all(statements(spark, folder)), "value")
 
 
 @query
@@ -199,8 +199,12 @@ def history(spark, folder, facts: DataFrame, begin: str = LINES_BEGIN, end: str
     return counters.counter_history(facts, month_snapshots(spark, folder), begin, end, **options)
 
 
-def supplier_history(spark, folder) -> DataFrame:
-    return history(spark, folder, by_supplier(spark, folder))
+def supplier_totals(spark, folder) -> DataFrame:
+    return counters.counter_totals(by_supplier(spark, folder), month_snapshots(spark, folder), LINES_BEGIN, LINES_END)
+
+
+def supplier_top(spark, folder, **options) -> DataFrame:
+    return counters.top_series(counters.series_variance(supplier_totals(spark, folder)), **options)
 
 
 @query
@@ -262,7 +266,7 @@ def counter_ffill(spark, folder):
 
 @query
 def counter_top15_series(spark, folder):
-    return as_double(counters.top_series(supplier_history(spark, folder)), "score", 2)
+    return as_double(supplier_top(spark, folder), "score", 2)
 
 
 @query
@@ -271,20 +275,20 @@ def counter_include_exclude(spark, folder):
         text("s_suppkey").alias("name"), F.when(F.col("s_acctbal") < 0, "Idle").otherwise("Other").alias("wait_class")
     )
     idle = events.filter(F.col("wait_class") == "Idle")
-    chosen = counters.top_series(supplier_history(spark, folder), include=["1", "2", "3"], exclude=idle)
-    return as_double(chosen, "score", 2)
+    return as_double(supplier_top(spark, folder, include=["1", "2", "3"], exclude=idle), "score", 2)
 
 
 @query
 def counter_pivot(spark, folder):
-    rows = supplier_history(spark, folder)
-    chosen = counters.top_series(rows)
-    return counters.series_matrix(counters.series_points(rows, chosen), 15)
+    chosen = checkpointed(supplier_top(spark, folder))
+    few = counters.only_series(by_supplier(spark, folder), chosen)
+    totals = counters.counter_totals(few, month_snapshots(spark, folder), LINES_BEGIN, LINES_END)
+    return counters.series_matrix(counters.series_points(totals, chosen), 15)
 
 
 @query
 def counter_legend(spark, folder):
-    return counters.series_legend(counters.top_series(supplier_history(spark, folder)))
+    return counters.series_legend(supplier_top(spark, folder))
 
 
 @query
@@ -304,8 +308,7 @@ def gauge_history(spark, folder):
         "begin_interval_time",
         (F.col("begin_interval_time") + F.make_ym_interval(F.lit(0), F.lit(1))).alias("end_interval_time"),
     )
-    report = counters.counter_report("awr-sga-stat", facts, snaps, LINES_BEGIN, LINES_END)
-    points, _ = counters.counter_chart("awr-sga-stat", report)
+    points, _ = counters.counter_chart("awr-sga-stat", facts, snaps, LINES_BEGIN, LINES_END)
     return points.select("con_id", "series", "time_label", "begin_interval_time", "wait_time")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetscope.functions.nulls import concat_nn
 from fleetscope.operators.dims import filter_equal, with_value
 from fleetscope.operators.forest import forest, with_children_only
+from fleetscope.operators.topk import top_overall, top_per_group
 
 INT_COLUMNS = ["inst_id", "sid", "blocking_instance", "blocking_session", "serial#"]
 BLOCKER_COLUMNS = ["blocking_instance", "blocking_session"]
@@ -30,8 +31,6 @@ def top_groups(df: DataFrame, keys: Sequence[str], k: int = 10, within: Sequence
 
     ``within`` ranks inside each of its groups (one chart per bundle) instead of overall.
     """
-    from fleetscope.operators.topk import top_overall, top_per_group
-
     counted = df.dropna(subset=list(keys)).groupBy(*within, *keys).agg(F.count(F.lit(1)).alias("cnt"))
     if within:
         return top_per_group(counted, within, "cnt", k, keys, rank="place")
@@ -74,11 +73,10 @@ def blocking_forest(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def open_transactions(transactions: DataFrame, undo_segments: DataFrame, sessions: DataFrame, parameter: DataFrame,
                       keys: Sequence[str] = ("con_id",), link: Sequence[str] = (), kb: float = 1024) -> DataFrame:
     """Uncommitted transactions with session, undo segment and undo KB."""
-    block = parameter.filter(F.col("name") == "db_block_size").select(
-        *link, F.col("value").cast("bigint").alias("value")
+    # Instances of one database share the block size.
+    block = parameter.filter(F.col("name") == "db_block_size").groupBy(*link).agg(
+        F.max(F.col("value").cast("bigint")).alias("value")
     )
-    if link:
-        block = block.dropDuplicates(list(link))
     tx = transactions.select(*link, "ses_addr", "xidusn", "start_time", "ubafil", "ubablk", "status", "used_ublk",
                              "used_urec")
     undo = undo_segments.select(*link, F.col("usn").alias("xidusn"), F.col("name").alias("undo_name"))

@@ -33,7 +33,8 @@ CELLS = pa.schema([
 CELLS_DDL = "bundle_id STRING, section STRING, row_no BIGINT, cells MAP<STRING, STRING>"
 CSV_OPTIONS = {
     "quoteAll": "true", "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSS",
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSS",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSS", "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 

@@ -6,12 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetscope.sources.bundles import CSV_OPTIONS
 from fleetscope.sources.schemas import schema_of
 
-CSV_WRITE = {
-    "header": "true", "compression": "gzip", "escape": '"', "quoteAll": "true",
-    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSS",
-}
+CSV_WRITE = {**CSV_OPTIONS, "header": "true", "compression": "gzip"}
 
 
 def write_section(df: DataFrame, folder: str, section: str, fmt: str = "parquet") -> None:

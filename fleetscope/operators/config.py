@@ -10,7 +10,9 @@ from fleetscope.functions.labels import project_existing
 from fleetscope.functions.nulls import concat_nn
 from fleetscope.functions.numbers import number_text
 from fleetscope.functions.times import days, interval_seconds, ntz, seconds_between
-from fleetscope.operators.dims import at_latest, equal_to_value, filter_equal, with_value
+from fleetscope.operators.dims import (
+    at_latest, equal_to_value, filter_equal, left_join_many, sorted_by, with_value,
+)
 from fleetscope.operators.reshape import metric_rows, settings_rows
 
 
@@ -24,11 +26,11 @@ def patch_text(*columns: str) -> Column:
 
 def patch_history(registry: DataFrame, latest_only: bool = False, keys: Sequence[str] = (),
                   fields: Sequence[str] = ("action", "namespace", "version", "id", "comments"),
-                  at: str = "action_time") -> DataFrame:
+                  at: str = "action_time", ordered: bool = True) -> DataFrame:
     """Patch actions, newest first; ``latest_only`` keeps those of the newest moment."""
     rows = at_latest(registry, at, keys) if latest_only else registry
     shown = rows.select(*keys, at, patch_text(*fields).alias("patch_info"))
-    return shown.orderBy(F.col(at).desc_nulls_first(), "patch_info")
+    return sorted_by(shown, F.col(at).desc_nulls_first(), ordered=ordered)
 
 
 def log_paths(instances: DataFrame, diag_info: DataFrame, link: Sequence[str] = (),
@@ -52,12 +54,14 @@ def archive_destinations(destinations: DataFrame, instances: DataFrame, database
 
 
 def backup_history(operations: DataFrame, as_of, pattern: str = "BACKUP%", keys: Sequence[str] = (),
-                   operation: str = "operation", start: str = "start_time", end: str = "end_time") -> DataFrame:
+                   operation: str = "operation", start: str = "start_time", end: str = "end_time",
+                   ordered: bool = True) -> DataFrame:
     """Backup operations by start, with their elapsed time; a running one counts up to ``as_of``."""
     wanted = [*keys, operation, *[c for c in ("object_type", "status") if c in operations.columns], start, end]
     rows = operations.filter(F.col(operation).like(pattern)).select(*wanted)
     closed = rows.withColumn(end, F.coalesce(F.col(end), F.lit(as_of).cast(operations.schema[end].dataType)))
-    return closed.withColumn("elapsed", F.col(end) - F.col(start)).orderBy(F.col(start).asc_nulls_last())
+    timed = closed.withColumn("elapsed", F.col(end) - F.col(start))
+    return sorted_by(timed, F.col(start).asc_nulls_last(), ordered=ordered)
 
 
 def changed_parameters(parameters: DataFrame, instances: DataFrame, numeric: bool, link: Sequence[str] = (),
@@ -84,14 +88,14 @@ def expiring_users(users: DataFrame, as_of: str, horizon_days: float = 30, keys:
     return rows.select(*keys, "username", seconds_between(now, ntz(F.col(expiry))).alias("expiring_secs"))
 
 
-def user_roles(users: DataFrame, grants: DataFrame, keys: Sequence[str] = ("con_id",)) -> DataFrame:
+def user_roles(users: DataFrame, grants: DataFrame, keys: Sequence[str] = ("con_id",),
+               ordered: bool = True) -> DataFrame:
     """Users with their roles; a user without roles keeps one row with empty texts."""
     roles = grants.withColumnRenamed("grantee", "username").select(*keys, "username", "granted_role", "default_role")
-    joined = users.select(*keys, "username", "default_tablespace", "temporary_tablespace").join(
-        roles, [*keys, "username"], "left"
-    )
+    named = users.select(*keys, "username", "default_tablespace", "temporary_tablespace")
     texts = ["default_tablespace", "temporary_tablespace", "granted_role", "default_role"]
-    return joined.na.fill("", texts).orderBy(*keys, "username")
+    joined = left_join_many(named, roles, [*keys, "username"]).na.fill("", texts)
+    return sorted_by(joined, *keys, "username", ordered=ordered)
 
 
 def cursor_efficiency(statname: DataFrame, sesstat: DataFrame, parameter: DataFrame,
@@ -169,12 +173,13 @@ def event_classes(event_names: DataFrame, columns: Sequence[str] = ("name", "wai
     return event_names.select(*columns).distinct()
 
 
-def undo_statistics(undostat: DataFrame, as_of: str, span_days: float = 0.16, keys: Sequence[str] = ()) -> DataFrame:
+def undo_statistics(undostat: DataFrame, as_of: str, span_days: float = 0.16, keys: Sequence[str] = (),
+                    ordered: bool = True) -> DataFrame:
     """Undo statistics of the last ``span_days``, retention also in hours."""
     now = ntz(as_of)
     counters = ["unxpstealcnt", "expstealcnt", "ssolderrcnt", "nospaceerrcnt", "maxquerylen", "tuned_undoretention"]
     recent = undostat.filter(ntz(F.col("begin_time")).between(now - days(span_days), now))
-    return recent.orderBy(*keys, "inst_id", "begin_time").select(
+    return sorted_by(recent, *keys, "inst_id", "begin_time", ordered=ordered).select(
         *keys, "inst_id", F.date_format("begin_time", "MM/dd/yyyy HH:mm").alias("begin_time"), *counters,
         (F.col("tuned_undoretention") / 3600).alias("hours"),
     )

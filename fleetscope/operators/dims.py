@@ -66,6 +66,29 @@ def join_tenant(df: DataFrame, containers: DataFrame, keys: Sequence[str] = ("co
     return df.join(side, list(keys), "inner")
 
 
+def left_join_many(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left outer join in which one key may hold very many rows of the right side.
+
+    A left join cannot split a hot key of its right side over several tasks; an inner join can.
+    So matches come from an inner join and the rest from an anti join with the distinct keys.
+    """
+    matched = left.join(right, list(keys), "inner")
+    alone = left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
+def sorted_by(df: DataFrame, *order: Column | str, ordered: bool = True) -> DataFrame:
+    """Sort for display. The remaining columns break ties, so equal keys spread over partitions.
+
+    ``ordered=False`` leaves the global sort out where a report is stored, not shown.
+    """
+    if not ordered:
+        return df
+    named = {o for o in order if isinstance(o, str)}
+    ties = [f.name for f in df.schema.fields if f.name not in named and f.dataType.typeName() not in ("map", "variant")]
+    return df.orderBy(*order, *[F.col(f"`{c}`") for c in ties])
+
+
 def filter_equal(df: DataFrame, column: str, value: str | None, everything: str = "ALL") -> DataFrame:
     """Keep rows with ``column == value``; ``everything`` (any case) or None keeps all rows."""
     if value is None or value.upper() == everything.upper():

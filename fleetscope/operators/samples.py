@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetscope.functions.times import bucket_start
+from fleetscope.operators.dims import sorted_by
 
 
 def in_range(samples: DataFrame, ts: str, begin, end) -> DataFrame:
@@ -42,11 +43,11 @@ def ten_minute_text(bucket: Column) -> Column:
 
 
 def perf_load(sources: Sequence[DataFrame], begin, end, keys: Sequence[str] = ("con_id",),
-              ts: str = "sample_time") -> DataFrame:
+              ts: str = "sample_time", ordered: bool = True) -> DataFrame:
     """Peak concurrent active sessions per ten minutes, in the report's columns and order."""
     peaks = peak_load(sources, begin, end, keys, ts)
     shown = peaks.select(*keys, ten_minute_text(F.col("bucket")).alias("ten_min_timestr"), "sess_count")
-    return shown.orderBy(*keys, "ten_min_timestr")
+    return sorted_by(shown, *keys, "ten_min_timestr", ordered=ordered)
 
 
 def load_matrix(load: DataFrame, tenants: Sequence[str], index: str = "ten_min_timestr", name: str = "name",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetscope.functions.nulls import concat_nn
-from fleetscope.operators.dims import filter_equal, with_value
+from fleetscope.operators.dims import filter_equal, sorted_by, with_value
 from fleetscope.operators.forest import forest, with_children_only
 from fleetscope.operators.topk import top_overall, top_per_group
 
@@ -71,7 +71,8 @@ def blocking_forest(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def open_transactions(transactions: DataFrame, undo_segments: DataFrame, sessions: DataFrame, parameter: DataFrame,
-                      keys: Sequence[str] = ("con_id",), link: Sequence[str] = (), kb: float = 1024) -> DataFrame:
+                      keys: Sequence[str] = ("con_id",), link: Sequence[str] = (), kb: float = 1024,
+                      ordered: bool = True) -> DataFrame:
     """Uncommitted transactions with session, undo segment and undo KB."""
     # Instances of one database share the block size.
     block = parameter.filter(F.col("name") == "db_block_size").groupBy(*link).agg(
@@ -84,7 +85,8 @@ def open_transactions(transactions: DataFrame, undo_segments: DataFrame, session
                             F.col("saddr").alias("ses_addr"), F.col("status").alias("sess_status"))
     joined = tx.join(undo, [*link, "xidusn"]).join(owner, [*link, "ses_addr"])
     sized = with_value(joined, block, "value", "_block", link)
-    return sized.select(
+    shown = sized.select(
         *keys, "inst_id", "sid", "start_time", "username", "undo_name", "ubafil", "ubablk", "status", "sess_status",
         (F.col("used_ublk") * F.col("_block") / kb).alias("blk"), "used_urec",
-    ).orderBy(*(keys or ["inst_id"]))
+    )
+    return sorted_by(shown, *keys, "inst_id", "sid", ordered=ordered)

@@ -2,7 +2,8 @@
 
 Reading opens each archive on an executor, member after member, and emits rows in Arrow batches;
 columns are typed on the JVM. A gzip stream can only be read from its start, so one archive is one
-task. ``ingest_bundles`` therefore reads every archive once and stores all sections as Parquet.
+task. ``ingest_bundles`` therefore reads every archive once and stores all sections as Parquet, and
+``write_bundles`` cuts a large bundle into several archives of the same ``bundle_id``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import io
 import os
 import sys
 import tarfile
+import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
@@ -81,7 +83,7 @@ def bundle_cells(spark: SparkSession, path: str, sections: Iterable[str] | None
     """Rows (bundle_id, section, row_no, cells) of all bundles under ``path``; empty cells are absent."""
     wanted = None if sections is None else frozenset(sections)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path)
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).alias("bundle_id"), "content")
+    named = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.part-[^/]*)?\.tar\.gz$", 1).alias("bundle_id"), "content")
     return named.mapInArrow(_explode(wanted), CELLS_DDL)
 
 
@@ -132,23 +134,30 @@ def csv_header(df: DataFrame, skip: Iterable[str] = ("bundle_id",)) -> str:
     return ",".join(f'"{c}"' for c in df.columns if c not in set(skip))
 
 
-def section_lines(sections: Mapping[str, DataFrame]) -> DataFrame:
-    """All sections as text rows (bundle_id, section, place, size, line).
+def section_lines(sections: Mapping[str, DataFrame], part_bytes: int) -> DataFrame:
+    """All sections as text rows (bundle_id, part, section, place, size, line).
 
-    Place 0 is the CSV header with the member's size in bytes, place 1 a data line.
+    Place 0 is the CSV header with the member's size in bytes, place 1 a data line. Sections of up to
+    ``part_bytes`` share the bundle's archive (part ''); a larger one is cut by line hash into
+    slices, each a part of its own.
     """
     data = reduce(DataFrame.unionByName, [
         df.select("bundle_id", F.lit(name).alias("section"), csv_line(df).alias("line"))
         for name, df in sections.items()
     ])
+    member = ["bundle_id", "section"]
+    bytes_of = F.sum(F.octet_length("line") + 1)
+    slices = data.groupBy(*member).agg(F.ceil(bytes_of / part_bytes).cast("int").alias("slices"))
+    number = F.pmod(F.xxhash64("line"), F.col("slices"))
+    part = F.when(F.col("slices") > 1, F.concat_ws("-", F.lit(".part"), F.col("section"), number)).otherwise("")
+    placed = data.join(slices, member).select("bundle_id", part.alias("part"), "section", "line")
     headers = F.create_map(*[F.lit(x) for name, df in sections.items() for x in (name, csv_header(df))])
-    heads = data.groupBy("bundle_id", "section").agg(
-        F.sum(F.octet_length("line") + 1).alias("size")
-    ).withColumn("line", headers[F.col("section")])
+    heads = placed.groupBy("bundle_id", "part", "section").agg(bytes_of.alias("size")).withColumn(
+        "line", headers[F.col("section")])
     heads = heads.withColumn("size", F.col("size") + F.octet_length("line") + 1)
-    columns = ["bundle_id", "section", "place", "size", "line"]
+    columns = ["bundle_id", "part", "section", "place", "size", "line"]
     return heads.withColumn("place", F.lit(0)).select(columns).unionByName(
-        data.withColumns({"place": F.lit(1), "size": F.lit(0).cast("bigint")}).select(columns)
+        placed.withColumns({"place": F.lit(1), "size": F.lit(0).cast("bigint")}).select(columns)
     )
 
 
@@ -160,7 +169,7 @@ def _archive(folder: str):
     """Stream sorted text rows into one archive per bundle; memory does not grow with the bundle."""
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, out, part, member = None, None, "", (0, 0)
+        bundle, out, hidden, member = None, None, "", (0, 0)
         finished: list[tuple[str, str]] = []
 
         def close_member() -> None:
@@ -176,16 +185,17 @@ def _archive(folder: str):
             out.write(b"\0" * (2 * tarfile.BLOCKSIZE))
             out.close()
             # Renaming last makes a repeated task replace the archive as a whole.
-            target = os.path.join(folder, f"{bundle}.tar.gz")
-            os.replace(part, target)
-            finished.append((bundle, target))
+            target = os.path.join(folder, f"{bundle[0]}{bundle[1]}.tar.gz")
+            os.replace(hidden, target)
+            finished.append((bundle[0], target))
 
         for batch in batches:
-            for name, section, place, size, line in zip(*[c.to_pylist() for c in batch.columns]):
-                if name != bundle:
+            for name, part, section, place, size, line in zip(*[c.to_pylist() for c in batch.columns]):
+                if (name, part) != bundle:
                     close_bundle()
-                    bundle, part = name, os.path.join(folder, f".{name}.{os.getpid()}.{id(batch)}.part")
-                    out, member = gzip.open(part, "wb"), (0, 0)
+                    bundle = (name, part)
+                    hidden = os.path.join(folder, f".{name}{part}.{uuid.uuid4().hex}")
+                    out, member = gzip.open(hidden, "wb"), (0, 0)
                 if place == 0:
                     close_member()
                     info = tarfile.TarInfo(f"{section}.csv")
@@ -203,13 +213,16 @@ def _archive(folder: str):
     return write
 
 
-def write_bundles(sections: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Write one tar.gz per ``bundle_id`` and return (bundle_id, path).
+def write_bundles(sections: Mapping[str, DataFrame], folder: str, part_bytes: int = 256 << 20) -> DataFrame:
+    """Write tar.gz archives per ``bundle_id`` and return (bundle_id, path) of each.
 
-    ``folder`` must be a mounted path that all executors share. An archive is one sequential
-    file, hence one task per bundle; rows pass through it as a sorted stream. For large exports
-    use ``sinks.write_sections``, which has no such limit.
+    ``folder`` must be a mounted path that all executors share. Rows pass through a task as a
+    sorted stream, one archive after the other. A section above ``part_bytes`` goes to archives of
+    its own, named ``<bundle>.part-<section>-<n>.tar.gz``, so a large bundle is written by many
+    tasks; reading puts the parts together again. The sections must give the same rows each time
+    they are evaluated, since sizes precede contents; a mismatch raises.
     """
     os.makedirs(folder, exist_ok=True)
-    rows = section_lines(sections).repartition("bundle_id").sortWithinPartitions("bundle_id", "section", "place")
+    rows = section_lines(sections, part_bytes).repartition("bundle_id", "part").sortWithinPartitions(
+        "bundle_id", "part", "section", "place")
     return rows.mapInArrow(_archive(folder), "bundle_id STRING, path STRING")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators import config, dims, memory, samples, sessions, storage
 from fleetscope.plans.reports import REPORTS, collect_sections, run_report
+from fleetscope.plans.views import VIEWS, columns_of, session_columns, view
 from fleetscope.sources.schemas import SECTIONS, schema_of
 from tests.fixtures import AS_OF, FLEET, ONE, fleet_tables, tables
 
@@ -229,3 +230,29 @@ def test_tenant_dimension(one, fleet):
     assert dims.join_tenant(facts, whole, tenant_name="tenant", tenant="PDB1").count() == 3
     assert dims.join_tenant(facts, whole, tenant="All").columns[-1] == "tenant_name"
     assert AS_OF == ONE.as_of
+
+
+@pytest.mark.parametrize("name", sorted(set(VIEWS) - {"instance", "datafiles", "temp-tablespace-usage"}) + ["topsql-cpu", "awr-latches"])
+def test_views_show_their_columns(one, name):
+    shown = view(name, run_report(name, one, ONE), one["containers"])
+    assert shown.columns[: len(columns_of(name))] == columns_of(name)
+    assert set(r.name for r in shown.select("name").distinct().collect()) <= {"ROOT", "PDB1"}
+
+
+def test_views_filter_and_reshape(one):
+    files = view("datafiles", one["datafile"], one["containers"], tenant="PDB1")
+    assert files.columns == VIEWS["datafiles"] and files.count() == 3
+    temp = view("temp-tablespace-usage", run_report("temp-tablespace-usage", one, ONE), one["containers"])
+    assert rows(temp, "name", "usedbytes") == [("PDB1", 3.91), ("ROOT", 0.0)]
+    usage = view("tablespace-usage", run_report("tablespace-usage", one, ONE), one["containers"], labelled=True)
+    assert usage.columns[:2] == ["名称", "表空间_名称"]
+    plain = view("topsql-cpu", run_report("topsql-cpu", one, ONE).drop("con_id"))
+    assert plain.columns == ["sql_id", "value", "sql_text"]
+    assert session_columns(10, False)[1] == "sid" and session_columns(19)[-1] == "wait_class"
+
+
+def test_outer_join_with_many_matches(frame):
+    left = frame("k INT, a STRING", [(1, "x"), (2, "y"), (None, "z")])
+    right = frame("k INT, b STRING", [(1, "p"), (1, "q")])
+    got = dims.left_join_many(left, right, ["k"])
+    assert rows(got) == rows(left.join(right, ["k"], "left"))

@@ -62,6 +62,17 @@ def test_bundle_round_trip(spark, tmp_path):
     cells.unpersist()
 
 
+def test_large_sections_go_to_parts(spark, frame, tmp_path):
+    df = frame("bundle_id STRING, con_id INT, name STRING, open_mode STRING",
+               [("b", i, f"tenant {i}", "READ") for i in range(300)])
+    few = frame("bundle_id STRING, instance_name STRING, path STRING", [("b", "i", "/x")])
+    written = bundles.write_bundles({"pdb-info": df, "alert-dest": few}, str(tmp_path), part_bytes=2000).collect()
+    assert len(written) > 3 and {r.bundle_id for r in written} == {"b"}
+    back = bundles.read_bundle_section(spark, str(tmp_path), "pdb-info")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert bundles.read_bundle_section(spark, str(tmp_path), "alert-dest").count() == 1
+
+
 def test_line_breaks_survive(spark, frame, tmp_path):
     df = frame("bundle_id STRING, con_id INT, name STRING, open_mode STRING",
                [("b", 1, "two\nlines", 'q"uote'), ("b", 2, "é,", None), ("b", 3, " sp ", "\\")])

@@ -99,7 +99,7 @@ def counter_deltas(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, order
     ``ties`` order the rows of one snapshot where the series has several.
     """
     delta = f"{value}_delta"
-    slice_expr = F.floor(F.col(order) / slice_snapshots)
+    slice_expr = F.col(order) - F.pmod(F.col(order), F.lit(slice_snapshots))
     cut = with_slices(totals, series, slice_expr)
     place = order
     if ties:

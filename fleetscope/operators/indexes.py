@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetscope.functions.nulls import concat_nn
 from fleetscope.functions.numbers import number_text
@@ -13,20 +13,27 @@ from fleetscope.operators.dims import with_value
 # Owners whose indexes are not reported, types of ordinary indexes, block overheads.
 SYSTEM_OWNERS = ["SYS", "DVSYS", "MDSYS", "XDB"]
 INDEX_TYPES = [1, 4, 6]
+# Positions per slice of a column list.
+LIST_SLICE = 4096
 BLOCK_HEADER, SLOT_BYTES, LEAST_ROW, INDEX_ROW_HEADER, TABLE_HEADER = 66, 24, 11, 11, 71
 
 
-def column_lists(columns: DataFrame, keys: Sequence[str] = (), table: str = "bo#", index: str = "obj#",
-                 pos: str = "pos#", column: str = "intcol#") -> DataFrame:
-    """One row per index with its ordered (pos, column) list.
+def prefix_marks(columns: DataFrame, keys: Sequence[str], pos: str, column: str) -> DataFrame:
+    """Add ``_mark``: a hash of the set of (position, column) entries up to each position.
 
-    The list of one index is short by nature: a database allows a few dozen columns per index.
+    Entry hashes are combined by exclusive or, first within slices of 4096 positions, then with what
+    the slices before them hold, so a list of any length needs no collected array.
     """
-    entry = F.struct(F.col(pos).cast("bigint").alias("pos"), F.col(column).alias("col"))
-    return columns.groupBy(*keys, table, index).agg(
-        F.sort_array(F.collect_list(entry)).alias("entries"),
-        (F.max(F.col(pos).cast("bigint")) == F.count(pos)).alias("contiguous"),
-    )
+    cut = columns.withColumns({
+        "_entry": F.xxhash64(pos, column), "_slice": F.col(pos) - F.pmod(F.col(pos), F.lit(LIST_SLICE))})
+    part = [*keys, "_slice"]
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = cut.groupBy(*part).agg(F.bit_xor("_entry").alias("_whole")).select(
+        *part, F.bit_xor("_whole").over(before).alias("_carried"))
+    within = W.partitionBy(*part).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    own = cut.withColumn("_own", F.bit_xor("_entry").over(within)).join(carried, part)
+    mark = F.col("_own").bitwiseXOR(F.coalesce("_carried", F.lit(0).cast("bigint")))
+    return own.withColumn("_mark", mark).select(*columns.columns, "_mark")
 
 
 def redundant_prefixes(columns: DataFrame, candidates: DataFrame | None = None, keys: Sequence[str] = (),
@@ -34,23 +41,35 @@ def redundant_prefixes(columns: DataFrame, candidates: DataFrame | None = None,
                        column: str = "intcol#") -> DataFrame:
     """Pairs (redundant, sufficient): the first index's list leads the second's, on one table.
 
-    Two equal lists report each other. ``candidates`` (keys, index) limits the redundant side.
-    Every index is expanded to its leading prefixes, and a list meets equal prefixes in one
-    equi-join, so the join emits result pairs only - no pairs that merely share a table or a column.
+    Two equal lists report each other. ``candidates`` (keys, index) limits the redundant side. A list
+    whose positions are not 1..n is never redundant.
+
+    Whole lists meet prefixes of equal length and mark in one equi-join, so pairs that merely share a
+    table or a column never come up; a count of equal entries then confirms each pair.
     """
-    group = list(keys)
-    lists = column_lists(columns, keys, table, index, pos, column)
-    short = lists.filter("contiguous").select(
-        *group, table, F.col(index).alias("redundant"), F.col("entries").alias("prefix")
-    )
+    owner = [*keys, table]
+    entries = columns.select(*owner, index, F.col(pos).cast("bigint").alias("n"), F.col(column).alias("col"))
+    listed = [*owner, index]
+    whole = entries.groupBy(*listed).agg(
+        F.max("n").alias("n"), F.count("n").alias("_count"), F.bit_xor(F.xxhash64("n", "col")).alias("_mark"))
+    short = whole.filter(F.col("n") == F.col("_count")).select(
+        *owner, F.col(index).alias("redundant"), "n", "_mark")
     if candidates is not None:
-        wanted = candidates.select(*group, F.col(index).alias("redundant"))
-        short = short.join(wanted, [*group, "redundant"], "left_semi")
-    lengths = F.sequence(F.lit(1), F.size("entries"))
-    prefixes = F.transform(lengths, lambda n: F.slice("entries", F.lit(1), n))
-    long = lists.select(*group, table, F.col(index).alias("sufficient"), F.explode(prefixes).alias("prefix"))
-    pairs = short.join(long, [*group, table, "prefix"]).filter(F.col("redundant") != F.col("sufficient"))
-    return pairs.select(*group, table, "redundant", "sufficient")
+        wanted = candidates.select(*keys, F.col(index).alias("redundant"))
+        short = short.join(wanted, [*keys, "redundant"], "left_semi")
+    marks = prefix_marks(entries, listed, "n", "col").select(*owner, F.col(index).alias("sufficient"), "n", "_mark")
+    pairs = short.join(marks, [*owner, "n", "_mark"]).filter(F.col("redundant") != F.col("sufficient"))
+    found = pairs.select(*owner, "redundant", "sufficient", F.col("n").alias("_need"))
+    first = entries.withColumnRenamed(index, "redundant")
+    second = entries.withColumnRenamed(index, "sufficient")
+    return (
+        found.join(first, [*owner, "redundant"])
+        .join(second, [*owner, "sufficient", "n", "col"])
+        .groupBy(*owner, "redundant", "sufficient", "_need")
+        .agg(F.count(F.lit(1)).alias("_equal"))
+        .filter(F.col("_equal") == F.col("_need"))
+        .select(*owner, "redundant", "sufficient")
+    )
 
 
 def object_names(objects: DataFrame, owners: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

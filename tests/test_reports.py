@@ -1,9 +1,11 @@
 """Reports on native source tables: values, section names, and fleet against one database."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from fleetscope.operators import config, dims, memory, samples, sessions, storage
+from fleetscope.operators import config, dims, indexes, memory, samples, sessions, storage
 from fleetscope.plans.reports import REPORTS, collect_sections, run_report
 from fleetscope.plans.views import VIEWS, columns_of, session_columns, view
 from fleetscope.sources.schemas import SECTIONS, schema_of
@@ -213,11 +215,22 @@ def test_dictionary(one):
 
 
 def test_equal_lists_report_each_other(frame):
-    from fleetscope.operators.indexes import redundant_prefixes
-
     columns = frame("`bo#` INT, `obj#` INT, `pos#` INT, `intcol#` INT",
                     [(1, 1, 1, 5), (1, 1, 2, 6), (1, 2, 1, 5), (1, 2, 2, 6), (2, 3, 1, 5), (1, 4, 2, 5)])
-    assert rows(redundant_prefixes(columns), "redundant", "sufficient") == [(1, 2), (2, 1)]
+    assert rows(indexes.redundant_prefixes(columns), "redundant", "sufficient") == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 4096])
+def test_redundant_prefixes_against_brute_force(frame, monkeypatch, width):
+    monkeypatch.setattr(indexes, "LIST_SLICE", width)
+    rng = random.Random(width)
+    lists = {(t, t * 100 + i): [rng.randrange(2) for _ in range(rng.randrange(1, 6))] for t in (1, 2) for i in range(12)}
+    entries = [(t, i, p + 1, c) for (t, i), cols in lists.items() for p, c in enumerate(cols)]
+    gap = [(1, 999, 2, 0), (1, 999, 3, 1)]
+    columns = frame("`bo#` INT, `obj#` INT, `pos#` INT, `intcol#` INT", entries + gap)
+    expected = sorted(((a, b) for (t, a), x in lists.items() for (u, b), y in lists.items()
+                       if t == u and a != b and y[: len(x)] == x), key=repr)
+    assert rows(indexes.redundant_prefixes(columns), "redundant", "sufficient") == expected
 
 
 def test_tenant_dimension(one, fleet):

@@ -66,13 +66,13 @@ STATEMENT_MEASURES = {
 RATIO_PLACES = 6
 
 
-def measure_sum(measure: Measure, executions: str | None = None) -> Column:
-    """Summed measure; with ``executions`` only rows that pass the guard count.
+def measure_sum(measure: Measure, positive_only: bool = False) -> Column:
+    """Summed measure; ``positive_only`` leaves rows without a positive measure out of the sum.
 
     Quotients are added as doubles and rounded, so that equal sums stay equal whatever order tasks
     deliver them in, and ties fall to the tie-break columns.
     """
-    value = measure.value() if executions is None else F.when(measure.guard(executions), measure.value())
+    value = F.when(F.col(measure.column) > 0, measure.value()) if positive_only else measure.value()
     return F.sum(value) if measure.per is None else F.round(F.sum(value), RATIO_PLACES)
 
 
@@ -118,7 +118,7 @@ def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tup
     """
     chosen = list(measures)
     names = [m.name for m in chosen]
-    sums = [measure_sum(m, executions).alias(m.name) for m in chosen]
+    sums = [measure_sum(m, positive_only=True).alias(m.name) for m in chosen]
     summed = statements.filter(F.col(executions) > 0).groupBy(*keys, *item).agg(*sums)
     maxima = (
         summed.groupBy(*keys, F.pmod(F.xxhash64(*item), F.lit(buckets)).alias("_bucket"))

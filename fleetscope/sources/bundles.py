@@ -87,6 +87,14 @@ def bundle_cells(spark: SparkSession, path: str, sections: Iterable[str] | None
     return named.mapInArrow(_explode(wanted), CELLS_DDL)
 
 
+# Other names under which bundles carry a column.
+ALIASES = {"stat_name": ("latch_name", "event_name", "state_name")}
+
+
+def _cell(name: str) -> Column:
+    return F.coalesce(*[F.col("cells")[n] for n in (name, *ALIASES.get(name, ()))])
+
+
 def _typed(cell: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return cell
@@ -102,9 +110,9 @@ def typed_section(cells: DataFrame, section: str, extra: bool = False) -> DataFr
     ``extra`` keeps columns outside the schema in a map.
     """
     schema = schema_of(section)
-    columns = [_typed(F.col("cells")[f.name], f.dataType).alias(f.name) for f in schema.fields]
+    columns = [_typed(_cell(f.name), f.dataType).alias(f.name) for f in schema.fields]
     if extra:
-        known = [f.name for f in schema.fields]
+        known = [n for f in schema.fields for n in (f.name, *ALIASES.get(f.name, ()))]
         columns.append(F.map_filter("cells", lambda k, _: ~k.isin(known)).alias("extra"))
     return cells.filter(F.col("section") == section).select("bundle_id", *columns)
 

@@ -40,6 +40,15 @@ def test_reading_bundles(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(section" in plan
 
 
+def test_counter_sections_under_other_column_names(spark, tmp_path):
+    for number, name in enumerate(["latch_name", "event_name", "state_name", "stat_name"]):
+        write_tar(tmp_path / f"db{number}.tar.gz", {
+            "awr-latches.csv": f"con_id,snap_id,{name},begin_interval_time,wait_time_delta\n"
+                               f"1,5,x{number},2024-01-02 03:00:00.125,7.5\n"})
+    got = bundles.read_bundle_section(spark, str(tmp_path), "awr-latches").orderBy("bundle_id").collect()
+    assert [(r.stat_name, r.snap_id, float(r.wait_time_delta)) for r in got] == [(f"x{i}", 5, 7.5) for i in range(4)]
+
+
 def test_bundle_round_trip(spark, tmp_path):
     names = ["pdb-info", "tablespace-usage", "patch-info", "user-privs", "sched-jobs", "expiring-user", "awr-latches",
              "topsql-gets-exec"]

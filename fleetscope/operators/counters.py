@@ -325,3 +325,25 @@ def counter_chart(name: str, history: DataFrame, snapshots: DataFrame, begin, en
     few = only_series(history.withColumn("stat_name", F.col(spec.stat)), chosen, keys).drop("stat_name")
     again, _ = report_totals(name, few, snapshots, begin, end, keys, snap_keys)
     return series_points(again, chosen, keys, keys=stored, **options), chosen
+
+
+def section_chart(name: str, rows: DataFrame, event_classes: DataFrame | None = None, keys: Sequence[str] = ("con_id",),
+                  k: int = 15, slice_snapshots: int = SLICE_SNAPSHOTS) -> tuple[DataFrame, DataFrame]:
+    """Points and chosen series from stored report rows, which carry deltas and variance already.
+
+    This is the chart of a section read from a bundle; ``counter_chart`` starts from the history.
+    """
+    spec = COUNTER_REPORTS[name]
+    idle = None
+    if spec.skip_idle and event_classes is not None:
+        idle = event_classes.filter(F.col("wait_class") == "Idle")
+    ranked = top_series(rows.withColumn("row_count", F.lit(1)), keys, k=k, include=spec.include, exclude=idle)
+    chosen = checkpointed(ranked)
+    names = chosen.select(*keys, "stat_name", "instance_number", "series_rank")
+    kept = rows.join(names, [*keys, "stat_name", "instance_number"])
+    series = [*keys, "dbid", "instance_number", "stat_name", *spec.extra]
+    slice_expr = F.col("snap_id") - F.pmod(F.col("snap_id"), F.lit(slice_snapshots))
+    points = fill_forward(kept, series, "snap_id", "wait_time_delta", slice_expr)
+    return points.withColumn("series", series_label()).withColumn(
+        "time_label", minute_label(F.col("begin_interval_time"))
+    ), chosen

@@ -286,6 +286,16 @@ def counter_pivot(spark, folder):
     return counters.series_matrix(counters.series_points(totals, chosen), 15)
 
 
+@query
+def counter_section_pivot(spark, folder):
+    """The same matrix from a stored section, last deltas filled."""
+    out = shared_folder(spark, "sections")
+    sinks.write_section(counters.counter_deltas(supplier_totals(spark, folder)), out, "sys-stat-hist")
+    rows = sinks.read_section(spark, out, "sys-stat-hist")
+    points, _ = counters.section_chart("sys-stat-hist", rows)
+    return counters.series_matrix(points, 15)
+
+
 @query
 def counter_legend(spark, folder):
     return counters.series_legend(supplier_top(spark, folder))

@@ -165,3 +165,18 @@ def test_chart_of_a_gauge_and_of_events_without_idle_ones(frame):
     assert [r.stat_name for r in chosen.collect()] == ["busy"]
     assert sorted((r.time_label, r.wait_time_delta) for r in points.collect()) == [
         ("01-01 01:00", 5), ("01-01 02:00", 5), ("01-01 03:00", 5)]
+
+
+def test_chart_from_stored_rows_equals_chart_from_history(frame):
+    snaps = snapshots(frame, [(1, 1), (2, 1), (3, 1), (4, 1)])
+    history = frame("con_id INT, dbid BIGINT, snap_id BIGINT, instance_number INT, latch_name STRING, `level#` INT,"
+                    " latch_hash BIGINT, wait_time BIGINT",
+                    [(1, 1, s, 1, n, lv, 9, s * s * w + lv) for s in (1, 2, 3, 4) for n, w in (("a", 3), ("b", 1), ("c", 2))
+                     for lv in (0, 1)])
+    args = ("awr-latches", history, snaps, "2024-01-01", "2024-01-03")
+    points, chosen = counters.counter_chart(*args, k=2)
+    stored, again = counters.section_chart("awr-latches", counters.counter_report(*args), k=2, slice_snapshots=2)
+    columns = ["series", "`level#`", "snap_id", "time_label", "wait_time_delta", "series_rank"]
+    assert sorted(map(tuple, stored.select(columns).collect())) == sorted(map(tuple, points.select(columns).collect()))
+    assert [r.stat_name for r in again.orderBy("series_rank").collect()] == ["a", "c"]
+    assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from fleetscope.llm.words import WordHashes, lower_words
-
 END = 2
+_END_BYTES = np.array([END], "<u4").tobytes()
+#: Chunks a worker remembers before it starts anew, about 200 bytes each.
+_KNOWN_CHUNKS = 1 << 20
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
 _BUCKETS, _DIMS, _BITS = 256, 3, 16
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _WITH_IDS = _PIECES + ", ids array<int>"
@@ -47,25 +53,32 @@ def hilbert_index(point: list[int], bits: int) -> int:
     return index
 
 
+def document_vector(data: bytes) -> np.ndarray:
+    """Character trigrams hashed into buckets; roots of the counts, centred and scaled to length 1 (0 for texts too short)."""
+    codes = np.frombuffer(data.lower(), np.uint8).astype(np.uint32)
+    grams = (codes[:-2] << np.uint32(16) | codes[1:-1] << np.uint32(8) | codes[2:]) * np.uint32(0x9E3779B1) >> np.uint32(24)
+    vector = np.sqrt(np.bincount(grams, minlength=_BUCKETS))
+    vector -= vector.mean()
+    size = np.sqrt((vector * vector).sum())
+    return vector / size if size else vector
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the Hilbert key: words hashed into buckets, the count vector projected on fixed random axes and scaled to its length."""
+    """Add the Hilbert key of the document vector's projection on fixed random axes."""
     axes = np.random.Generator(np.random.PCG64(11)).standard_normal((_DIMS, _BUCKETS))
-    hashes, top = WordHashes(), (1 << _BITS) - 1
+    top = (1 << _BITS) - 1
     for batch in batches:
         keys = []
         for data in batch.column(1).cast(pa.binary()).to_pylist():
-            words = hashes.of(lower_words(data or b""))
-            vector = np.bincount((words & np.uint64(_BUCKETS - 1)).astype(np.intp), minlength=_BUCKETS)
-            size = np.sqrt((vector * vector).sum())
-            place = axes @ vector / (size if size else 1.0)
+            place = axes @ document_vector(data or b"")
             spread = np.clip((place / 6 + 0.5) * top, 0, top).astype(np.int64)
             keys.append(hilbert_index(spread.tolist(), _BITS))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["id", "text", "key"])
 
 
 class _ChunkIds(dict):
-    """Token ids of text between blanks. The tokenizer drops white space and never joins over it, so a text's ids are those of its
-    chunks in order; only chunks not met before in this task are encoded."""
+    """Token ids, as bytes, of text between blanks. The tokenizer drops white space and never joins over it, so a text's ids are those
+    of its chunks in order; only chunks the worker has not met are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,24 +87,29 @@ class _ChunkIds(dict):
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # their names in a text are ordinary text
 
-    def __missing__(self, chunk: str) -> list[int]:
-        ids = self[chunk] = self.encoder.encode(chunk, add_special_tokens=False).ids
-        return ids
-
     def of(self, text: str) -> np.ndarray:
-        if len(self) > 1 << 18:
+        # A-Z are lower-cased as the tokenizer does anyway, and a full stop or comma after an ASCII letter is a token of its own anyway: fewer chunks differ.
+        chunks = _STOP.sub(rb" \1", text.encode().lower()).replace(b"\n", b" ").split(b" ")
+        new = [c for c in set(chunks) if c not in self]
+        if len(self) > _KNOWN_CHUNKS:
             self.clear()
-        ids: list[int] = []
-        for part in map(self.__getitem__, text.replace("\n", " ").split(" ")):
-            ids += part
-        ids.append(END)
-        return np.array(ids, "<u4")
+            new = list(set(chunks))
+        for chunk, found in zip(new, self.encoder.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
+            self[chunk] = array("I", found.ids).tobytes()
+        return np.frombuffer(b"".join([*map(self.__getitem__, chunks), _END_BYTES]), "<u4")
+
+
+@cache
+def _chunk_ids(path: str) -> _ChunkIds:
+    """The worker process's own table; it serves one task after the other."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    return _ChunkIds(path)
 
 
 def _packer(tokenizer: str, length: int, with_ids: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lay a range's documents end to end and cut at every ``length`` ids; the last ids are cut into powers of two."""
-        encode = _ChunkIds(tokenizer)
+        encode = _chunk_ids(tokenizer)
         sequence, filled, open_pieces = TaskContext.get().partitionId() << 40, 0, []
 
         def batch_of(pieces: list[tuple]) -> pa.RecordBatch:
@@ -139,8 +157,8 @@ def pack(
 ) -> DataFrame:
     """Return the pieces of documents in sequences of at most ``length`` ids, with their ids if ``with_ids``.
 
-    Each document's words are hashed into a count vector, which fixed random axes project to three dimensions; its cell's place on a Hilbert curve
-    is the sort key, so documents with like words lie near each other. Texts are range-sorted by the key - cuts lie between sampled keys,
+    Each document's character trigrams are hashed into a count vector, which fixed random axes project to three dimensions; its cell's place on a Hilbert curve
+    is the sort key, so like documents lie near each other. Texts are range-sorted by the key - cuts lie between sampled keys,
     ties go by id and text, so equal documents spread over ranges - and each range lays its documents end to end. Every sequence
     is full except for the last ids of a range, which fill sequences of descending powers of two: nothing is padded. A task holds
     one batch of texts and one open sequence. Ids are made after the sort, once.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import xxhash
 
-#: Words a task remembers the hash of before it starts anew; bounds the memory of a worker.
-REMEMBERED = 1 << 19
+#: Words a worker remembers the hash of before it starts anew; bounds its memory.
+REMEMBERED = 1 << 20
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -26,6 +28,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@cache
+def word_hashes() -> WordHashes:
+    """The worker process's own table; it serves one task after the other."""
+    return WordHashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x + _MIX[0]

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetscope.llm.frames import KEY, keep_rows, saved
 from fleetscope.llm.graph import components
-from fleetscope.llm.words import WordHashes, lower_words, mixed, shingle_set
+from fleetscope.llm.words import lower_words, mixed, shingle_set, word_hashes
 from fleetscope.session import checkpointed
 
-_SKETCH = "id bigint, text_hash bigint, n_shingles bigint, set_hi bigint, set_lo bigint, signature array<int>"
+_SKETCH = "id bigint, text_hash bigint, n_shingles bigint, set_hi bigint, set_lo bigint, signature array<int>, parity array<bigint>"
 
 
 def _coordinates(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,24 +31,32 @@ def signature(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) ->
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the set's elements that fall on it, as four numbers. An element that only one of two sets has flips
+    one bit, so two sets differ in at least as many elements as their bits differ."""
+    bits = np.bincount((shingles & np.uint64(255)).astype(np.intp), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
     """Per row: id, text hash, set size, 128-bit digest of the shingle set, signature (null for an empty set)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, offsets = _coordinates(coordinates)
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
-            sizes, his, los, signatures = [], [], [], []
+            sizes, his, los, signatures, parities = [], [], [], [], []
             for data in batch.column(2).cast(pa.binary()).to_pylist():
                 shingles = shingle_set(hashes.of(lower_words(data or b"")), words)
                 sizes.append(len(shingles))
                 his.append(shingles.sum(dtype=np.uint64).astype(np.int64))
                 los.append(mixed(shingles).sum(dtype=np.uint64).astype(np.int64))
                 signatures.append(signature(shingles, factors, offsets) if len(shingles) else None)
+                parities.append(parity(shingles))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()),
-                 pa.array(los, pa.int64()), pa.array(signatures, pa.list_(pa.int32()))],
-                ["id", "text_hash", "n_shingles", "set_hi", "set_lo", "signature"])
+                 pa.array(los, pa.int64()), pa.array(signatures, pa.list_(pa.int32())), pa.array(parities, pa.list_(pa.int64()))],
+                ["id", "text_hash", "n_shingles", "set_hi", "set_lo", "signature", "parity"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return source.mapInArrow(rows, _SKETCH)
@@ -57,7 +66,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """Pairs (a, b) of nodes whose full shingle sets meet the similarity: 100 * shared >= percent * union."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
             keep = []
@@ -87,6 +96,46 @@ def _colliding(pairs: DataFrame, lists: DataFrame, matches: int, percent: int) -
     )
 
 
+def _bits(left: list[Column], right: list[Column]) -> Column:
+    """Number of bits set in ``left`` that are not set in ``right``."""
+    return reduce(lambda x, y: x + y, [F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(left, right)])
+
+
+def _cross_pairs(lists: DataFrame, groups: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes from different groups that share a posting of their prefixes.
+
+    Groups meet first, then their members. Two sets of the similarity differ in at most (n_a + n_b) * (100 - percent) / (100 + percent)
+    elements, so pairs - of groups, by the bits all their members have or none has, and of nodes - whose parities differ in
+    more bits cannot reach it. This drops texts that only share a long common passage before they become pairs.
+    """
+    prefix = F.slice("posted", F.lit(1), F.size("posted") - matches + 1)
+    entries = (
+        lists.join(groups.withColumnRenamed("root", "group"), "node", "left")
+        .select("node", "n", F.coalesce("group", "node").alias("group"), *[F.col("parity")[i].alias(f"p{i}") for i in range(4)],
+                F.size("posted").alias("m"), F.posexplode(prefix).alias("at", "posting"))
+        .select("node", "n", "group", "p0", "p1", "p2", "p3", F.col("posting.key").alias("key"), (F.col("m") - F.col("at") - 1).alias("rest"))
+    )
+    entries = checkpointed(entries)
+    per_group = entries.groupBy("key", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"),
+        *[F.bit_and(f"p{i}").alias(f"all{i}") for i in range(4)], *[F.bit_or(f"p{i}").alias(f"any{i}") for i in range(4)])
+    one, two = (per_group.select("key", *[F.col(c).alias(f"{c}_{s}") for c in per_group.columns if c != "key"]) for s in "ab")
+    named = lambda kind, s: [F.col(f"{kind}{i}_{s}") for i in range(4)]
+    met = one.join(two, "key").where(
+        (F.col("group_a") < F.col("group_b")) & (100 * F.col("most_a") >= percent * F.col("least_b"))
+        & (100 * F.col("most_b") >= percent * F.col("least_a")) & (F.least("rest_a", "rest_b") + 1 >= matches)
+        & ((100 + percent) * (_bits(named("all", "a"), named("any", "b")) + _bits(named("all", "b"), named("any", "a")))
+           <= (100 - percent) * (F.col("most_a") + F.col("most_b")))).select("key", "group_a", "group_b")
+    members = lambda s: entries.select("key", *[F.col(c).alias(f"{c}_{s}") for c in entries.columns if c != "key"])
+    differ = _bits(named("p", "a"), named("p", "b")) + _bits(named("p", "b"), named("p", "a"))
+    return (
+        met.join(members("a"), ["key", "group_a"]).join(members("b"), ["key", "group_b"])
+        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.least("rest_a", "rest_b") + 1 >= matches)
+               & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
     coordinates: int = 64, matches: int = 36,
@@ -100,18 +149,19 @@ def near_duplicates(
     3. First pairs: each node with the smallest and the largest node of each of its lists, so a list of any length gives two
        pairs a node. Pairs that agree in ``matches`` coordinates are confirmed on full sets and merged into groups.
     4. Other pairs: lists are cut to prefixes - of m postings, rarest first, m - matches + 1 must hold a shared one - and
-       joined between different groups only, and only where the remaining positions can still reach ``matches``. These pairs too
-       are counted and confirmed. Members of one group are never paired again.
+       joined between different groups only, and only where the remaining positions can still reach ``matches`` and the parities of
+       the sets allow the similarity. These pairs too are counted and confirmed. Members of one group are never paired again.
 
     A pair at the similarity limit agrees in fewer than 36 of 64 coordinates with probability 1e-5, any pair above it
     more rarely; confirmed links are exact. Null, empty and blank texts have no shingles and no links.
-    Rows that repeat an id with different texts are told apart by their text. A null id is the smallest; its group's
-    component_id is the smallest id that is not null, null if there is none, and such a row is not kept unless alone.
+    Rows that repeat an id with different texts are told apart by their text. A null id never is a
+    component_id unless all ids of the group are null; only then is its row kept.
     """
     rows = checkpointed(sketches(docs, id_col, text_col, words, coordinates))
     nodes = (
         rows.where("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles")
-        .agg(F.min("id").alias("first_id"), F.min(F.struct("id", "text_hash")).alias("sample"), F.first("signature").alias("signature"))
+        .agg(F.min("id").alias("first_id"), F.min(F.struct("id", "text_hash")).alias("sample"), F.first("signature").alias("signature"),
+             F.first("parity").alias("parity"))
     )
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -139,25 +189,7 @@ def near_duplicates(
     links = _verified(_colliding(stars, lists, matches, percent), texts, words, percent)
     groups = components(links)
 
-    prefix = F.slice("posted", F.lit(1), F.size("posted") - matches + 1)
-    entries = (
-        lists.join(groups.withColumnRenamed("root", "group"), "node", "left")
-        .select("node", "n", F.coalesce("group", "node").alias("group"), F.size("posted").alias("m"), F.posexplode(prefix).alias("at", "posting"))
-        .select("node", "n", "group", F.col("posting.key").alias("key"), (F.col("m") - F.col("at") - 1).alias("rest"))
-    )
-    per_group = entries.groupBy("key", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("rest"))
-    one = per_group.select("key", F.col("group").alias("group_a"), F.col("least_n").alias("la"), F.col("most_n").alias("ma"), F.col("rest").alias("ra"))
-    two = per_group.select("key", F.col("group").alias("group_b"), F.col("least_n").alias("lb"), F.col("most_n").alias("mb"), F.col("rest").alias("rb"))
-    met = one.join(two, "key").where(
-        (F.col("group_a") < F.col("group_b")) & (100 * F.col("ma") >= percent * F.col("lb")) & (100 * F.col("mb") >= percent * F.col("la"))
-        & (F.least("ra", "rb") + 1 >= matches)).select("key", "group_a", "group_b")
-    side = lambda s: entries.select("key", F.col("group").alias(f"group_{s}"), F.col("node").alias(f"node_{s}"),
-                                    F.col("n").alias(f"n_{s}"), F.col("rest").alias(f"rest_{s}"))
-    others = (
-        met.join(side("a"), ["key", "group_a"]).join(side("b"), ["key", "group_b"])
-        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.least("rest_a", "rest_b") + 1 >= matches))
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    )
+    others = _cross_pairs(lists.join(nodes.select("node", "parity"), "node"), groups, matches, percent)
     more = _verified(_colliding(others, lists, matches, percent), texts, words, percent)
     found = components(links.unionByName(more))
 

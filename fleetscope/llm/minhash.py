@@ -116,7 +116,9 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, matches: int, percent: int
         .select("node", "n", "group", "p0", "p1", "p2", "p3", F.col("posting.key").alias("key"), (F.col("m") - F.col("at") - 1).alias("rest"))
     )
     entries = checkpointed(entries)
-    per_group = entries.groupBy("key", "group").agg(
+    sizes = entries.groupBy("group").agg(F.count_distinct("node").alias("size"))
+    per_group = entries.join(sizes, "group").groupBy("key", "group").agg(
+        F.max("size").alias("size"),
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"),
         *[F.bit_and(f"p{i}").alias(f"all{i}") for i in range(4)], *[F.bit_or(f"p{i}").alias(f"any{i}") for i in range(4)])
     one, two = (per_group.select("key", *[F.col(c).alias(f"{c}_{s}") for c in per_group.columns if c != "key"]) for s in "ab")
@@ -125,12 +127,17 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, matches: int, percent: int
         (F.col("group_a") < F.col("group_b")) & (100 * F.col("most_a") >= percent * F.col("least_b"))
         & (100 * F.col("most_b") >= percent * F.col("least_a")) & (F.least("rest_a", "rest_b") + 1 >= matches)
         & ((100 + percent) * (_bits(named("all", "a"), named("any", "b")) + _bits(named("all", "b"), named("any", "a")))
-           <= (100 - percent) * (F.col("most_a") + F.col("most_b")))).select("key", "group_a", "group_b")
-    members = lambda s: entries.select("key", *[F.col(c).alias(f"{c}_{s}") for c in entries.columns if c != "key"])
+           <= (100 - percent) * (F.col("most_a") + F.col("most_b")))).select("key", "group_a", "group_b", "size_a", "size_b")
+    # With a single node on one side, each member of the other side is one pair, whatever the number of values they share.
+    met = met.select("group_a", "group_b", F.when((F.col("size_a") == 1) | (F.col("size_b") == 1), F.lit(-1)).otherwise(F.col("key")).alias("key")).distinct()
+    columns = ["node", "n", "p0", "p1", "p2", "p3", "group"]
+    once = entries.groupBy("node").agg(*[F.first(c).alias(c) for c in columns[1:]])
+    reach = entries.select("key", *columns, "rest").unionByName(once.select(F.lit(-1).cast("bigint").alias("key"), *columns, F.col("n").cast("int").alias("rest")))
+    members = lambda s: reach.select("key", *[F.col(c).alias(f"{c}_{s}") for c in reach.columns if c != "key"])
     differ = _bits(named("p", "a"), named("p", "b")) + _bits(named("p", "b"), named("p", "a"))
     return (
         met.join(members("a"), ["key", "group_a"]).join(members("b"), ["key", "group_b"])
-        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.least("rest_a", "rest_b") + 1 >= matches)
+        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((F.col("key") < 0) | (F.least("rest_a", "rest_b") + 1 >= matches))
                & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     )
@@ -146,7 +153,7 @@ def near_duplicates(
        sets form one node, so copies never meet as pairs.
     2. Nodes are posted under each (coordinate, value) of their signature. A value that one node has alone
        is skipped; a node left with fewer than ``matches`` postings has no partner and is skipped too.
-    3. First pairs: each node with the smallest and the largest node of each of its lists, so a list of any length gives two
+    3. First pairs: each node with the smallest and the most central node of each of its lists, so a list of any length gives at most two
        pairs a node. Pairs that agree in ``matches`` coordinates are confirmed on full sets and merged into groups.
     4. Other pairs: lists are cut to prefixes - of m postings, rarest first, m - matches + 1 must hold a shared one - and
        joined between different groups only, and only where the remaining positions can still reach ``matches`` and the parities of
@@ -168,12 +175,12 @@ def near_duplicates(
     postings = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("signature").alias("at", "value")).select(
         "node", "n", F.shiftleft(F.col("at").cast("bigint"), 32).bitwiseOR(F.col("value").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("key"))
     shared = (
-        postings.groupBy("key").agg(F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("low <> high")
+        postings.groupBy("key").agg(F.count("*").alias("df"), F.min("node").alias("low"))
+        .where("df > 1")
     )
     lists = (
         postings.join(shared, "key").groupBy("node")
-        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "key", "low", "high"))).alias("posted"))
+        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "key", "low"))).alias("posted"))
         .where(F.size("posted") >= matches)
     )
     lists = checkpointed(lists)
@@ -183,8 +190,12 @@ def near_duplicates(
     texts = texts.join(sample, F.col("own.id").eqNullSafe(F.col("sample.id")) & (F.col("own.text_hash") == F.col("sample.text_hash")))
     texts = saved(texts.select("node", "text"), "near-texts")
 
-    leading = F.explode(F.array_distinct(F.flatten(F.array(F.col("posted.low"), F.col("posted.high")))))
-    stars = lists.select("node", leading.alias("other")).where("node <> other")
+    # A node whose values are the most common ones is the centre of its copies: most of them link with it.
+    posted = lists.select("node", F.aggregate("posted", F.lit(0).cast("bigint"), lambda s, p: s + p["df"]).alias("weight"), F.explode("posted.key").alias("key"))
+    centres = posted.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    central = posted.join(centres, "key").groupBy("node").agg(F.collect_set("centre").alias("centres"))
+    leading = F.explode(F.array_union(F.array_distinct("posted.low"), "centres"))
+    stars = lists.join(central, "node").select("node", leading.alias("other")).where("node <> other")
     stars = stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links = _verified(_colliding(stars, lists, matches, percent), texts, words, percent)
     groups = components(links)

@@ -52,9 +52,9 @@ def test_forest_keeps_components():
 
 
 def test_components(frame):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
+    edges = [(i, i + 1) for i in range(1, 12)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in components(frame("a bigint, b bigint", edges)).collect()}
-    assert found == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)}
+    assert found == {i: 1 for i in range(1, 13)} | {i: 100 for i in range(100, 140)}
     assert components(frame("a bigint, b bigint", [])).count() == 0
 
 

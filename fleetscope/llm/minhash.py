@@ -113,14 +113,13 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, matches: int, percent: int
         lists.join(groups.withColumnRenamed("root", "group"), "node", "left")
         .select("node", "n", F.coalesce("group", "node").alias("group"), *[F.col("parity")[i].alias(f"p{i}") for i in range(4)],
                 F.size("posted").alias("m"), F.posexplode(prefix).alias("at", "posting"))
-        .select("node", "n", "group", "p0", "p1", "p2", "p3", F.col("posting.key").alias("key"), (F.col("m") - F.col("at") - 1).alias("rest"))
+        .select("node", "n", "group", "at", "p0", "p1", "p2", "p3", F.col("posting.key").alias("key"), (F.col("m") - F.col("at") - 1).alias("rest"))
     )
     entries = checkpointed(entries)
-    sizes = entries.groupBy("group").agg(F.count_distinct("node").alias("size"))
-    per_group = entries.join(sizes, "group").groupBy("key", "group").agg(
-        F.max("size").alias("size"),
+    sizes = entries.where("at = 0").groupBy("group").agg(F.count("*").alias("size"))
+    per_group = entries.groupBy("key", "group").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"),
-        *[F.bit_and(f"p{i}").alias(f"all{i}") for i in range(4)], *[F.bit_or(f"p{i}").alias(f"any{i}") for i in range(4)])
+        *[F.bit_and(f"p{i}").alias(f"all{i}") for i in range(4)], *[F.bit_or(f"p{i}").alias(f"any{i}") for i in range(4)]).join(sizes, "group")
     one, two = (per_group.select("key", *[F.col(c).alias(f"{c}_{s}") for c in per_group.columns if c != "key"]) for s in "ab")
     named = lambda kind, s: [F.col(f"{kind}{i}_{s}") for i in range(4)]
     met = one.join(two, "key").where(
@@ -128,8 +127,13 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, matches: int, percent: int
         & (100 * F.col("most_b") >= percent * F.col("least_a")) & (F.least("rest_a", "rest_b") + 1 >= matches)
         & ((100 + percent) * (_bits(named("all", "a"), named("any", "b")) + _bits(named("all", "b"), named("any", "a")))
            <= (100 - percent) * (F.col("most_a") + F.col("most_b")))).select("key", "group_a", "group_b", "size_a", "size_b")
+    # The smaller group comes first: its members join before any condition can rule a pair out, those of the larger one with it.
     # With a single node on one side, each member of the other side is one pair, whatever the number of values they share.
-    met = met.select("group_a", "group_b", F.when((F.col("size_a") == 1) | (F.col("size_b") == 1), F.lit(-1)).otherwise(F.col("key")).alias("key")).distinct()
+    swap = F.col("size_a") > F.col("size_b")
+    met = met.select(
+        F.when(swap, F.col("group_b")).otherwise(F.col("group_a")).alias("group_a"),
+        F.when(swap, F.col("group_a")).otherwise(F.col("group_b")).alias("group_b"),
+        F.when(F.least("size_a", "size_b") == 1, F.lit(-1)).otherwise(F.col("key")).alias("key")).distinct()
     columns = ["node", "n", "p0", "p1", "p2", "p3", "group"]
     once = entries.groupBy("node").agg(*[F.first(c).alias(c) for c in columns[1:]])
     reach = entries.select("key", *columns, "rest").unionByName(once.select(F.lit(-1).cast("bigint").alias("key"), *columns, F.col("n").cast("int").alias("rest")))

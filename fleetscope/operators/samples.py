@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetscope.functions.times import bucket_start
 from fleetscope.operators.dims import sorted_by
+from fleetscope.operators.reshape import listed
 
 
 def in_range(samples: DataFrame, ts: str, begin, end) -> DataFrame:
@@ -52,8 +53,9 @@ def perf_load(sources: Sequence[DataFrame], begin, end, keys: Sequence[str] = ("
 
 def load_matrix(load: DataFrame, tenants: Sequence[str], index: str = "ten_min_timestr", name: str = "name",
                 value: str = "sess_count") -> DataFrame:
-    """Bucket x tenant matrix, gaps as 0. One value per cell is expected, so ``max`` just moves it."""
-    wide = load.groupBy(index).pivot(name, list(tenants)).agg(F.max(F.col(value).cast("double")))
+    """Bucket x tenant matrix, gaps as 0. One value per cell is expected, so ``max`` just moves it. A tenant that is not
+    in ``tenants`` stops the job."""
+    wide = load.withColumn(name, listed(name, tenants)).groupBy(index).pivot(name, list(tenants)).agg(F.max(F.col(value).cast("double")))
     return wide.na.fill(0.0, list(tenants))
 
 
@@ -86,7 +88,8 @@ def active_by_state(samples: DataFrame, begin, end, state: Column | None = None,
 
 
 def state_matrix(states: DataFrame, tenants: Sequence, name: str = "name") -> DataFrame:
-    """(bucket, state) x tenant matrix of rounded means, gaps as 0."""
+    """(bucket, state) x tenant matrix of rounded means, gaps as 0. A tenant that is not in ``tenants`` stops the job."""
+    states = states.withColumn(name, listed(name, tenants))
     rounded = states.withColumn("sess_cnt", F.bround(F.coalesce(F.col("sess_cnt"), F.lit(0.0)), 0))
     names = [str(t) for t in tenants]
     return rounded.groupBy("tm", "state").pivot(name, list(tenants)).agg(F.avg("sess_cnt")).na.fill(0.0, names)

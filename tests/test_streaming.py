@@ -1,16 +1,14 @@
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from fleetscope.operators import samples
-from fleetscope.streaming.load import active_by_state_stream, peak_load_stream, run_available, sample_stream
+from fleetscope.streaming import load
 
 DDL = "con_id INT, sample_time TIMESTAMP_NTZ, session_state STRING, wait_class STRING, session_type STRING"
 T0 = datetime(2024, 1, 1)
 
 
 def test_stream_equals_batch(spark, frame, tmp_path):
-    """Two arrivals, restarted between them: closed buckets equal the batch result."""
+    """Three arrivals, restarted between them, the last one late by hours: all buckets equal the batch result."""
     source = str(tmp_path / "in")
 
     def part(first, last):
@@ -18,21 +16,24 @@ def test_stream_equals_batch(spark, frame, tmp_path):
                             "FOREGROUND") for i in range(first, last)])
 
     def run():
-        rows = sample_stream(spark, source, part(0, 1).schema)
-        run_available(peak_load_stream(rows), str(tmp_path / "peak"), str(tmp_path / "peak_state"))
-        rows = sample_stream(spark, source, part(0, 1).schema)
-        run_available(active_by_state_stream(rows), str(tmp_path / "states"), str(tmp_path / "states_state"))
-
-    part(0, 600).coalesce(1).write.mode("append").parquet(source)
-    run()
-    part(600, 1500).coalesce(1).write.mode("append").parquet(source)
-    run()
+        rows = load.sample_stream(spark, source, part(0, 1).schema)
+        counts = load.run_available(rows, load.load_counts(), str(tmp_path / "peak"), str(tmp_path / "peak_state"))
+        states = load.run_available(rows, load.state_counts(), str(tmp_path / "states"), str(tmp_path / "states_state"))
+        return load.peak_load(counts), load.active_by_state(states), load.peak_load(load.compact(counts))
+
+    for first, last in ((100, 600), (600, 1500), (0, 100)):
+        part(first, last).coalesce(1).write.mode("append").parquet(source)
+        peaks, states, compacted = run()
     everything = spark.read.schema(part(0, 1).schema).parquet(source)
-    closed = everything.agg(F.max("sample_time")).first()[0] - timedelta(minutes=10)
-    batch = samples.peak_load([everything], "2024-01-01", "2025-01-01").filter(
-        F.col("bucket") + F.expr("INTERVAL '10' MINUTE") <= F.lit(closed).cast("timestamp_ntz"))
-    streamed = spark.read.parquet(str(tmp_path / "peak"))
-    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
-    hours = samples.active_by_state(everything, "2024-01-01", "2025-01-01").filter(
-        F.col("tm") + F.expr("INTERVAL '60' MINUTE") <= F.lit(closed).cast("timestamp_ntz"))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "states")).collect())) == sorted(map(tuple, hours.collect()))
+    batch = samples.peak_load([everything], "2024-01-01", "2025-01-01")
+    assert sorted(map(tuple, peaks.collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, compacted.collect())) == sorted(map(tuple, batch.collect()))
+    hours = samples.active_by_state(everything, "2024-01-01", "2025-01-01")
+    assert sorted(map(tuple, states.collect())) == sorted(map(tuple, hours.collect()))
+
+
+def test_empty_stream(spark, frame, tmp_path):
+    frame(DDL, []).write.parquet(str(tmp_path / "in"))
+    rows = load.sample_stream(spark, str(tmp_path / "in"), frame(DDL, []).schema)
+    counts = load.run_available(rows, load.load_counts(), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert load.peak_load(counts).collect() == []

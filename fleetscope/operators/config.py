@@ -128,7 +128,7 @@ def cursor_efficiency(statname: DataFrame, sesstat: DataFrame, parameter: DataFr
         F.concat(number_text(percent, 3, leading_zero=True), F.lit("%"))
     )
     return used.join(limits, [*instance, "parameter"]).select(
-        *instance, "parameter", F.lpad("limit_text", 5, " ").alias("value"), shown.alias("usage"),
+        *instance, "parameter", F.when(F.length("limit_text") < 5, F.lpad("limit_text", 5, " ")).otherwise(F.col("limit_text")).alias("value"), shown.alias("usage"),
         percent.cast("double").alias("usage_pct"),
     )
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from fleetscope.functions.times import minute_label
 from fleetscope.operators.ordered import (
-    SERIES_KEY, SLICE_KEY, fill_forward, lead_within, next_head, slice_heads, with_slices,
+    SERIES, SERIES_KEY, SLICE, SLICE_KEY, fill_forward, neighbours_within, next_head, with_slices,
 )
+from fleetscope.operators.reshape import listed
 from fleetscope.session import checkpointed
 
 SERIES_KEYS = ("con_id", "dbid", "instance_number", "stat_name")
@@ -40,47 +42,77 @@ def counter_totals(facts: DataFrame, snapshots: DataFrame, begin, end, value: st
     return joined.groupBy(*group).agg(F.sum(value).alias("wait_time"))
 
 
-def _exact(df: DataFrame, column: str) -> Column:
-    """The column as a decimal, so that sums of squares do not depend on task order."""
-    kind = df.schema[column].dataType.typeName()
-    target = {"decimal": None, "double": "decimal(38,6)", "float": "decimal(38,6)"}.get(kind, "decimal(20,0)")
-    return F.col(column) if target is None else F.col(column).cast(target)
+def _scale(df: DataFrame, column: str) -> int | None:
+    """Decimal places of a column, None for doubles."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.scale
+    return None if isinstance(kind, T.FractionalType) else 0
 
 
-def _moments(df: DataFrame, column: str) -> list[Column]:
-    """Mergeable parts of the variance of one slice."""
-    exact, plain = _exact(df, column), F.col(column).cast("double")
-    return [
-        F.count(column).alias("_n"),
-        F.try_sum(exact).alias("_s1"),
-        F.try_sum(F.try_multiply(exact, exact)).alias("_s2"),
-        F.min(column).alias("_low"),
-        F.max(column).alias("_high"),
+def _distance(column: str, base: str, scale: int | None) -> tuple[Column, Column]:
+    """``column - base`` as a double, and in whole units of the last decimal place (NULL beyond 18 digits)."""
+    if scale is None:
+        return F.col(column).cast("double") - F.col(base).cast("double"), F.lit(None).cast("decimal(18,0)")
+    wide = f"decimal(38,{scale})"
+    gap = F.try_subtract(F.col(column).cast(wide), F.col(base).cast(wide))
+    return gap.cast("double"), F.try_multiply(gap, F.lit(Decimal(10**scale))).try_cast("decimal(18,0)")
+
+
+def _slice_table(cut: DataFrame, place: str, value: str) -> DataFrame:
+    """One row per (series, slice): first and last value, and the moments of the values' distance from the slice's smallest.
+
+    A shift changes no variance and keeps the squares small, whatever the counter's size.
+    """
+    based = cut.withColumn("_base", F.min(value).over(W.partitionBy(*SLICE_KEY)))
+    plain, steps = _distance(value, "_base", _scale(cut, value))
+    return based.groupBy(*SLICE_KEY).agg(
+        F.min_by(value, place).alias("_head"),
+        F.max_by(value, place).alias("_tail"),
+        F.min("_base").alias("_base"),
+        F.max(value).alias("_high"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(value).alias("_n"),
+        F.count(steps).alias("_counted"),
+        F.try_sum(steps).alias("_s1"),
+        F.try_sum(F.try_multiply(steps, steps)).alias("_s2"),
         F.avg(plain).alias("_mean"),
         F.var_pop(plain).alias("_spread"),
-    ]
+    )
 
 
-def _series_variance(over: W) -> Column:
-    """Sample variance of a series from its slices' parts.
+def _with_variance(slices: DataFrame, scale: int | None) -> DataFrame:
+    """Add ``waits_var``, the sample variance of the whole series, to its slices.
 
-    Exact decimals where they fit 38 digits, merged double moments beyond; a constant series
-    is exactly 0 and a series of one value is NULL.
+    The slices' moments are moved to the series' smallest value. Whole-number sums give the exact variance, so task order doesn't
+    change it; where 38 digits don't hold them, and for doubles, means and centred sums are merged. A constant
+    series is exactly 0 and a series of one value is NULL.
     """
-    n = F.sum("_n").over(over)
-    # A partial sum that overflowed is NULL; the total then must not be used.
-    intact = F.count("_s2").over(over) == F.count(F.when(F.col("_n") > 0, 1)).over(over)
-    s1, s2 = F.try_sum("_s1").over(over), F.try_sum("_s2").over(over)
-    numerator = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), s2), F.try_multiply(s1, s1))
-    exact = F.when(intact, numerator.cast("double"))
-    pairs = (n * (n - 1)).cast("double")
-    mean = F.sum(F.col("_mean") * F.col("_n")).over(over) / n
-    within = F.sum(F.col("_spread") * F.col("_n")).over(over)
-    between = F.sum(F.col("_n") * F.col("_mean") * F.col("_mean")).over(over) - n * mean * mean
-    return (
+    whole = W.partitionBy(*SERIES_KEY)
+    placed = slices.withColumn("_of", F.min("_base").over(whole))
+    plain, steps = _distance("_base", "_of", scale)
+    count = F.col("_n").cast("decimal(20,0)")
+    moved = placed.withColumns({
+        "_mean": F.col("_mean") + plain,
+        "_t1": F.try_add(F.col("_s1"), F.try_multiply(count, steps)),
+        "_t2": F.try_add(F.col("_s2"), F.try_add(
+            F.try_multiply(F.try_multiply(F.lit(2), steps), F.col("_s1")),
+            F.try_multiply(count, F.try_multiply(steps, steps)))),
+    })
+    n = F.sum("_n").over(whole)
+    centred = moved.withColumn("_centre", F.sum(F.col("_mean") * F.col("_n")).over(whole) / n)
+    # A sum that overflowed is NULL, and steps beyond 18 digits are not counted; the totals then must not be used.
+    full = F.when((F.col("_counted") == F.col("_n")) & F.col("_t1").isNotNull() & F.col("_t2").isNotNull(), F.col("_n"))
+    s1, s2 = F.try_sum("_t1").over(whole), F.try_sum("_t2").over(whole)
+    numerator = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), s2), F.try_multiply(s1, s1)).cast("double")
+    exact = F.when(F.sum(full).over(whole) == n, numerator / (n * (n - 1)).cast("double") / F.lit(float(100 ** (scale or 0))))
+    gap = F.col("_mean") - F.col("_centre")
+    merged = F.sum((F.col("_spread") + gap * gap) * F.col("_n")).over(whole) / (n - 1)
+    return centred.withColumn(
+        "waits_var",
         F.when(n < 2, F.lit(None).cast("double"))
-        .when(F.min("_low").over(over) == F.max("_high").over(over), F.lit(0.0))
-        .otherwise(F.coalesce(exact / pairs, (within + between) / (n - 1)))
+        .when(F.min("_base").over(whole) == F.max("_high").over(whole), F.lit(0.0))
+        .otherwise(F.coalesce(exact, merged)),
     )
 
 
@@ -91,43 +123,43 @@ def counter_deltas(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, order
     """Add ``<value>_delta`` (next minus current) and ``waits_var`` (variance of the series).
 
     ``keep_constant=False`` drops series whose variance is 0 or undefined. ``on_reset="null"``
-    blanks a negative delta (a restart set the counter back). ``fill_last`` repeats the previous
-    delta on the last row of a series, which has no next value.
+    blanks a negative delta (a restart set the counter back). ``fill_last`` gives the last row of a
+    series, which has no next value, the delta of the row before it; other gaps stay.
 
     ``order`` must be an integer; slices of ``slice_snapshots`` keep window groups bounded. The
     table of slice borders has one row per (series, slice) and serves delta and variance alike.
     ``ties`` order the rows of one snapshot where the series has several.
     """
     delta = f"{value}_delta"
-    slice_expr = F.col(order) - F.pmod(F.col(order), F.lit(slice_snapshots))
-    cut = with_slices(totals, series, slice_expr)
+    cut = with_slices(totals, series, _slice_of(order, slice_snapshots))
     place = order
     if ties:
         place = "_place"
         cut = cut.withColumn(place, F.struct(order, *ties))
-    whole = W.partitionBy(*SERIES_KEY)
-    borders = slice_heads(cut, place, value, *_moments(cut, value)).select(
-        *SLICE_KEY, next_head().alias("_border"), _series_variance(whole).alias("waits_var")
+    by_slice = W.partitionBy(*SERIES_KEY).orderBy(SLICE)
+    borders = _with_variance(_slice_table(cut, place, value), _scale(totals, value)).select(
+        *SLICE_KEY, next_head().alias("_border"), F.lag("_tail").over(by_slice).alias("_before"),
+        F.lead(F.lit(True)).over(by_slice).isNull().alias("_final"), "waits_var",
     )
     if not keep_constant:
         borders = borders.filter(F.col("waits_var") != 0)
-    joined = lead_within(cut, place, value).join(borders, list(SLICE_KEY))
+    joined = neighbours_within(cut, place, value).join(borders, list(SLICE_KEY))
     following = F.when(F.col("_inside"), F.col("_next")).otherwise(F.col("_border"))
     change = following - F.col(value)
+    if fill_last:
+        previous = F.when(F.col("_after"), F.col("_previous")).otherwise(F.col("_before"))
+        last = F.col("_final") & F.col("_inside").isNull()
+        change = F.when(last, F.col(value) - previous).otherwise(change)
     if on_reset == "null":
         change = F.when(change >= 0, change)
     elif on_reset != "keep":
         raise ValueError("on_reset is 'keep' or 'null'")
     variance = F.col("waits_var") if var_round is None else F.round("waits_var", var_round)
-    out = joined.withColumn(delta, change).withColumn("waits_var", variance).select(
-        *totals.columns, delta, "waits_var"
-    )
-    if not fill_last:
-        return out
-    if not ties:
-        return fill_forward(out, series, order, delta, slice_expr)
-    placed = out.withColumn("_place", F.struct(order, *ties))
-    return fill_forward(placed, series, "_place", delta, slice_expr).drop("_place")
+    return joined.withColumn(delta, change).withColumn("waits_var", variance).select(*totals.columns, delta, "waits_var")
+
+
+def _slice_of(order: str, slice_snapshots: int) -> Column:
+    return F.col(order) - F.pmod(F.col(order), F.lit(slice_snapshots))
 
 
 def counter_history(facts: DataFrame, snapshots: DataFrame, begin, end, value: str = "value",
@@ -145,26 +177,38 @@ def counter_history(facts: DataFrame, snapshots: DataFrame, begin, end, value: s
     return counter_deltas(totals, [*series, *extra], **delta_options)
 
 
-def series_variance(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, value: str = "wait_time") -> DataFrame:
-    """(series, row_count, waits_var) of every series that is not constant: one aggregation, no window."""
-    parts = totals.groupBy(*series).agg(F.count(F.lit(1)).alias("row_count"), *_moments(totals, value))
-    exact = F.try_subtract(
-        F.try_multiply(F.col("_n").cast("decimal(20,0)"), F.col("_s2")), F.try_multiply(F.col("_s1"), F.col("_s1"))
-    ).cast("double") / (F.col("_n") * (F.col("_n") - 1)).cast("double")
-    plain = F.col("_spread") * F.col("_n") / (F.col("_n") - 1)
-    varied = parts.filter((F.col("_n") > 1) & (F.col("_low") != F.col("_high")))
-    return varied.select(*series, "row_count", F.coalesce(exact, plain).alias("waits_var"))
+def series_variance(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, value: str = "wait_time",
+                    order: str = "snap_id", slice_snapshots: int = SLICE_SNAPSHOTS) -> DataFrame:
+    """(series, row_count, waits_var) of every series that is not constant."""
+    cut = with_slices(totals, series, _slice_of(order, slice_snapshots))
+    slices = _with_variance(_slice_table(cut, order, value), _scale(totals, value))
+    found = slices.groupBy(*SERIES_KEY).agg(F.sum("_rows").alias("row_count"), F.max("waits_var").alias("waits_var"))
+    return found.filter(F.col("waits_var") != 0).select(f"{SERIES}.*", "row_count", "waits_var")
 
 
 def series_scores(variances: DataFrame, tenant: Sequence[str] = ("con_id",),
                   series: Sequence[str] = ("stat_name", "instance_number"), score: str = "waits_var") -> DataFrame:
-    """Mean of ``score`` over the rows of a charted series; decimals keep equal series equal.
+    """Mean of ``score`` over the rows of a charted series.
 
-    A charted series may consist of several stored ones (latch levels), each weighted by its rows.
+    A charted series may consist of several stored ones (latch levels), each weighted by its rows. Doubles of one power of
+    two are added as decimals, the powers (about 2000 at most) in their order: any magnitude keeps its digits and
+    the sum does not depend on task order.
     """
-    weighted = F.sum(F.col(score).cast("decimal(38,4)") * F.col("row_count"))
-    mean = weighted.cast("double") / F.sum("row_count")
-    return variances.groupBy(*tenant, *series).agg(mean.alias("score"))
+    keys = [*tenant, *series]
+    weighted = F.col(score) * F.col("row_count")
+    power = F.when(weighted > 0, F.floor(F.log2(weighted))).otherwise(F.lit(0)).cast("int")
+    parts = (
+        variances.select(*keys, score, "row_count", power.alias("_power"),
+                         (weighted / F.pow(F.lit(2.0), power)).cast("decimal(20,18)").alias("_part"))
+        .groupBy(*keys, "_power")
+        .agg(F.sum("_part").cast("double").alias("_part"), F.sum("row_count").alias("_rows"),
+             F.min(score).alias("_least"), F.max(score).alias("_most"))
+    )
+    total = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("_power", "_part"))), F.lit(0.0),
+        lambda acc, p: acc + p["_part"] * F.pow(F.lit(2.0), p["_power"]))
+    mean = F.when(F.min("_least") == F.max("_most"), F.max("_most")).otherwise(total / F.sum("_rows"))
+    return parts.groupBy(*keys).agg(mean.alias("score"))
 
 
 def top_series(variances: DataFrame, tenant: Sequence[str] = ("con_id",),
@@ -225,9 +269,11 @@ def series_matrix(points: DataFrame, slots: int, index: Sequence[str] = ("con_id
     """Time x series matrix with one column per rank, mean of the values, gaps as 0.
 
     Columns are ranks, not names: the schema is fixed without a look at the data, and tenants with
-    different series share one table. ``series_legend`` maps a rank back to its series.
+    different series share one table. ``series_legend`` maps a rank back to its series. A rank beyond
+    ``slots`` stops the job: with listed series, leave room for them after the first k.
     """
     ranks = list(range(1, slots + 1))
+    points = points.withColumn(rank, listed(rank, ranks))
     wide = points.groupBy(*index).pivot(rank, ranks).agg(F.avg(F.col(value).cast("double")))
     named = wide.withColumnsRenamed({str(r): f"series_{r:02d}" for r in ranks})
     return named.na.fill(0.0, [f"series_{r:02d}" for r in ranks])
@@ -240,7 +286,7 @@ def series_legend(chosen: DataFrame, tenant: Sequence[str] = ("con_id",),
 
 def named_matrix(points: DataFrame, names: Sequence[str], index: Sequence[str] = ("begin_interval_time",),
                  value: str = "wait_time_delta") -> DataFrame:
-    """Time x series matrix for a caller's list of series labels."""
+    """Time x series matrix of the series labels a caller picks out."""
     wide = points.groupBy(*index).pivot("series", list(names)).agg(F.avg(F.col(value).cast("double")))
     return wide.na.fill(0.0, list(names))
 

@@ -38,6 +38,14 @@ def lead_within(df: DataFrame, order: str, value: str) -> DataFrame:
     )
 
 
+def neighbours_within(df: DataFrame, order: str, value: str) -> DataFrame:
+    """``lead_within`` plus ``_previous`` and ``_after``: the previous value, and whether it lies in the same slice."""
+    window = W.partitionBy(*SLICE_KEY).orderBy(F.col(order).asc_nulls_last())
+    return lead_within(df, order, value).withColumn("_previous", F.lag(value).over(window)).withColumn(
+        "_after", F.lag(F.lit(True)).over(window)
+    )
+
+
 def next_head() -> Column:
     """First value of the following slice, over the table of heads."""
     return F.lead("_head").over(W.partitionBy(*SERIES_KEY).orderBy(SLICE))

@@ -7,6 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def listed(column: str, values: Sequence) -> Column:
+    """The column itself; a value outside ``values`` stops the job, so that a pivot over them loses nothing."""
+    found = F.coalesce(F.col(column).cast("string"), F.lit("NULL"))
+    return F.when(F.col(column).isin(list(values)), F.col(column)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{column} is not among the columns asked for: "), found))
+    )
+
+
 def settings_rows(df: DataFrame, ids: Sequence[str], name: str = "setting", value: str = "value") -> DataFrame:
     """One row per column of a configuration row; all values become text."""
     others = [c for c in df.columns if c not in ids]

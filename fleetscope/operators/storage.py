@@ -94,13 +94,14 @@ def temp_usage_matrix(long_rows: DataFrame, ids: Sequence[str] = ("con_id", "tab
 
 
 def file_overview(files: DataFrame, keys: Sequence[str] = ("con_id",), tablespace: str = "ts#",
-                  size: str = "bytes") -> DataFrame:
-    """Number of files, total MB and number of tablespaces over all rows."""
+                  size: str = "bytes", within: Sequence[str] = ()) -> DataFrame:
+    """Number of files, total MB and number of tablespaces over all rows, or of each ``within`` (a fleet's bundle)."""
     parts = [F.col(c) for c in (*keys, tablespace)]
-    per_space = files.groupBy(*parts).agg(F.count(F.lit(1)).alias("_files"), F.sum(size).alias("_bytes"))
+    more = [c for c in within if c not in keys]
+    per_space = files.groupBy(*more, *parts).agg(F.count(F.lit(1)).alias("_files"), F.sum(size).alias("_bytes"))
     # A tablespace with a NULL in its key does not count.
     known = F.when(sum([p.isNull().cast("int") for p in parts], F.lit(0)) == 0, 1)
-    return per_space.agg(
+    return per_space.groupBy(*within).agg(
         F.coalesce(F.sum("_files"), F.lit(0)).alias("file_count"),
         (F.sum("_bytes") / F.lit(1048576)).alias("total_mb"),
         F.count(known).alias("tablespace_count"),

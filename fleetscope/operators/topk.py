@@ -62,18 +62,19 @@ STATEMENT_MEASURES = {
 }
 
 
-# Places kept of a sum of quotients: below the noise that the order of addition leaves.
-RATIO_PLACES = 6
+# Quotients are added with this many places and 24 digits before the point, their sum is shown with fewer.
+RATIO_SUM, RATIO_PLACES = "decimal(38,14)", 6
 
 
 def measure_sum(measure: Measure, positive_only: bool = False) -> Column:
     """Summed measure; ``positive_only`` leaves rows without a positive measure out of the sum.
 
-    Quotients are added as doubles and rounded, so that equal sums stay equal whatever order tasks
-    deliver them in, and ties fall to the tie-break columns.
+    Quotients are added as decimals, so that a sum does not depend on the order in which tasks deliver its parts.
     """
     value = F.when(F.col(measure.column) > 0, measure.value()) if positive_only else measure.value()
-    return F.sum(value) if measure.per is None else F.round(F.sum(value), RATIO_PLACES)
+    if measure.per is None:
+        return F.sum(value)
+    return F.round(F.sum(value.cast(RATIO_SUM)), RATIO_PLACES).cast("double")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], value: str, k: int, ties: Sequence[str] = (),
@@ -94,6 +95,13 @@ def top_overall(df: DataFrame, value: str, k: int, ties: Sequence[str] = ()) ->
     return df.orderBy(*order).limit(k)
 
 
+def top_within(df: DataFrame, within: Sequence[str], value: str, k: int, ties: Sequence[str] = ()) -> DataFrame:
+    """First ``k`` rows of each ``within`` (a fleet's bundle), of all rows without one."""
+    if not within:
+        return top_overall(df, value, k, ties)
+    return top_per_group(df, within, value, k, ties, rank="_rank").drop("_rank")
+
+
 def topk_statements(statements: DataFrame, measure: Measure, keys: Sequence[str] = ("con_id",),
                     item: Sequence[str] = ("sql_id", "sql_text"), executions: str = "executions",
                     k: int = 5) -> DataFrame:
@@ -149,13 +157,13 @@ def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tup
 
 
 def statements_to_pin(statements: DataFrame, keys: Sequence[str] = ("con_id",), min_bytes: int = 190000,
-                      k: int = 15) -> DataFrame:
-    """Large statements loaded more often than invalidated, most loads first."""
-    return top_overall(
+                      k: int = 15, within: Sequence[str] = ()) -> DataFrame:
+    """Large statements loaded more often than invalidated, most loads first: ``k`` in all or ``k`` of each ``within``."""
+    return top_within(
         statements.filter((F.col("loads") > F.col("invalidations")) & (F.col("sharable_mem") > min_bytes))
         .groupBy(*keys, "sql_text")
         .agg(*[F.sum(c).alias(c) for c in ("sharable_mem", "invalidations", "loads")]),
-        "loads", k, [*keys, "sql_text"],
+        within, "loads", k, [*keys, "sql_text"],
     )
 
 
@@ -165,8 +173,8 @@ PIN_TYPES = ["PACKAGE", "PACKAGE BODY", "FUNCTION", "PROCEDURE"]
 
 
 def code_to_pin(object_cache: DataFrame, keys: Sequence[str] = ("con_id",), min_bytes: int = 1000,
-                min_executions: int = 10, k: int = 15) -> DataFrame:
-    """Stored code worth keeping in memory, largest first."""
+                min_executions: int = 10, k: int = 15, within: Sequence[str] = ()) -> DataFrame:
+    """Stored code worth keeping in memory, largest first: ``k`` in all or ``k`` of each ``within``."""
     wanted = (
         (F.col("sharable_mem") > min_bytes)
         & (F.col("executions") > min_executions)
@@ -176,7 +184,7 @@ def code_to_pin(object_cache: DataFrame, keys: Sequence[str] = ("con_id",), min_
     )
     group = [*keys, "owner", "name", "type"]
     summed = object_cache.filter(wanted).groupBy(*group).agg(F.sum("sharable_mem").alias("sharable_mem"))
-    return top_overall(summed, "sharable_mem", k, group)
+    return top_within(summed, within, "sharable_mem", k, group)
 
 
 def statement_area_summary(area: DataFrame, instances: DataFrame, keys: Sequence[str] = ("con_id",),

@@ -145,7 +145,7 @@ def _temp(t, s):
 
 @report("datafile-overview", "datafile")
 def _overview(t, s):
-    return storage.file_overview(t["datafile"], s.keys)
+    return storage.file_overview(t["datafile"], s.keys, within=s.bundle)
 
 
 @report("fra-summary", "recovery_file_dest")
@@ -179,12 +179,12 @@ def _all_measures(t, s):
 
 @report("pin-plsql", "object_cache")
 def _pin_code(t, s):
-    return topk.code_to_pin(t["object_cache"], s.keys)
+    return topk.code_to_pin(t["object_cache"], s.keys, within=s.bundle)
 
 
 @report("pin-sql", "statements")
 def _pin_statements(t, s):
-    return topk.statements_to_pin(t["statements"], s.keys)
+    return topk.statements_to_pin(t["statements"], s.keys, within=s.bundle)
 
 
 @report("dbfile-iostat", "datafile", "filestat")

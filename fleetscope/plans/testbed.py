@@ -59,9 +59,10 @@ def as_double(df: DataFrame, column: str, digits: int | None = None) -> DataFram
 # ---------------------------------------------------------------- top-k statements
 
 
-def statements(spark: SparkSession, folder: str) -> DataFrame:
+def statements(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
     """Line items as statements: tenant = return flag, statement = part."""
     return table(spark, folder, "lineitem").select(
+        *more,
         F.col("l_returnflag").alias("con_id"),
         F.col("l_partkey").alias("sql_id"),
         F.concat(F.lit("stmt "), text("l_partkey")).alias("sql_text"),
@@ -142,6 +143,13 @@ def statements_pin_first15(spark, folder):
     return topk.statements_to_pin(statements(spark, folder))
 
 
+@query
+def pin_first15_fleet(spark, folder):
+    """Fifteen statements of each database of a fleet; the line status stands for the bundle."""
+    lines = statements(spark, folder, F.col("l_linestatus").alias("bundle_id"))
+    return topk.statements_to_pin(lines, ("bundle_id", "con_id"), within=("bundle_id",))
+
+
 @query
 def statement_summary(spark, folder):
     area = statements(spark, folder).select(
@@ -286,6 +294,36 @@ def counter_pivot(spark, folder):
     return counters.series_matrix(counters.series_points(totals, chosen), 15)
 
 
+@query
+def counter_pivot_included(spark, folder):
+    """Listed series keep their columns after the first 15."""
+    chosen = checkpointed(supplier_top(spark, folder, include=["1", "2", "3"]))
+    few = counters.only_series(by_supplier(spark, folder), chosen)
+    totals = counters.counter_totals(few, month_snapshots(spark, folder), LINES_BEGIN, LINES_END)
+    return counters.series_matrix(counters.series_points(totals, chosen), 15 + 3 * 4)
+
+
+@query
+def counter_large_values(spark, folder):
+    """Counters near 1e16 and 1e18 vary as little as they do near 0, in slices of 5 snapshots too."""
+    value = F.col("value")
+    kinds = {"decimal": (value + F.lit(10**16)).cast("decimal(38,6)"), "bigint": value + F.lit(10**18)}
+    parts = [
+        history(spark, folder, by_status(spark, folder).withColumn("value", big), var_round=2, slice_snapshots=width).select(
+            F.lit(kind).alias("kind"), F.lit(width).alias("width"), "con_id", "instance_number", "stat_name", "snap_id",
+            whole("wait_time_delta").alias("wait_time_delta"), "waits_var")
+        for kind, big in kinds.items() for width in (5, counters.SLICE_SNAPSHOTS)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def counter_reset_fill(spark, folder):
+    """A counter that wraps: resets stay blank, only the last row repeats its forerunner's delta."""
+    facts = by_status(spark, folder).withColumn("value", F.col("value") % 997)
+    return history(spark, folder, facts, fill_last=True, on_reset="null", slice_snapshots=5).drop("waits_var")
+
+
 @query
 def counter_section_pivot(spark, folder):
     """The same matrix from a stored section, last deltas filled."""
@@ -440,6 +478,15 @@ def usage_wide_pivot(spark, folder):
     return storage.temp_usage_matrix(temp_rows(spark, folder))
 
 
+@query
+def file_overview_fleet(spark, folder):
+    """An overview of each database of a fleet; the line number stands for the bundle."""
+    files = table(spark, folder, "lineitem").select(
+        F.col("l_linenumber").alias("bundle_id"), F.col("l_returnflag").alias("con_id"), F.col("l_linestatus").alias("ts#"),
+        cents("l_extendedprice").alias("bytes"))
+    return storage.file_overview(files, ("bundle_id", "con_id"), within=("bundle_id",))
+
+
 @query
 def file_overview(spark, folder):
     files = table(spark, folder, "lineitem").select(
@@ -939,19 +986,17 @@ def event_stream(spark, folder) -> DataFrame:
 
 @query
 def load_peak_stream(spark, folder):
-    """Streaming peak load per ten minutes; buckets the watermark has not passed stay open."""
+    """Streaming peak load per ten minutes, open buckets included."""
     rows = event_stream(spark, folder).withColumnRenamed("event_type", "con_id").select("con_id", "ts")
     out = shared_folder(spark, "stream")
-    streams.run_available(streams.peak_load_stream(rows, ts="ts"), f"{out}/rows", f"{out}/state")
-    return spark.read.parquet(f"{out}/rows")
+    return streams.peak_load(streams.run_available(rows, streams.load_counts(ts="ts"), f"{out}/rows", f"{out}/state"))
 
 
 @query
 def active_by_state_stream(spark, folder):
     rows = event_stream(spark, folder).withColumn("con_id", (F.col("user_id") % 3).cast("int"))
-    counted = streams.active_by_state_stream(
-        rows, ts="ts", state=classify.first_match(F.col("event_type"), EVENT_STATES, "WAIT"),
+    reduce = streams.state_counts(
+        ts="ts", state=classify.first_match(F.col("event_type"), EVENT_STATES, "WAIT"),
         foreground=F.col("event_type") != "signup")
     out = shared_folder(spark, "stream")
-    streams.run_available(counted, f"{out}/rows", f"{out}/state")
-    return spark.read.parquet(f"{out}/rows")
+    return streams.active_by_state(streams.run_available(rows, reduce, f"{out}/rows", f"{out}/state"))

@@ -67,6 +67,46 @@ def test_variance_beyond_exact_digits(frame):
     assert var.first().waits_var == pytest.approx(7.5e33)
 
 
+@pytest.mark.parametrize("kind, base", [("bigint", 10**18), ("decimal(38,6)", 10**16), ("decimal(38,0)", 10**30), ("double", 10**12)])
+@pytest.mark.parametrize("width", [5, 4096])
+def test_variance_of_large_counters(frame, kind, base, width):
+    """Fifty snapshots rising by 1 vary by 212.5 wherever they start."""
+    rows = frame(TOTALS, series([(i, i) for i in range(50)])).withColumn(
+        "wait_time", (F.col("wait_time").cast("decimal(38,0)") + F.lit(str(base)).cast("decimal(38,0)")).cast(kind))
+    assert counters.counter_deltas(rows, slice_snapshots=width).first().waits_var == pytest.approx(212.5)
+    found = counters.series_variance(rows, slice_snapshots=width).first()
+    assert (found.row_count, found.waits_var) == (50, pytest.approx(212.5))
+
+
+def test_variance_with_a_far_outlier(frame):
+    rows = frame(TOTALS, series([(i, i if i else -9 * 10**18) for i in range(50)]))
+    values = [-9.0e18, *range(1, 50)]
+    mean = sum(values) / 50
+    expected = sum((v - mean) ** 2 for v in values) / 49
+    assert counters.series_variance(rows, slice_snapshots=7).first().waits_var == pytest.approx(expected)
+
+
+def test_scores_of_any_size(frame):
+    ddl = "con_id INT, stat_name STRING, instance_number INT, waits_var DOUBLE, row_count BIGINT"
+    rows = frame(ddl, [(1, "big", 1, 1e40, 2), (1, "big", 1, 3e40, 2), (1, "small", 1, 1e-9, 3), (1, "less", 1, 1e-12, 3)])
+    found = {r.stat_name: r.score for r in counters.series_scores(rows).collect()}
+    assert found == {"big": pytest.approx(2e40), "small": 1e-9, "less": 1e-12}
+
+
+def test_matrix_without_room_stops(frame):
+    points = frame("con_id INT, begin_interval_time STRING, series_rank INT, wait_time_delta BIGINT", [(1, "a", 1, 5), (1, "a", 2, 6)])
+    assert counters.series_matrix(points, 2).first().series_02 == 6.0
+    with pytest.raises(Exception, match="series_rank is not among"):
+        counters.series_matrix(points, 1).collect()
+
+
+def test_only_the_last_row_is_filled(frame):
+    rows = series([(1, 10), (2, 20), (3, 5), (4, 9)])
+    for width in (1, 2, 4096):
+        out = counters.counter_deltas(frame(TOTALS, rows), on_reset="null", fill_last=True, slice_snapshots=width)
+        assert by_snap(out, "wait_time_delta") == [(10,), (None,), (4,), (4,)]
+
+
 def test_reset_can_be_blanked(frame):
     rows = series([(1, 5), (2, 9), (3, 1), (4, 2)])
     assert by_snap(counters.counter_deltas(frame(TOTALS, rows)), "wait_time_delta") == [(4,), (-8,), (1,), (None,)]

@@ -82,3 +82,16 @@ def test_pin_lists(frame):
     sql = frame("con_id INT, sql_text STRING, sharable_mem BIGINT, invalidations BIGINT, loads BIGINT",
                 [(1, "a", 200000, 1, 5), (1, "a", 200000, 0, 2), (1, "b", 190000, 0, 9), (1, "c", 300000, 9, 9)])
     assert [tuple(r) for r in topk.statements_to_pin(sql).collect()] == [(1, "a", 400000, 1, 7)]
+
+
+def test_ratio_sums_do_not_depend_on_partitions(spark, frame):
+    """Sums near 5e17 of quotients that doubles cannot hold: one value whatever the partitioning."""
+    ddl = "con_id INT, sql_id INT, sql_text STRING, cpu_time BIGINT, executions BIGINT"
+    rows = [(1, 1, "s", 10**15 + 7919 * i, 3 + i % 4) for i in range(2000)]
+    cpu = topk.Measure("cpu", "cpu_time", "executions")
+    values = set()
+    for parts in (1, 3, 7, 16):
+        df = frame(ddl, rows).repartition(parts, "cpu_time")
+        values.add(topk.topk_statements(df, cpu).first().value)
+        values.add(float(topk.topk_statements_all(df, [cpu]).first().value))
+    assert len(values) == 1

@@ -219,13 +219,15 @@ def top_series(variances: DataFrame, tenant: Sequence[str] = ("con_id",),
 
     ``variances`` comes from ``series_variance``: ranking needs no deltas.
 
-    ``exclude`` (for example the idle events) is removed before ranking. ``include`` lists stats
+    ``exclude`` (for example the idle events) is removed before ranking, within the tenant columns it carries (a
+    fleet's releases don't agree on what is idle). ``include`` lists stats
     that stay whatever their rank; they take the ranks after the first ``k``.
     """
     scores = series_scores(variances, tenant, series)
     if exclude is not None:
-        names = exclude.select(F.col(exclude_column).alias(stat)).distinct()
-        scores = scores.join(names, stat, "left_anti")
+        within = [c for c in tenant if c in exclude.columns]
+        names = exclude.select(*within, F.col(exclude_column).alias(stat)).distinct()
+        scores = scores.join(names, [*within, stat], "left_anti")
     order = [F.col("score").desc_nulls_last(), *[F.col(c) for c in series]]
     ranked = W.partitionBy(*tenant).orderBy(*order)
     best = scores.withColumn("series_rank", F.row_number().over(ranked)).filter(F.col("series_rank") <= k)
@@ -368,7 +370,7 @@ def counter_chart(name: str, history: DataFrame, snapshots: DataFrame, begin, en
         idle = event_classes.filter(F.col("wait_class") == "Idle")
     chosen = checkpointed(top_series(series_variance(totals, stored), keys, k=k, include=spec.include, exclude=idle))
     options.setdefault("fill_last", True)
-    few = only_series(history.withColumn("stat_name", F.col(spec.stat)), chosen, keys).drop("stat_name")
+    few = only_series(history.withColumn("stat_name", F.col(spec.stat)), chosen, keys)
     again, _ = report_totals(name, few, snapshots, begin, end, keys, snap_keys)
     return series_points(again, chosen, keys, keys=stored, **options), chosen
 

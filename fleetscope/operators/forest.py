@@ -23,10 +23,15 @@ def forest(nodes: DataFrame, id_column: str, parent_column: str, keys: Sequence[
     """Rows (keys, id, parent, root, depth[, path]) of every node reachable from a root.
 
     A root has a NULL parent. Orphans, cycles and their descendants have no row. Ids must be unique
-    within ``keys``. ``path`` lists ids from the root to the node.
+    within ``keys``, else ValueError; NULL ids are nobody's parent and may repeat. The nodes are read
+    once, when the forest is built. ``path`` lists ids from the root to the node; in deep trees leave
+    it out, because a chain of d nodes holds d * d / 2 ids.
     """
     group = list(keys)
-    base = nodes.select(*group, F.col(id_column).alias("id"), F.col(parent_column).alias("parent"))
+    base = checkpointed(nodes.select(*group, F.col(id_column).alias("id"), F.col(parent_column).alias("parent")))
+    repeated = base.filter(F.col("id").isNotNull()).groupBy(*group, "id").agg(F.count(F.lit(1)).alias("rows"))
+    if not repeated.filter("rows > 1").isEmpty():
+        raise ValueError(f"{id_column} repeats within {group}: a forest needs unique ids")
     path = [F.array("id").alias("path")] if with_path else []
     roots = base.filter(F.col("parent").isNull()).select(
         *group, "id", "parent", F.col("id").alias("root"), F.lit(0).alias("depth"), *path

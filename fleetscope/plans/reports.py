@@ -18,6 +18,8 @@ class Scope:
     """Keys and times of a run.
 
     ``tenant`` is empty for a database without tenants; ``bundle`` is ``("bundle_id",)`` for a fleet.
+    ``snap_keys`` joins counters with snapshots: name the instance where each has snapshot rows of its own.
+    ``session_status`` and ``job_state`` filter the session and job reports.
     """
 
     as_of: str
@@ -26,6 +28,9 @@ class Scope:
     tenant: tuple[str, ...] = ("con_id",)
     bundle: tuple[str, ...] = ()
     numeric_parameter_types: tuple[int, ...] = (3, 6)
+    snap_keys: tuple[str, ...] | None = None
+    session_status: str | None = None
+    job_state: str | None = None
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -62,7 +67,7 @@ for _section, _source in {
 
 @report("current-sessions", "sessions")
 def _sessions(t, s):
-    return sessions.user_sessions(t["sessions"])
+    return sessions.user_sessions(t["sessions"], s.session_status)
 
 
 @report("patch-info", "registry_history")
@@ -199,22 +204,22 @@ def _temp_io(t, s):
 
 @report("sessions-by-user-machine", "sessions")
 def _by_machine(t, s):
-    return sessions.top_groups(sessions.user_sessions(t["sessions"]), ["username", "machine"], within=s.bundle)
+    return sessions.top_groups(sessions.user_sessions(t["sessions"], s.session_status), ["username", "machine"], within=s.bundle)
 
 
 @report("sessions-by-event", "sessions")
 def _by_event(t, s):
-    return sessions.top_groups(sessions.user_sessions(t["sessions"]), ["event"], within=s.bundle)
+    return sessions.top_groups(sessions.user_sessions(t["sessions"], s.session_status), ["event"], within=s.bundle)
 
 
 @report("sessions-by-sql", "sessions")
 def _by_sql(t, s):
-    return sessions.top_groups(sessions.user_sessions(t["sessions"]), ["sql_id"], within=s.bundle)
+    return sessions.top_groups(sessions.user_sessions(t["sessions"], s.session_status), ["sql_id"], within=s.bundle)
 
 
 @report("session-blocking", "sessions")
 def _blocking(t, s):
-    return sessions.blocking_forest(sessions.user_sessions(t["sessions"]), s.bundle)
+    return sessions.blocking_forest(sessions.user_sessions(t["sessions"], s.session_status), s.bundle)
 
 
 @report("uncommit-tx", "transactions", "rollname", "sessions", "parameter")
@@ -241,7 +246,7 @@ def _states(t, s):
 
 def _counter(name: str, source: str) -> Report:
     return Report((source, "snapshot"), lambda t, s: counters.counter_report(
-        name, lower_names(t[source]), t["snapshot"], s.begin, s.end, s.keys))
+        name, lower_names(t[source]), t["snapshot"], s.begin, s.end, s.keys, s.snap_keys))
 
 
 # Counter section -> history table.
@@ -275,7 +280,7 @@ def _tasks(t, s):
 
 @report("sched-jobs", "scheduler_jobs")
 def _jobs(t, s):
-    return config.scheduler_jobs(t["scheduler_jobs"])
+    return config.scheduler_jobs(t["scheduler_jobs"], s.job_state)
 
 
 @report("redundent-indexes", "index_columns", "indexes", "objects", "owners")
@@ -306,6 +311,15 @@ def _table_density(t, s):
     return indexes.table_density(t["tables"], t["objects"], t["owners"], _block_size(t, s), reads, s.bundle)
 
 
+def run_chart(name: str, tables: Tables, scope: Scope, k: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Points and legend of a counter section's chart, from its history: ``k`` series per tenant by variance, listed
+    statistics besides, idle events left out where ``event_name`` is at hand. Ranking runs at once."""
+    history = lower_names(tables[COUNTER_SOURCES[name]])
+    classes = run_report("idle-events", tables, scope) if "event_name" in tables else None
+    return counters.counter_chart(name, history, tables["snapshot"], scope.begin, scope.end, scope.keys, scope.snap_keys,
+                                  event_classes=classes, k=k)
+
+
 def run_report(name: str, tables: Tables, scope: Scope) -> DataFrame:
     """Build one report; a missing source table is named in the error."""
     spec = REPORTS[name]

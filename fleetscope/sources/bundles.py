@@ -28,6 +28,7 @@ from fleetscope.sources.schemas import SECTIONS, schema_of
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_ROWS = 4096
+LONGEST_CELL = 2**31 - 1  # what an Arrow string can hold
 CELLS = pa.schema([
     ("bundle_id", pa.string()), ("section", pa.string()), ("row_no", pa.int64()),
     ("cells", pa.map_(pa.string(), pa.string())),
@@ -47,6 +48,7 @@ def section_of_member(member: str) -> str | None:
 
 
 def _rows(content: bytes, wanted: frozenset[str] | None) -> Iterator[tuple[str, int, list[tuple[str, str]]]]:
+    csv.field_size_limit(LONGEST_CELL)  # statement texts exceed the module's own limit of 131,072
     with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as archive:
         for member in archive:
             section = section_of_member(member.name)
@@ -123,8 +125,8 @@ def read_bundle_section(spark: SparkSession, path: str, section: str, extra: boo
 
 
 def ingest_bundles(spark: SparkSession, path: str, out: str) -> None:
-    """Read every bundle once and store all sections as Parquet, one folder per section."""
-    cells = bundle_cells(spark, path, SECTIONS)
+    """Read every bundle once and store all members as Parquet, one folder per section; unknown ones keep their name."""
+    cells = bundle_cells(spark, path)
     cells.hint("rebalance", "section").write.mode("overwrite").partitionBy("section").parquet(out)
 
 

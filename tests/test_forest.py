@@ -19,6 +19,14 @@ def test_orphans_and_cycles_have_no_row(frame):
     assert set(by_id(with_children_only(tree), "root")) == {"r", "c", "g"}
 
 
+def test_repeated_ids_are_refused(frame):
+    nodes = frame("id STRING, parent STRING", [("r", None), ("c", "r"), ("c", "r"), ("g", "c")])
+    with pytest.raises(ValueError, match="unique"):
+        forest(nodes, "id", "parent")
+    nameless = frame("id STRING, parent STRING", [("r", None), (None, "r"), (None, "r")])
+    assert sorted((str(r.id), r.root) for r in forest(nameless, "id", "parent").collect()) == [("None", "r"), ("None", "r"), ("r", "r")]
+
+
 def test_deep_chain(frame):
     nodes = frame("id INT, parent INT", [(i, i - 1 if i else None) for i in range(300)])
     tree = forest(nodes, "id", "parent", with_path=False)

@@ -1,12 +1,14 @@
 """Reports on native source tables: values, section names, and fleet against one database."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.operators import config, dims, indexes, memory, samples, sessions, storage
-from fleetscope.plans.reports import REPORTS, collect_sections, run_report
+from fleetscope.operators.counters import SYSTEM_STATISTICS
+from fleetscope.plans.reports import REPORTS, collect_sections, run_chart, run_report
 from fleetscope.plans.views import VIEWS, columns_of, session_columns, view
 from fleetscope.sources.schemas import SECTIONS, schema_of
 from tests.fixtures import AS_OF, FLEET, ONE, fleet_tables, tables
@@ -50,6 +52,43 @@ def test_columns_of_sections(one, name):
     assert set(schema_of(name).fieldNames()) <= set(run_report(name, one, ONE).columns)
 
 
+def test_chart_of_events_leaves_idle_ones_out(one, fleet, frame):
+    names = frame("name STRING, wait_class STRING", [("b", "Idle"), ("a", "Other")])
+    points, legend = run_chart("sys-event-hist", {**one, "event_name": names}, ONE)
+    assert rows(legend, "con_id", "stat_name", "series_rank") == [(1, "a", 1), (3, "a", 1)]
+    assert {r.stat_name for r in points.collect()} == {"a"} and points.count() == 2 * 4
+    per_bundle = frame("bundle_id STRING, name STRING, wait_class STRING", [("db1", "b", "Idle"), ("db2", "a", "Idle")])
+    _, legend = run_chart("sys-event-hist", {**fleet, "event_name": per_bundle}, FLEET)
+    assert set(rows(legend, "bundle_id", "stat_name")) == {("db1", "a"), ("db2", "b")}
+
+
+def test_chart_of_statistics_keeps_listed_ones(one):
+    listed = SYSTEM_STATISTICS[0]
+    named = F.when(F.col("stat_name") == "a", listed).otherwise(F.col("stat_name"))
+    _, legend = run_chart("sys-stat-hist", {**one, "hist_sysstat": one["hist_sysstat"].withColumn("stat_name", named)}, ONE, k=1)
+    assert rows(legend, "con_id", "stat_name", "series_rank") == [(1, "b", 1), (1, listed, 2), (3, "b", 1), (3, listed, 2)]
+
+
+def test_snapshots_of_each_instance(one):
+    """With a snapshot row for each instance, naming the instance keeps sums from doubling."""
+    second = {n: one[n].unionByName(one[n].withColumn("instance_number", F.lit(2).cast(one[n].schema["instance_number"].dataType)))
+              for n in ("snapshot", "hist_sysstat")}
+    scope = replace(ONE, snap_keys=("dbid", "snap_id", "instance_number"))
+    got = run_report("sys-stat-hist", {**one, **second}, scope)
+    expected = run_report("sys-stat-hist", one, ONE)
+    for instance in (1, 2):
+        assert rows(got.filter(F.col("instance_number") == instance).drop("instance_number")) == rows(expected.drop("instance_number"))
+
+
+def test_status_and_state_filters(one):
+    sessions_all, jobs_all = rows(run_report("current-sessions", one, ONE), "status"), rows(run_report("sched-jobs", one, ONE), "state")
+    status, state = sessions_all[0][0], jobs_all[0][0]
+    scope = replace(ONE, session_status=status, job_state=state)
+    assert rows(run_report("current-sessions", one, scope), "status") == [r for r in sessions_all if r[0] == status]
+    assert rows(run_report("sched-jobs", one, scope), "state") == [r for r in jobs_all if r[0] == state]
+    assert run_report("current-sessions", one, replace(ONE, session_status="nothing")).count() == 0
+
+
 def test_missing_source_is_named(one):
     with pytest.raises(KeyError, match="statements"):
         run_report("topsql-cpu", {}, ONE)

@@ -40,6 +40,15 @@ def test_reading_bundles(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(section" in plan
 
 
+def test_long_cells_and_unknown_members(spark, tmp_path):
+    name = "x" * 200_000
+    write_tar(tmp_path / "db1.tar.gz", {"pdb-info.csv": f"con_id,name\n1,{name}\n", "new-part.csv": "a,b\n1,2\n"})
+    assert [tuple(r) for r in bundles.read_bundle_section(spark, str(tmp_path), "pdb-info").select("con_id", "name").collect()] == [(1, name)]
+    bundles.ingest_bundles(spark, str(tmp_path), str(tmp_path / "fleet"))
+    stored = spark.read.schema(bundles.CELLS_DDL).parquet(str(tmp_path / "fleet"))
+    assert [tuple(r) for r in stored.filter("section = 'new-part'").select("bundle_id", "cells").collect()] == [("db1", {"a": "1", "b": "2"})]
+
+
 def test_counter_sections_under_other_column_names(spark, tmp_path):
     for number, name in enumerate(["latch_name", "event_name", "state_name", "stat_name"]):
         write_tar(tmp_path / f"db{number}.tar.gz", {

@@ -30,14 +30,15 @@ _MARKS = frozenset("ad ads advert adverts advertisement advertising banner spons
 _PARAGRAPH_ENDS = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
                             "nav ol p pre section table ul li dd dt tr td th".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
 _LIMITS = frozenset("ul ol dl table article section div body main td th blockquote".split())
 
 
 class Node:
-    __slots__ = ("tag", "marked", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "above")
+    __slots__ = ("tag", "marked", "group", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "above")
 
-    def __init__(self, tag: str, marked: bool, above: Node | None):
-        self.tag, self.marked, self.parts, self.above = tag, marked, [], above
+    def __init__(self, tag: str, marked: bool, above: Node | None, group: tuple[str, str] | None = None):
+        self.tag, self.marked, self.parts, self.above, self.group = tag, marked, [], above, group
 
 
 def _marked(tag: str, attributes: str, above: Node | None) -> bool:
@@ -60,6 +61,12 @@ def _marked(tag: str, attributes: str, above: Node | None) -> bool:
     return False
 
 
+def _group(tag: str, attributes: str) -> tuple[str, str] | None:
+    """What the parts of one text have in common: their class, or being sections."""
+    names = [value.strip("\"' ") for name, value in _ATTRIBUTE.findall(attributes) if name.lower() == "class"] if attributes else []
+    return (tag, names[0]) if names and names[0] else (tag, "") if tag == "section" else None
+
+
 def parse(html: str) -> Node:
     """The page as a tree, with the end tags that HTML lets authors leave out. Unclosed and crossing tags do no harm; the
     tree is walked without recursion, so nesting may be deep."""
@@ -81,7 +88,7 @@ def parse(html: str) -> Node:
                 at = node.above
             continue
         at = _make_room(at, tag)
-        node = Node(tag, _marked(tag, token[3], at), at)
+        node = Node(tag, _marked(tag, token[3], at), at, _group(tag, token[3]))
         at.parts.append(node)
         if tag in _RAW and not token[3].endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, pos)
@@ -148,19 +155,103 @@ def densities(root: Node) -> list[Node]:
     return nodes
 
 
+def _blocks(node: Node) -> list[Node]:
+    """Children that are neither inline nor a mere break."""
+    return [p for p in node.parts if isinstance(p, Node) and not p.marked and p.tag not in _INLINE and p.tag not in _VOID]
+
+
+def _linked(node: Node) -> bool:
+    """Whether a node is a list of links: several, with more than half of its text."""
+    return node.link_tags > 1 and 2 * node.link_chars > node.chars
+
+
+def _dense_nodes(nodes: list[Node]) -> list[Node]:
+    """The nodes that composite text density marks, in page order. The threshold is the smallest density on the path from the node with the
+    largest sum of child densities to the body. From the body on, every node at or above it marks the node with the largest sum in it.
+    Paragraphs have no sum of their own, only what holds blocks has: else an open <b> makes a paragraph outweigh its article."""
+    root, size = nodes[0], {}
+    best: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        size[node] = node.sum if node is root or _blocks(node) else 0.0
+        below = [best[p] for p in node.parts if isinstance(p, Node) and not p.marked]
+        best[node] = max([node, *below], key=size.__getitem__)
+    at = best[root]
+    threshold = at.density
+    while at.above is not None:
+        at = at.above
+        threshold = min(threshold, at.density)
+    found, stack = set(), [root]
+    while stack:
+        node = stack.pop()
+        if node in found or not node.chars or node.density < threshold:
+            continue
+        found.add(best[node])
+        if node not in found:
+            stack += [p for p in node.parts if isinstance(p, Node) and not p.marked]
+    return [n for n in nodes if n in found]
+
+
+def _common(marked: list[Node]) -> Node:
+    """The smallest element that holds all marked nodes."""
+    paths = []
+    for node in marked:
+        path = [node]
+        while path[-1].above is not None:
+            path.append(path[-1].above)
+        paths.append(path[::-1])
+    common = paths[0]
+    for path in paths[1:]:
+        same = 0
+        while same < min(len(common), len(path)) and common[same] is path[same]:
+            same += 1
+        common = common[:same]
+    return common[-1]
+
+
+def _belongs(node: Node) -> bool:
+    """Whether the element above a node is part of the same text: it has paragraphs or headings of its own, further sections or elements of
+    the node's class, or more than a tenth of the node's unlinked text beside it."""
+    above = node.above
+    for other in _blocks(above):
+        if other is not node and other.chars and not _linked(other) and (other.tag in _LINES or node.group is not None and other.group == node.group):
+            return True
+    plain = node.chars - node.link_chars
+    return 10 * (above.chars - above.link_chars - plain) > plain
+
+
 def main_node(root: Node) -> Node:
-    """The node with the largest sum of child densities gives the threshold, the smallest density on its path to the body; of the
-    nodes at or above it, outermost first, the one with the largest sum holds the article. A page of bare text is its own article."""
+    """The element with the article: the smallest that holds all nodes marked by density, widened as long as what is around belongs to it.
+    An article element is taken whole. Elsewhere, lists of links outside the marked nodes are marked to be left out, nothing else.
+    A page of bare text is its own article."""
     nodes = densities(root)
-    dense = max(nodes, key=lambda n: n.sum)
-    if dense.sum == 0:
+    if max(n.sum for n in nodes) == 0:
         return root
-    threshold, node = dense.density, dense
-    while node.above is not None:
+    marked = _dense_nodes(nodes)
+    top = _common(marked)
+    outer, node = None, top
+    while node is not None:
+        outer = node if node.tag == "article" or node.tag == "main" and outer is None else outer
         node = node.above
-        if node.above is not None:
-            threshold = min(threshold, node.density)
-    return max((n for n in nodes if n.density >= threshold or n is dense), key=lambda n: n.sum)
+    if outer is not None:
+        top = outer
+    while top.above is not None and top.tag != "article" and _belongs(top):
+        top = top.above
+    whole, holders = set(marked), set()
+    for node in marked:
+        while node is not None and node not in holders:
+            holders.add(node)
+            node = node.above
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node in whole or node.tag == "article":
+            continue
+        for child in _blocks(node):
+            if child in holders:
+                stack.append(child)
+            elif child.tag not in _LINES and child.tag != "article" and _linked(child):
+                child.marked = True
+    return top
 
 
 def text_of(node: Node) -> str:
@@ -193,7 +284,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Pages are independent, so there is no shuffle; a task holds one batch of pages and one tree. Menus, footers, sidebars, forms,
     notices, adverts, comments, scripts and styles are left out by element and by the words of class, id and role; density
-    then chooses the subtree, whose remaining text comes whole. Null or empty html, and pages without text, give an empty text.
+    then chooses the subtree. Its remaining text comes whole, but for lists of links around the dense nodes where there is no article element. Null or empty html, and pages without text, give an empty text.
     Pages that end within a tag or leave tags open are read as far as they go. Repeated rows each get their text.
     """
     source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

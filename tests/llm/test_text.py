@@ -200,6 +200,25 @@ def test_html(frame):
     assert sorted((r.page_id, r.n_chars) for r in found.collect()) == [(1, 50), (2, 0), (3, 0), (3, 0)]
 
 
+def test_html_keeps_all_of_the_article():
+    def text(n, word):
+        return " ".join(f"{word}{i}" for i in range(n))
+
+    menu = "<div><ul><li><a href=/a>Politics today</a><li><a href=/b>Sports today</a><li><a href=/c>Weather today</a></ul></div>"
+    short = [text(5, "b"), text(9, "c"), text(3, "d")]
+    for tag in ("article", "div"):  # an unclosed b in a first paragraph that outweighs the others
+        page = f"<body>{menu}<{tag}><h1>Title</h1><p><b>{text(400, 'a')}<br>" + "".join(f"<p>{s}</p>" for s in short) + f"</{tag}></body>"
+        assert html.main_text(page) == " ".join(["Title", text(400, "a"), *short])
+    parts = [[text(60 + 7 * i, f"s{i}p{j}x") for j in range(9 - 2 * i)] for i in range(4)]
+    whole = " ".join(p for part in parts for p in part)
+    for tag in ("section", "div class=part", "div"):
+        inner = "".join(f"<{tag}>" + "".join(f"<p>{p}</p>" for p in part) + f"</{tag.split()[0]}>" for part in parts)
+        for around in ("<article>{}</article>", "<div id=story>{}</div>", "<main><div>{}</div></main>", "{}"):
+            assert html.main_text(f"<body>{menu}{around.format(inner)}</body>") == whole, (tag, around)
+    links = "<ul><li><a href=/x>Source one</a><li><a href=/y>Source two</a></ul>"
+    assert html.main_text(f"<body>{menu}<article><section><p>{whole}<p>{whole}</section>{links}</article></body>").endswith("Source one Source two")
+
+
 def test_quality_separates_held_out_rows(spark, small, frame):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     odd = labels.where("doc_id % 2 = 1")

@@ -11,22 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
-_NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7f]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
                     "strike strong sub sup time tt u var wbr img".split())
-#: Elements that never hold an article's text.
-_DROPPED = frozenset("script style noscript template iframe object embed svg canvas audio video head title nav aside footer form button "
-                     "select option input textarea dialog menu".split())
-#: Words of class, id, role or aria-label that mark what is not the article.
+#: Elements that never hold a page's text, and those that hold no article unless ``_settle`` finds one in them.
+_SILENT = frozenset("script style noscript template iframe object embed svg canvas audio video head title select option input textarea".split())
+_DROPPED = frozenset("nav aside footer form button dialog menu".split())
+#: A name in class, id, role or aria-label marks what is not the article if it is made of these words only,
 _MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar footer masthead "
                    "breadcrumb breadcrumbs comment comments disqus reply replies cookie cookies consent gdpr notice notices notification popup modal "
                    "newsletter subscribe subscription signup login share sharing social related recommended widget skip hidden contentinfo search "
                    "complementary alert paywall pagination pager".split())
+#: or of these and words for place and shape: "sidebar-left", not "has-sidebar", "comments-open" or "related-work".
+_SHAPES = frozenset("left right top bottom upper lower main primary secondary site page global box list item items bar area block container wrapper wrap inner "
+                    "outer section column col links buttons".split())
 _PARAGRAPH_ENDS = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
                             "nav ol p pre section table ul li dd dt tr td th".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -35,14 +38,38 @@ _LIMITS = frozenset("ul ol dl table article section div body main td th blockquo
 
 
 class Node:
-    __slots__ = ("tag", "marked", "group", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "above")
+    __slots__ = ("tag", "marked", "silent", "named", "group", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "above")
+
+    def __init__(self, tag: str, above: Node | None, attributes: str = ""):
+        found = _attributes(attributes) if attributes else {}
+        self.tag, self.above, self.parts = tag, above, []
+        self.silent, self.named = tag in _SILENT, bool(found) and _named(tag, found)
+        self.marked = self.silent or tag not in ("article", "main") and (self.named or _set_apart(tag, found, above))
+        # What the parts of one text have in common: their class, or being sections.
+        self.group = (tag, kind) if (kind := found.get("class", "").strip()) or tag == "section" else None
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by name, an empty text for one without a value. The first of a repeated name counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
+
+
+def _is_mark(name: str) -> bool:
+    words = [w.lower() for w in _NAME_PARTS.findall(name)]
+    return any(w in _MARKS for w in words) and all(w in _MARKS or w in _SHAPES or w.isdigit() for w in words)
+
 
-    def __init__(self, tag: str, marked: bool, above: Node | None, group: tuple[str, str] | None = None):
-        self.tag, self.marked, self.parts, self.above, self.group = tag, marked, [], above, group
+def _named(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a whole class or role, the id or the whole label marks an element. The id of a heading or paragraph is an anchor of its text."""
+    names = attributes.get("class", "").split() + attributes.get("role", "").split() + [attributes.get("aria-label", "")]
+    return any(map(_is_mark, names)) or tag not in _LINES and _is_mark(attributes.get("id", ""))
 
 
-def _marked(tag: str, attributes: str, above: Node | None) -> bool:
-    """Whether an element is no part of an article. A header counts unless it stands in an article."""
+def _set_apart(tag: str, attributes: dict[str, str], above: Node | None) -> bool:
+    """Whether an element is no part of an article by its tag or because it is hidden. A header counts unless it stands in an article."""
     if tag in _DROPPED:
         return True
     if tag == "header":
@@ -51,26 +78,40 @@ def _marked(tag: str, attributes: str, above: Node | None) -> bool:
             node = node.above
         if node is None:
             return True
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return False
-    if re.search(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I):
-        return True
-    for name, value in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role", "aria-label") and any(w.lower() in _MARKS for w in _NAME_PARTS.findall(value)):
-            return True
-    return False
+    return ("hidden" in attributes and attributes["hidden"].lower() != "until-found" or attributes.get("aria-hidden", "").strip().lower() == "true"
+            or re.search(r"\bdisplay\s*:\s*none\b", attributes.get("style", ""), re.I) is not None)
 
 
-def _group(tag: str, attributes: str) -> tuple[str, str] | None:
-    """What the parts of one text have in common: their class, or being sections."""
-    names = [value.strip("\"' ") for name, value in _ATTRIBUTE.findall(attributes) if name.lower() == "class"] if attributes else []
-    return (tag, names[0]) if names and names[0] else (tag, "") if tag == "section" else None
+def _settle(root: Node) -> None:
+    """Take back the mark of every element that holds the page's article: an article or main element with more unlinked text than those
+    outside marked elements, or, on a page without such an element, more than half of all unlinked text."""
+    nodes, stack = [], [(root, False, False)]
+    while stack:
+        node, link, apart = stack.pop()
+        nodes.append((node, link, apart))
+        stack += [(p, link or p.tag == "a", apart or p.marked) for p in reversed(node.parts) if isinstance(p, Node) and not p.silent]
+    if not any(node.marked for node, _, _ in nodes):
+        return
+    # All unlinked characters below a node, those outside elements marked in it, and the most an article in it has.
+    plain, shown, held, outside = {}, {}, {}, 0
+    for node, link, apart in reversed(nodes):
+        below = [p for p in node.parts if isinstance(p, Node) and not p.silent]
+        own = 0 if link else sum(len(_BLANK.sub("", unescape(p))) for p in node.parts if isinstance(p, str))
+        plain[node] = own + sum(plain[p] for p in below)
+        shown[node] = own + sum(shown[p] for p in below if not p.marked)
+        held[node] = max([held[p] for p in below], default=0)
+        if node.tag in ("article", "main") and not node.named:
+            held[node] = max(held[node], shown[node])
+            outside = outside if apart else max(outside, shown[node])
+    for node, _, _ in nodes:
+        if node.marked and (held[node] > outside or not outside and 2 * plain[node] > plain[root]):
+            node.marked = False
 
 
 def parse(html: str) -> Node:
     """The page as a tree, with the end tags that HTML lets authors leave out. Unclosed and crossing tags do no harm; the
     tree is walked without recursion, so nesting may be deep."""
-    root = at = Node("html", False, None)
+    root = at = Node("html", None)
     pos, raw = 0, None
     for token in _TOKEN.finditer(html):
         if token.start() < pos:
@@ -88,7 +129,7 @@ def parse(html: str) -> Node:
                 at = node.above
             continue
         at = _make_room(at, tag)
-        node = Node(tag, _marked(tag, token[3], at), at, _group(tag, token[3]))
+        node = Node(tag, at, token[3])
         at.parts.append(node)
         if tag in _RAW and not token[3].endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, pos)
@@ -100,6 +141,7 @@ def parse(html: str) -> Node:
     # A page may end within a tag: what follows the last "<" is then no text.
     broken = re.search(r"<[a-zA-Z/!][^>]*\Z", cut)
     at.parts.append(cut[:broken.start()] if broken else cut)
+    _settle(root)
     return root
 
 
@@ -283,8 +325,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Return (page_id, url, text, n_chars) with the main text of every page.
 
     Pages are independent, so there is no shuffle; a task holds one batch of pages and one tree. Menus, footers, sidebars, forms,
-    notices, adverts, comments, scripts and styles are left out by element and by the words of class, id and role; density
-    then chooses the subtree. Its remaining text comes whole, but for lists of links around the dense nodes where there is no article element. Null or empty html, and pages without text, give an empty text.
+    notices, adverts, comments, scripts and styles are left out by element and by whole names of class, id and role, but never an
+    element that holds the page's article or, without one, most of its unlinked text; density then chooses the subtree. Its remaining text
+    comes whole, but for lists of links around the dense nodes where there is no article element. Null or empty html, and pages without
+    text, give an empty text.
     Pages that end within a tag or leave tags open are read as far as they go. Repeated rows each get their text.
     """
     source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

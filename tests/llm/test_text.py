@@ -219,6 +219,24 @@ def test_html_keeps_all_of_the_article():
     assert html.main_text(f"<body>{menu}<article><section><p>{whole}<p>{whole}</section>{links}</article></body>").endswith("Source one Source two")
 
 
+def test_html_marks_whole_names_only():
+    inner = "<h1>Title here</h1><p>" + "Some long words of the story. " * 20 + "</p><p>More of it.</p>"
+    want = html.main_text(f"<article>{inner}</article>")
+    assert len(want) > 500
+    for around in ('<div class="content has-sidebar">{}</div>', '<div class="post comments-open">{}</div>', "<form>{}</form>", "<form><div class=sidebar>{}</div></form>",
+                   "<div class=widget>{}</div>", "<div title='nothing hidden'>{}</div>", "<aside>{}</aside>"):
+        for own in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>"):
+            page = around.format(own.format(inner))
+            assert html.main_text(f"<body><nav><a href=/>Home</a></nav>{page}<footer>Imprint</footer></body>") == want, page
+    kept = ('<h2 id="related-work">Related work</h2><p id="notice-of-appeal">Notice of <a href="/hidden-valley">the valley</a> and <a href=/x title="a hidden one">one</a></p>'
+            '<h2 id="search">Search</h2><p><img alt="hidden" src=x>end</p>')
+    assert html.main_text(f"<article>{inner}{kept}</article>") == want + " Related work Notice of the valley and one Search end"
+    apart = ("<div class='ad'>buy</div><div class='sidebar-left'>side</div><div id=comments>nice</div><div hidden>x1</div><div hidden=''>x2</div><p style='display: none'>x3</p>"
+             "<section class=comments><article class=comment>x4</article></section><div aria-hidden=true>x5</div><div role=complementary>x6</div><div class='x navBar'>x7</div>")
+    assert html.main_text(f"<body><div class=related><article>Teaser text</article></div><article>{inner}{apart}</article>{apart}</body>") == want
+    assert html.main_text(f"<body><article>{inner}</article><div class=comments>{'A long comment on it. ' * 90}</div></body>") == want
+
+
 def test_quality_separates_held_out_rows(spark, small, frame):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     odd = labels.where("doc_id % 2 = 1")

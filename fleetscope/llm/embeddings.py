@@ -20,7 +20,8 @@ _CELL = ["label", "dim", "cluster"]
 @dataclass(frozen=True)
 class Settings:
     """``centroids`` bounds what every task gets (times the dimension, 8 bytes each); with more rows than centroids * rows of a
-    shard, shards grow and are searched in more blocks. ``block`` bounds what a task holds, ``audit`` the queries of the recall check."""
+    shard, shards grow and are searched in more blocks. ``block`` bounds what a task holds. The recall check starts with ``audit`` queries and
+    goes on up to ``most`` until ``linked`` of them have links; a query with ``dense`` linked nodes or more counts among the dense ones."""
 
     threshold: float = 0.98
     shard: int = 3000
@@ -29,6 +30,9 @@ class Settings:
     sample_per_centroid: int = 24
     beam: int = 24
     audit: int = 200
+    linked: int = 50
+    most: int = 12800
+    dense: int = 50
     recall: float = 0.95
 
 
@@ -42,6 +46,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return flatgraph.unit(np.stack(column.to_numpy()))
 
 
+def _row_blocks(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose products with so many columns take 32 MB."""
+    step = max(1, (1 << 22) // max(columns, 1))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
 def _fit_centroids(nodes: DataFrame, settings: Settings) -> dict[tuple[str, int], np.ndarray]:
     """Centroids of every (label, dimension) with more rows than a shard, on a bounded sample; smaller ones are one shard."""
     total = nodes.count()
@@ -103,7 +113,7 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
 def _search(settings: Settings):
     def run(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if graph.empty or queries.empty:
-            return pd.DataFrame({"node": [], "links": [], "a": [], "b": []})
+            return pd.DataFrame({"node": [], "links": [], "mates": [], "a": [], "b": []})
         graph = graph.sort_values("node")
         names, x = graph["node"].to_numpy(), _matrix(graph["vector"])
         edges = []
@@ -117,29 +127,56 @@ def _search(settings: Settings):
         other = names[nodes] != asked[who]
         who, nodes = who[other], nodes[other]
         links = np.bincount(who, weights=graph["copies"].to_numpy()[nodes], minlength=len(asked)).astype(np.int64)
+        mates = np.bincount(who, minlength=len(asked)).astype(np.int64)
         a, b = flatgraph.forest(asked[who], names[nodes])
-        return pd.concat([pd.DataFrame({"node": asked, "links": links}), pd.DataFrame({"a": a, "b": b})])
+        return pd.concat([pd.DataFrame({"node": asked, "links": links, "mates": mates}), pd.DataFrame({"a": a, "b": b})])
 
     return run
 
 
-def _audit(nodes: DataFrame, found: DataFrame, settings: Settings) -> float:
-    """Share of true links that the search found, for a bounded sample of queries against all rows, block by block."""
-    sample = nodes.orderBy(F.xxhash64("node")).limit(settings.audit).select("node", "label", "dim", "vector").toPandas()
+def _true_links(nodes: DataFrame, settings: Settings) -> pd.DataFrame:
+    """(node, mates): how many other nodes a bounded sample of queries truly links with, by comparison with all rows. More queries are drawn, four
+    times as many a round, until ``linked`` sparse and, if any is dense, ``linked`` dense ones have links, or ``most`` or all are drawn."""
+    drawn, found = 0, []
+    wanted = settings.audit
+    while True:
+        sample = nodes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("node", "label", "dim", "vector").offset(drawn).toPandas()
+        if len(sample):
+            found.append(_count_mates(nodes, sample, settings))
+        drawn += len(sample)
+        true = pd.concat(found) if found else pd.DataFrame({"node": [], "mates": []})
+        dense, sparse = (true["mates"] >= settings.dense).sum(), true["mates"].between(1, settings.dense - 1).sum()
+        if drawn < wanted or wanted >= settings.most or sparse >= settings.linked and (dense == 0 or dense >= settings.linked):
+            return true
+        wanted = min(4 * wanted, settings.most)
+
+
+def _count_mates(nodes: DataFrame, sample: pd.DataFrame, settings: Settings) -> pd.DataFrame:
     groups = {(label, int(dim)): (own["node"].to_numpy(), _matrix(own["vector"])) for (label, dim), own in sample.groupby(["label", "dim"])}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {key: np.zeros(len(asked), np.int64) for key, (asked, _) in groups.items()}
         for batch in batches:
             for (label, dim), own in batch.groupby(["label", "dim"]):
                 if (label, int(dim)) in groups:
                     asked, y = groups[label, int(dim)]
-                    near = (y @ _matrix(own["vector"]).T >= settings.threshold) & (asked[:, None] != own["node"].to_numpy()[None, :])
-                    yield pd.DataFrame({"node": asked, "true_links": near @ own["copies"].to_numpy()})
+                    names, x = own["node"].to_numpy(), _matrix(own["vector"])
+                    for part in _row_blocks(len(x), len(y)):
+                        near = (y @ x[part].T >= settings.threshold) & (asked[:, None] != names[part][None, :])
+                        sums[label, int(dim)] += near.sum(axis=1)
+        for key, (asked, _) in groups.items():
+            yield pd.DataFrame({"node": asked, "mates": sums[key]})
+
+    return nodes.select("node", "label", "dim", "vector").mapInPandas(count, "node bigint, mates bigint").groupBy("node").agg(
+        F.sum("mates").alias("mates")).toPandas()
+
 
-    true = nodes.select("node", "label", "dim", "vector", "copies").mapInPandas(count, "node bigint, true_links bigint").groupBy("node").agg(
-        F.sum("true_links").alias("true_links"))
-    sums = true.join(found, "node").agg(F.sum("true_links").alias("t"), F.sum(F.least("links", "true_links")).alias("f")).first()
-    return sums["f"] / sums["t"] if sums["t"] else 1.0
+def _recall(true: pd.DataFrame, found: pd.DataFrame, settings: Settings) -> float:
+    """Mean share of a query's linked nodes that the search found, over the queries with any; the lesser of dense and sparse queries."""
+    both = true[true["mates"] > 0].merge(found, on="node", how="left", suffixes=("", "_found"))
+    share = np.minimum(both["mates_found"].fillna(0), both["mates"]) / both["mates"]
+    dense = both["mates"] >= settings.dense
+    return min((float(part.mean()) for part in (share[dense], share[~dense]) if len(part)), default=1.0)
 
 
 def near_duplicates(
@@ -154,8 +191,8 @@ def near_duplicates(
     3. Each block builds a pruned neighbour graph; a node's lists from all its blocks are united.
     4. The vectors at home search every block of their shard, greedily from its medoid, then expanding the range; similarities are
        computed in double precision, so no link is false. A task returns counts and a spanning forest of its links, never pairs.
-    5. A bounded sample of queries is compared with all rows. If less than ``recall`` of their links was found, the search is repeated with a
-       wider beam; after three times it raises.
+    5. A bounded sample of queries is compared with all rows, more of them until enough have links. If the mean share of linked nodes found is
+       less than ``recall``, for dense or for sparse queries, the search is repeated with a wider beam; after three times it raises.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing. Vectors of
     different length don't compare. Rows that repeat an id count as vectors of their own; they share a component if their
@@ -184,14 +221,16 @@ def near_duplicates(
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = [*_CELL, "block", "chunk"]
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "node", "vector")])
+    true = _true_links(nodes, settings)
+    queries = nodes.sparkSession.createDataFrame([(int(n),) for n in true["node"]], "node bigint")
     for attempt in range(3):
         how = replace(settings, beam=settings.beam * 2**attempt)
         hits = graph.select(*key, "node", "vector", "copies", "near").groupBy(*key).cogroup(
             asked.groupBy(*[f"q_{c}" for c in key])).applyInPandas(
-            _search(how), "node bigint, links bigint, a bigint, b bigint")
+            _search(how), "node bigint, links bigint, mates bigint, a bigint, b bigint")
         hits = checkpointed(hits)
-        links = checkpointed(hits.where("node is not null").groupBy("node").agg(F.sum("links").alias("links")))
-        if _audit(nodes, links, settings) >= settings.recall:
+        links = checkpointed(hits.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("mates").alias("mates")))
+        if _recall(true, links.join(queries, "node").select("node", "mates").toPandas(), settings) >= settings.recall:
             break
     else:
         raise RuntimeError("the graph search finds fewer links than asked for; use a wider beam")
@@ -199,7 +238,7 @@ def near_duplicates(
     roots = components(hits.where("a is not null").select("a", "b"))
     member = nodes.join(roots, "node", "left").select("node", "label", "vector", "copies", "first_id", F.coalesce("root", "node").alias("root"))
     best = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(best, "root").join(links, "node").select(
+    member = member.join(best, "root").join(links.drop("mates"), "node").select(
         F.col("label").alias("n_label"), F.col("vector").alias("n_vector"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = good.join(member, (F.col("label") == F.col("n_label")) & (vector == F.col("n_vector"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))

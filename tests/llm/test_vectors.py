@@ -41,6 +41,26 @@ def test_links_equal_brute_force(frame, shard, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def test_recall_counts_every_query():
+    import pandas as pd
+
+    # A ball with all its links found doesn't make up for the lost links of sparse queries, or the other way round.
+    true = pd.DataFrame({"node": range(10), "mates": [1000] * 5 + [2] * 4 + [0]})
+    lost = pd.DataFrame({"node": range(8), "mates": [1000] * 5 + [2, 0, 1]})
+    assert embeddings._recall(true, true, embeddings.Settings()) == 1.0
+    assert embeddings._recall(true, lost, embeddings.Settings()) == (1 + 0 + 0.5 + 0) / 4
+    assert embeddings._recall(true, true.assign(mates=[500] * 5 + [2] * 4 + [0]), embeddings.Settings()) == 0.5
+
+
+def test_more_queries_are_drawn_until_enough_have_links(frame):
+    rows = [(i, np.eye(64)[i % 64].tolist() if i < 60 else (np.eye(64)[60 + i % 2] + i * 1e-5).tolist(), 0) for i in range(80)]
+    nodes = frame("node bigint, vector array<double>, label int", rows).selectExpr("node", "string(label) AS label", "size(vector) AS dim", "vector", "1L AS copies")
+    settings = embeddings.Settings(audit=2, linked=12, most=80)
+    true = embeddings._true_links(nodes, settings)
+    assert (true["mates"] > 0).sum() >= 12 and true["node"].is_unique and dict(zip(true["node"], true["mates"])).get(61, 9) == 9
+    assert len(embeddings._true_links(nodes, embeddings.Settings(audit=2, linked=99, most=8))) == 8
+
+
 def test_no_rows(frame):
     assert embeddings.near_duplicates(frame("vec_id bigint, embedding array<double>, label int", [])).count() == 0
 

@@ -53,7 +53,10 @@ def _row_blocks(rows: int, columns: int) -> Iterator[slice]:
 
 
 def _fit_centroids(nodes: DataFrame, settings: Settings) -> dict[tuple[str, int], np.ndarray]:
-    """Centroids of every (label, dimension) with more rows than a shard, on a bounded sample; smaller ones are one shard."""
+    """Centroids of every (label, dimension) with more rows than a shard, on a bounded sample; smaller ones are one shard.
+
+    The driver holds the sample, at most about 2 * centroids * sample_per_centroid vectors of all labels (393,216 by default, about 197,000 for one
+    label), several times while it arrives and is scaled: 8 bytes a component each. The products with the centroids come in blocks of 32 MB."""
     total = nodes.count()
     shard = max(settings.shard, -(-total // settings.centroids))
     large = nodes.groupBy("label", "dim").count().where(F.col("count") > shard)  # at most ``centroids`` rows
@@ -66,10 +69,13 @@ def _fit_centroids(nodes: DataFrame, settings: Settings) -> dict[tuple[str, int]
         x = _matrix(rows["vector"])
         centres = x[:int(k)].copy()
         for _ in range(6):
-            nearest = (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
-            for j in range(len(centres)):
-                if (nearest == j).any():
-                    centres[j] = x[nearest == j].mean(axis=0)
+            nearest, squares = np.empty(len(x), np.int64), (centres * centres).sum(axis=1) / 2
+            for part in _row_blocks(len(x), len(centres)):
+                nearest[part] = (x[part] @ centres.T - squares).argmax(axis=1)
+            order = np.argsort(nearest, kind="stable")
+            used, start = np.unique(nearest[order], return_index=True)
+            for j, own in zip(used, np.split(order, start[1:])):
+                centres[j] = x[own].mean(axis=0)
         found[label, int(dim)] = centres
     return found
 
@@ -87,14 +93,16 @@ def _assign(nodes: DataFrame, centroids: dict, radius: float) -> DataFrame:
                 if centres is None:
                     parts.append(own.assign(cluster=0, home=True))
                     continue
-                x = _matrix(own["vector"])
-                d2 = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
-                nearest = d2.argmin(axis=1)
-                apart = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)) if len(centres) <= 512 else None
-                gaps = apart[nearest] if apart is not None else np.stack([np.sqrt(((centres - centres[j]) ** 2).sum(axis=1)) for j in nearest])
-                member = d2 - d2[np.arange(len(x)), nearest][:, None] <= 2 * radius * gaps + 1e-9
-                at, cluster = np.nonzero(member)
-                parts.append(own.iloc[at].assign(cluster=cluster, home=cluster == nearest[at]))
+                x, squares = _matrix(own["vector"]), (centres * centres).sum(axis=1)
+                for part in _row_blocks(len(x), len(centres)):
+                    d2 = squares[None, :] - 2 * x[part] @ centres.T
+                    nearest = d2.argmin(axis=1)
+                    member = d2 - d2[np.arange(len(d2)), nearest][:, None]
+                    for j in np.unique(nearest):
+                        rows_of = nearest == j
+                        member[rows_of] -= 2 * radius * np.sqrt(((centres - centres[j]) ** 2).sum(axis=1))
+                    at, cluster = np.nonzero(member <= 1e-9)
+                    parts.append(own.iloc[part].iloc[at].assign(cluster=cluster, home=cluster == nearest[at]))
             if parts:
                 yield pa.RecordBatch.from_pandas(pd.concat(parts), schema=schema, preserve_index=False)
 

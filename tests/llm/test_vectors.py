@@ -61,6 +61,22 @@ def test_more_queries_are_drawn_until_enough_have_links(frame):
     assert len(embeddings._true_links(nodes, embeddings.Settings(audit=2, linked=99, most=8))) == 8
 
 
+def test_centroids_are_fitted_in_bounded_memory(frame):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(8000)]
+    nodes = frame("node bigint, vector array<double>", rows).selectExpr("node", "'a' AS label", "size(vector) AS dim", "vector")
+    tracemalloc.start()
+    try:
+        found = embeddings._fit_centroids(nodes, embeddings.Settings(shard=4))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found["a", 4].shape == (2000, 4) and np.isfinite(found["a", 4]).all()
+    assert peak < 100e6  # 8,000 x 2,000 products at once take 128 MB, twice with the squares taken off
+
+
 def test_no_rows(frame):
     assert embeddings.near_duplicates(frame("vec_id bigint, embedding array<double>, label int", [])).count() == 0
 

@@ -98,3 +98,29 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(c.n, 0) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
 FROM v JOIN (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id) r USING (vec_id) LEFT JOIN counts c ON c.a = v.vec_id
 """
+
+SQL["op11_fingerprints"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+placed AS (
+  SELECT doc_id, t, length(t) AS n, length(t) // 2 AS half,
+    coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next_t
+  FROM d
+), edits AS (SELECT doc_id, n, t, next_t, left(t, n - half) || left(next_t, half) AS e FROM placed),
+texts AS (SELECT doc_id, 0 AS kind, t AS x FROM edits UNION ALL SELECT doc_id, 1, e FROM edits UNION ALL SELECT doc_id, 2, next_t FROM edits),
+worded AS (
+  SELECT doc_id, kind, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM texts
+), hashed AS (
+  SELECT doc_id, kind, CASE WHEN len(w) = 0 THEN []
+    ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: left(md5(array_to_string(w[i:i + 4], ' ')), 15)) END AS h
+  FROM worded
+), low AS (SELECT doc_id, kind, h, list_filter(h, lambda x: x < '200000000000000') AS l FROM hashed),
+sketches AS (
+  SELECT doc_id, kind, list_sort(list_distinct(CASE WHEN len(l) > 0 THEN l WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END)) AS s FROM low
+)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.e) AS edited_sha256,
+  array_to_string(a.s, '') AS fingerprint, array_to_string(b.s, '') AS edited_fingerprint,
+  CASE WHEN len(a.s) = 0 THEN CAST(len(b.s) = 0 AS DOUBLE) ELSE len(list_intersect(a.s, b.s)) / len(a.s) END AS near_edited,
+  CASE WHEN len(a.s) = 0 THEN CAST(len(c.s) = 0 AS DOUBLE) ELSE len(list_intersect(a.s, c.s)) / len(a.s) END AS near_next
+FROM edits e JOIN sketches a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN sketches b ON b.doc_id = e.doc_id AND b.kind = 1
+  JOIN sketches c ON c.doc_id = e.doc_id AND c.kind = 2
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetscope.llm import embeddings, exact, html, lines, minhash, mixing, packing, quality, sharding, urls
+from fleetscope.llm import embeddings, exact, fingerprints, html, lines, minhash, mixing, packing, quality, sharding, urls
 from fleetscope.llm.frames import table
 from fleetscope.llm.oracle import SQL
 
@@ -78,3 +78,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.compared_with_edits(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")

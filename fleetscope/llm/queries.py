@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetscope.llm import embeddings, exact, fingerprints, html, lines, minhash, mixing, packing, quality, sharding, urls
+from fleetscope.llm import conversations, embeddings, exact, fingerprints, html, lines, minhash, mixing, packing, quality, sharding, urls
 from fleetscope.llm.frames import table
 from fleetscope.llm.oracle import SQL
 
@@ -86,3 +86,9 @@ def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversations.repair_report(conversations.damaged(turns), turns)

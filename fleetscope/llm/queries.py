@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetscope.llm import conversations, embeddings, exact, fingerprints, html, lines, minhash, mixing, packing, quality, sharding, urls
+from fleetscope.llm import conversations, embeddings, exact, fingerprints, html, lines, minhash, mixing, packing, quality, sharding, urls, whitening
 from fleetscope.llm.frames import table
 from fleetscope.llm.oracle import SQL
 
@@ -92,3 +92,8 @@ def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     return conversations.repair_report(conversations.damaged(turns), turns)
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))

@@ -22,26 +22,25 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """Return (doc_id, n_lines, n_dropped, text): texts without the lines that many documents share.
 
-    Lines are exploded and reduced to (hash, document) before any shuffle; a hash in at least ``min_docs`` documents is
-    dropped everywhere except in the largest id that holds it. Hashes to drop return to their document as one
-    array (at most the document's distinct lines), and the text is put together again in line order; line texts never leave
-    their document. A very common line is one row per document, then one row per task.
-
-    Null and empty texts have one empty line. Rows that repeat an id count as one document; a null id is a document of its
-    own, smaller than all others. Lines shorter than ``min_chars`` code points always stay.
+    Lines are exploded with their positions and reduced to hashes before any shuffle; a hash in at least ``min_docs`` documents is
+    dropped everywhere except in the largest id that holds it. Positions to drop return to their document, and its other lines are put
+    together by position: work and memory grow with a document's lines, not with their square. Line texts never leave their document. A
+    very common line is one row per document and place, joined on the side that Spark splits, and one row per task where documents are counted.
+
+    Null and empty texts have one empty line. Rows that repeat an id count as one document and each get their text; a null id is a document of
+    its own, smaller than all others. Ids are compared only for the largest, so there are no ties. Lines shorter than ``min_chars`` code points
+    always stay. A very long text is split in its task and takes a few times its size there.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keys = source.select("id", F.explode(F.split("text", "\n", -1)).alias("line")).select("id", line_key(F.col("line")).alias("key"))
-    held = keys.where(F.length("key") >= min_chars).select("id", line_hash(F.col("key")).alias("hash")).distinct()
-    common = held.groupBy("hash").agg(F.count("*").alias("docs"), F.max("id").alias("last_id")).where(F.col("docs") >= min_docs)
-    drops = (
-        held.join(common.select("hash", "last_id"), "hash").where(~F.col("id").eqNullSafe(F.col("last_id")))
-        .groupBy("id").agg(F.collect_set("hash").alias("drops")).withColumnRenamed("id", "drop_id")
-    )
-    joined = source.join(drops, F.col("id").eqNullSafe(F.col("drop_id")), "left")
-    lines = F.split("text", "\n", -1)
-    long_enough = lambda line: F.length(line_key(line)) >= min_chars
-    stays = lambda line: ~(long_enough(line) & F.array_contains("drops", line_hash(line_key(line))))
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, stays))
-    return joined.select("id", F.size(lines).cast("bigint").alias("n_lines"), kept.alias("kept")).select(
+    own = ["id", "text_hash"]
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    keys = source.select(*own, F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select(*own, "at", line_key(F.col("line")).alias("key"))
+    held = keys.where(F.length("key") >= min_chars).select(*own, "at", line_hash(F.col("key")).alias("hash"))
+    common = held.select("id", "hash").distinct().groupBy("hash").agg(F.count("*").alias("docs"), F.max("id").alias("last_id")).where(F.col("docs") >= min_docs)
+    drops = held.join(common.select("hash", "last_id"), "hash").where(~F.col("id").eqNullSafe(F.col("last_id")))
+    drops = drops.groupBy(*own).agg(F.collect_set("at").alias("drops")).select(F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_hash"), "drops")
+    joined = source.join(drops, (F.col("text_hash") == F.col("drop_hash")) & F.col("id").eqNullSafe(F.col("drop_id")), "left")
+    parted = joined.select("id", F.split("text", "\n", -1).alias("lines"), "drops")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
+    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda at: F.get("lines", at)))
+    return parted.select("id", F.size("lines").cast("bigint").alias("n_lines"), kept.alias("kept")).select(
         F.col("id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

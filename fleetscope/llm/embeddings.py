@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetscope.llm import flatgraph
 from fleetscope.llm.graph import components
@@ -20,22 +20,31 @@ _CELL = ["label", "dim", "cluster"]
 @dataclass(frozen=True)
 class Settings:
     """``centroids`` bounds what every task gets (times the dimension, 8 bytes each); with more rows than centroids * rows of a
-    shard, shards grow and are searched in more blocks. ``block`` bounds what a task holds. The recall check starts with ``audit`` queries and
-    goes on up to ``most`` until ``linked`` of them have links; a query with ``dense`` linked nodes or more counts among the dense ones."""
+    shard, shards grow and are searched in more blocks. ``block`` bounds what a task holds. The audit searches ``audit`` drawn nodes and as many
+    planted near copies of drawn nodes; a query with ``dense`` linked nodes or more counts among the dense ones."""
 
     threshold: float = 0.98
-    shard: int = 3000
-    block: int = 4096
+    shard: int = 4096
+    block: int = 8192
     centroids: int = 8192
     sample_per_centroid: int = 24
-    beam: int = 24
+    rounds: int = 5
+    beam: int = 12
     audit: int = 200
-    linked: int = 50
-    most: int = 12800
     dense: int = 50
     recall: float = 0.95
 
 
+@dataclass(frozen=True)
+class Audit:
+    """What the recall check of a run saw: queries with links, how many of them were planted, and the mean share of their linked nodes that was
+    found, the lesser of dense and sparse queries; None without a vector to link."""
+
+    queries: int
+    planted: int
+    recall: float | None
+
+
 def usable(vector: Column) -> Column:
     """Not null, no null or non-finite component, not zero."""
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -52,31 +61,49 @@ def _row_blocks(rows: int, columns: int) -> Iterator[slice]:
     return (slice(at, at + step) for at in range(0, rows, step))
 
 
+def _centroid_sums(batches: Iterator[pd.DataFrame], centroids: dict[tuple[str, int], np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Sums of the vectors nearest to each centroid, one row a centroid and task at most."""
+    sums = {key: np.zeros((len(c), c.shape[1] + 1)) for key, c in centroids.items()}
+    for batch in batches:
+        for (label, dim), own in batch.groupby(["label", "dim"]):
+            centres, total = centroids[label, int(dim)], sums[label, int(dim)]
+            x, squares = _matrix(own["vector"]), (centres * centres).sum(axis=1) / 2
+            for part in _row_blocks(len(x), len(centres)):
+                nearest = (x[part] @ centres.T - squares).argmax(axis=1)
+                np.add.at(total, nearest, np.hstack([x[part], np.ones((len(nearest), 1))]))
+    for (label, dim), total in sums.items():
+        used = np.flatnonzero(total[:, -1])
+        yield pd.DataFrame({"label": label, "dim": dim, "cluster": used, "total": list(total[used])})
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"label": rows["label"][:1], "dim": rows["dim"][:1], "cluster": rows["cluster"][:1], "total": [np.stack(rows["total"]).sum(axis=0)]})
+
+
 def _fit_centroids(nodes: DataFrame, settings: Settings) -> dict[tuple[str, int], np.ndarray]:
     """Centroids of every (label, dimension) with more rows than a shard, on a bounded sample; smaller ones are one shard.
 
-    The driver holds the sample, at most about 2 * centroids * sample_per_centroid vectors of all labels (393,216 by default, about 197,000 for one
-    label), several times while it arrives and is scaled: 8 bytes a component each. The products with the centroids come in blocks of 32 MB."""
+    The sample, about ``sample_per_centroid`` vectors a centroid, stays in the shared folder; each round is a job that assigns in tasks and adds up by
+    centroid. The driver holds the centroids alone: at most about 2 * ``centroids``."""
     total = nodes.count()
     shard = max(settings.shard, -(-total // settings.centroids))
     large = nodes.groupBy("label", "dim").count().where(F.col("count") > shard)  # at most ``centroids`` rows
     large = large.withColumn("k", F.ceil(F.col("count") / shard)).withColumn("rate", settings.sample_per_centroid * F.col("k") / F.col("count"))
+    sizes = {(r.label, int(r.dim)): int(r.k) for r in large.toLocalIterator()}
+    if not sizes:
+        return {}
     share = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = nodes.join(large, ["label", "dim"]).where(share < F.col("rate")).select("label", "dim", "k", "vector")
-    drawn = drawn.orderBy("label", "dim", F.xxhash64("vector")).limit(2 * settings.centroids * settings.sample_per_centroid).toPandas()
-    found = {}
-    for (label, dim, k), rows in drawn.groupby(["label", "dim", "k"]):
-        x = _matrix(rows["vector"])
-        centres = x[:int(k)].copy()
-        for _ in range(6):
-            nearest, squares = np.empty(len(x), np.int64), (centres * centres).sum(axis=1) / 2
-            for part in _row_blocks(len(x), len(centres)):
-                nearest[part] = (x[part] @ centres.T - squares).argmax(axis=1)
-            order = np.argsort(nearest, kind="stable")
-            used, start = np.unique(nearest[order], return_index=True)
-            for j, own in zip(used, np.split(order, start[1:])):
-                centres[j] = x[own].mean(axis=0)
-        found[label, int(dim)] = centres
+    drawn = checkpointed(nodes.join(large, ["label", "dim"]).where(share < F.col("rate")).select("node", "label", "dim", "k", "vector"))
+    place = F.row_number().over(W.partitionBy("label", "dim").orderBy(F.xxhash64("node"), "node"))
+    first = drawn.withColumn("place", place).where(F.col("place") <= F.col("k")).select("label", "dim", "vector").toPandas()
+    found = {(label, int(dim)): _matrix(own["vector"]) for (label, dim), own in first.groupby(["label", "dim"])}
+    for _ in range(settings.rounds):
+        now = dict(found)
+        sums = drawn.select("label", "dim", "vector").mapInPandas(lambda b: _centroid_sums(b, now), "label string, dim int, cluster int, total array<double>")
+        sums = sums.groupBy("label", "dim", "cluster").applyInPandas(_added, "label string, dim int, cluster int, total array<double>").toPandas()
+        for (label, dim), own in sums.groupby(["label", "dim"]):
+            totals = np.stack(own["total"])
+            found[label, int(dim)][own["cluster"].to_numpy()] = totals[:, :-1] / totals[:, -1:]
     return found
 
 
@@ -132,34 +159,33 @@ def _search(settings: Settings):
         own = np.searchsorted(names, asked).clip(max=len(names) - 1)
         own = np.where(names[own] == asked, own, -1)
         who, nodes = flatgraph.search(x, edges, flatgraph.medoid(x), own, y, settings.threshold, settings.beam)
-        other = names[nodes] != asked[who]
+        other = (names[nodes] != asked[who]) & (names[nodes] >= 0)  # planted vectors are nobody's partners
         who, nodes = who[other], nodes[other]
         links = np.bincount(who, weights=graph["copies"].to_numpy()[nodes], minlength=len(asked)).astype(np.int64)
         mates = np.bincount(who, minlength=len(asked)).astype(np.int64)
-        a, b = flatgraph.forest(asked[who], names[nodes])
-        return pd.concat([pd.DataFrame({"node": asked, "links": links, "mates": mates}), pd.DataFrame({"a": a, "b": b})])
+        some, real = mates > 0, asked[who] >= 0
+        a, b = flatgraph.forest(asked[who][real], names[nodes][real])
+        return pd.concat([pd.DataFrame({"node": asked[some], "links": links[some], "mates": mates[some]}), pd.DataFrame({"a": a, "b": b})])
 
     return run
 
 
-def _true_links(nodes: DataFrame, settings: Settings) -> pd.DataFrame:
-    """(node, mates): how many other nodes a bounded sample of queries truly links with, by comparison with all rows. More queries are drawn, four
-    times as many a round, until ``linked`` sparse and, if any is dense, ``linked`` dense ones have links, or ``most`` or all are drawn."""
-    drawn, found = 0, []
-    wanted = settings.audit
-    while True:
-        sample = nodes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("node", "label", "dim", "vector").offset(drawn).toPandas()
-        if len(sample):
-            found.append(_count_mates(nodes, sample, settings))
-        drawn += len(sample)
-        true = pd.concat(found) if found else pd.DataFrame({"node": [], "mates": []})
-        dense, sparse = (true["mates"] >= settings.dense).sum(), true["mates"].between(1, settings.dense - 1).sum()
-        if drawn < wanted or wanted >= settings.most or sparse >= settings.linked and (dense == 0 or dense >= settings.linked):
-            return true
-        wanted = min(4 * wanted, settings.most)
+def _planted(nodes: DataFrame, settings: Settings) -> pd.DataFrame:
+    """Near copies of a bounded sample of nodes, similarities spread from the threshold up, under negative names: links that are there for certain."""
+    drawn = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(settings.audit).select("node", "label", "dim", "vector").toPandas()
+    random, near = np.random.Generator(np.random.PCG64(23)), []
+    for i, vector in enumerate(drawn["vector"]):
+        x = flatgraph.unit(np.asarray(vector, float)[None, :])[0]
+        away = random.standard_normal(len(x))
+        away -= (away @ x) * x
+        size = np.sqrt(away @ away)
+        cosine = settings.threshold + (1 - settings.threshold) * (i % 20 + 1) / 21
+        near.append((cosine * x + np.sqrt(1 - cosine**2) * away / size if size > 1e-9 else x).tolist())
+    return drawn.assign(node=-1 - np.arange(len(drawn)), vector=near)
 
 
 def _count_mates(nodes: DataFrame, sample: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """(node, mates): how many other nodes the queries truly link with, by comparison with all rows; queries without any are left out."""
     groups = {(label, int(dim)): (own["node"].to_numpy(), _matrix(own["vector"])) for (label, dim), own in sample.groupby(["label", "dim"])}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,24 +199,33 @@ def _count_mates(nodes: DataFrame, sample: pd.DataFrame, settings: Settings) ->
                         near = (y @ x[part].T >= settings.threshold) & (asked[:, None] != names[part][None, :])
                         sums[label, int(dim)] += near.sum(axis=1)
         for key, (asked, _) in groups.items():
-            yield pd.DataFrame({"node": asked, "mates": sums[key]})
+            some = sums[key] > 0
+            yield pd.DataFrame({"node": asked[some], "mates": sums[key][some]})
 
     return nodes.select("node", "label", "dim", "vector").mapInPandas(count, "node bigint, mates bigint").groupBy("node").agg(
         F.sum("mates").alias("mates")).toPandas()
 
 
-def _recall(true: pd.DataFrame, found: pd.DataFrame, settings: Settings) -> float:
+def _audit(true: pd.DataFrame, found: pd.DataFrame, settings: Settings) -> Audit:
     """Mean share of a query's linked nodes that the search found, over the queries with any; the lesser of dense and sparse queries."""
     both = true[true["mates"] > 0].merge(found, on="node", how="left", suffixes=("", "_found"))
     share = np.minimum(both["mates_found"].fillna(0), both["mates"]) / both["mates"]
     dense = both["mates"] >= settings.dense
-    return min((float(part.mean()) for part in (share[dense], share[~dense]) if len(part)), default=1.0)
+    parts = [float(part.mean()) for part in (share[dense], share[~dense]) if len(part)]
+    return Audit(len(both), int((both["node"] < 0).sum()), min(parts) if parts else None)
 
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", settings: Settings = Settings(),
 ) -> DataFrame:
-    """Return (vec_id, n_links, component_id, kept) for every row; vectors link at cosine ``threshold`` or more within a label.
+    """Return (vec_id, n_links, component_id, kept) for every row; see ``audited_near_duplicates``."""
+    return audited_near_duplicates(vectors, id_col, vector_col, label_col, settings)[0]
+
+
+def audited_near_duplicates(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", settings: Settings = Settings(),
+) -> tuple[DataFrame, Audit]:
+    """Rows (vec_id, n_links, component_id, kept) and the audit of the search; vectors link at cosine ``threshold`` or more within a label.
 
     1. Equal vectors of a label become one node with its number of copies, so copies never meet as pairs.
     2. Nodes go to overlapping cluster shards: the nearest centroid's and all whose cell is within reach, so a shard holds
@@ -199,8 +234,9 @@ def near_duplicates(
     3. Each block builds a pruned neighbour graph; a node's lists from all its blocks are united.
     4. The vectors at home search every block of their shard, greedily from its medoid, then expanding the range; similarities are
        computed in double precision, so no link is false. A task returns counts and a spanning forest of its links, never pairs.
-    5. A bounded sample of queries is compared with all rows, more of them until enough have links. If the mean share of linked nodes found is
-       less than ``recall``, for dense or for sparse queries, the search is repeated with a wider beam; after three times it raises.
+    5. Recall is measured in every run: near copies of drawn nodes are planted among the vectors, left out of all results, and searched like any vector, and so
+       are drawn nodes; both are compared with all rows. If the mean share of linked nodes found is less than ``recall``, for dense or for
+       sparse queries, the search is repeated with a wider beam; after three times it raises.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing. Vectors of
     different length don't compare. Rows that repeat an id count as vectors of their own; they share a component if their
@@ -215,7 +251,10 @@ def near_duplicates(
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")))
 
     radius = float(np.sqrt(2 - 2 * settings.threshold)) + 1e-9
-    placed = checkpointed(_assign(nodes, _fit_centroids(nodes, settings), radius))
+    planted = _planted(nodes, settings)
+    extra = nodes.sparkSession.createDataFrame([(int(r.node), r.label, int(r.dim), r.vector, 0) for r in planted.itertuples()],
+                                               "node bigint, label string, dim int, vector array<double>, copies bigint")
+    placed = checkpointed(_assign(nodes.select(extra.columns).unionByName(extra), _fit_centroids(nodes, settings), radius))
     sizes = placed.groupBy(*_CELL).agg(F.count("*").alias("members"), F.sum(F.col("home").cast("bigint")).alias("homes"))
     sizes = sizes.select(*_CELL, F.ceil(F.col("members") / settings.block).cast("int").alias("blocks"),
                          F.ceil(F.greatest("homes", F.lit(1)) / settings.block).cast("int").alias("chunks"))
@@ -229,7 +268,8 @@ def near_duplicates(
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = [*_CELL, "block", "chunk"]
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "node", "vector")])
-    true = _true_links(nodes, settings)
+    drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(settings.audit).select("node", "label", "dim", "vector").toPandas()
+    true = _count_mates(nodes, pd.concat([drawn, planted]), settings)
     queries = nodes.sparkSession.createDataFrame([(int(n),) for n in true["node"]], "node bigint")
     for attempt in range(3):
         how = replace(settings, beam=settings.beam * 2**attempt)
@@ -238,7 +278,8 @@ def near_duplicates(
             _search(how), "node bigint, links bigint, mates bigint, a bigint, b bigint")
         hits = checkpointed(hits)
         links = checkpointed(hits.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("mates").alias("mates")))
-        if _recall(true, links.join(queries, "node").select("node", "mates").toPandas(), settings) >= settings.recall:
+        audit = _audit(true, links.join(queries, "node").select("node", "mates").toPandas(), settings)
+        if audit.recall is None or audit.recall >= settings.recall:
             break
     else:
         raise RuntimeError("the graph search finds fewer links than asked for; use a wider beam")
@@ -246,8 +287,8 @@ def near_duplicates(
     roots = components(hits.where("a is not null").select("a", "b"))
     member = nodes.join(roots, "node", "left").select("node", "label", "vector", "copies", "first_id", F.coalesce("root", "node").alias("root"))
     best = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(best, "root").join(links.drop("mates"), "node").select(
-        F.col("label").alias("n_label"), F.col("vector").alias("n_vector"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    member = member.join(best, "root").join(links.drop("mates"), "node", "left").select(
+        F.col("label").alias("n_label"), F.col("vector").alias("n_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = good.join(member, (F.col("label") == F.col("n_label")) & (vector == F.col("n_vector"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), audit

@@ -24,8 +24,9 @@ def build(x: np.ndarray, degree: int = 20, candidates: int = 48, alpha: float =
     edges = np.full((n, degree + strides), -1, np.int64)
     if wide < 1:
         return edges
-    for start in range(0, n, 512):
-        rows = np.arange(start, min(start + 512, n))
+    step = max(16, min(512, (1 << 22) // (wide * x.shape[1])))  # candidates' vectors take 32 MB at most
+    for start in range(0, n, step):
+        rows = np.arange(start, min(start + step, n))
         sims = x[rows] @ x.T
         sims[np.arange(len(rows)), rows] = -np.inf
         near = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]

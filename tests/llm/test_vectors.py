@@ -45,36 +45,46 @@ def test_recall_counts_every_query():
     import pandas as pd
 
     # A ball with all its links found doesn't make up for the lost links of sparse queries, or the other way round.
-    true = pd.DataFrame({"node": range(10), "mates": [1000] * 5 + [2] * 4 + [0]})
-    lost = pd.DataFrame({"node": range(8), "mates": [1000] * 5 + [2, 0, 1]})
-    assert embeddings._recall(true, true, embeddings.Settings()) == 1.0
-    assert embeddings._recall(true, lost, embeddings.Settings()) == (1 + 0 + 0.5 + 0) / 4
-    assert embeddings._recall(true, true.assign(mates=[500] * 5 + [2] * 4 + [0]), embeddings.Settings()) == 0.5
-
-
-def test_more_queries_are_drawn_until_enough_have_links(frame):
-    rows = [(i, np.eye(64)[i % 64].tolist() if i < 60 else (np.eye(64)[60 + i % 2] + i * 1e-5).tolist(), 0) for i in range(80)]
-    nodes = frame("node bigint, vector array<double>, label int", rows).selectExpr("node", "string(label) AS label", "size(vector) AS dim", "vector", "1L AS copies")
-    settings = embeddings.Settings(audit=2, linked=12, most=80)
-    true = embeddings._true_links(nodes, settings)
-    assert (true["mates"] > 0).sum() >= 12 and true["node"].is_unique and dict(zip(true["node"], true["mates"])).get(61, 9) == 9
-    assert len(embeddings._true_links(nodes, embeddings.Settings(audit=2, linked=99, most=8))) == 8
-
-
-def test_centroids_are_fitted_in_bounded_memory(frame):
-    import tracemalloc
-
+    true = pd.DataFrame({"node": [-1, *range(1, 10)], "mates": [1000] * 5 + [2] * 4 + [0]})
+    lost = pd.DataFrame({"node": [-1, *range(1, 8)], "mates": [1000] * 5 + [2, 0, 1]})
+    settings = embeddings.Settings()
+    assert embeddings._audit(true, true, settings) == embeddings.Audit(9, 1, 1.0)
+    assert embeddings._audit(true, lost, settings).recall == (1 + 0 + 0.5 + 0) / 4
+    assert embeddings._audit(true, true.assign(mates=[500] * 5 + [2] * 4 + [0]), settings).recall == 0.5
+    assert embeddings._audit(true.iloc[:0], true, settings).recall is None
+
+
+def test_recall_is_measured_without_a_link_in_the_table(spark, small):
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet")
+    found, audit = embeddings.audited_near_duplicates(vectors)
+    assert audit.planted == 200 and audit.queries >= 200 and audit.recall >= 0.95
+    assert found.count() == vectors.count()
+
+
+def test_links_planted_in_the_table(spark, small):
+    # Every tenth vector gets near copies just above and just below the limit, in the table itself.
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    rng, more = np.random.default_rng(8), []
+    for i, (vec_id, v, label) in enumerate(rows[::10]):
+        x = np.array(v, float) / np.linalg.norm(v)
+        away = rng.standard_normal(len(x))
+        away -= (away @ x) * x
+        away /= np.linalg.norm(away)
+        for cosine in (0.9801, 0.99, 0.9799):
+            more.append((10000 + len(more), (cosine * x + np.sqrt(1 - cosine**2) * away).tolist(), label))
+    every = spark.createDataFrame(rows + more, "vec_id bigint, embedding array<double>, label int")
+    for settings in (embeddings.Settings(), embeddings.Settings(shard=24, block=40)):
+        found, audit = embeddings.audited_near_duplicates(every, settings=settings)
+        assert {(r.vec_id, r.n_links, r.component_id) for r in found.collect()} == plain(rows + more) and audit.recall >= 0.95
+
+
+def test_centroids_are_averages_of_their_cells(frame):
     rng = np.random.default_rng(2)
-    rows = [(i, rng.standard_normal(4).tolist()) for i in range(8000)]
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(2000)]
     nodes = frame("node bigint, vector array<double>", rows).selectExpr("node", "'a' AS label", "size(vector) AS dim", "vector")
-    tracemalloc.start()
-    try:
-        found = embeddings._fit_centroids(nodes, embeddings.Settings(shard=4))
-        peak = tracemalloc.get_traced_memory()[1]
-    finally:
-        tracemalloc.stop()
-    assert found["a", 4].shape == (2000, 4) and np.isfinite(found["a", 4]).all()
-    assert peak < 100e6  # 8,000 x 2,000 products at once take 128 MB, twice with the squares taken off
+    found = embeddings._fit_centroids(nodes, embeddings.Settings(shard=40, rounds=3))
+    assert found["a", 4].shape == (50, 4) and np.isfinite(found["a", 4]).all()
+    assert embeddings._fit_centroids(nodes, embeddings.Settings()) == {}
 
 
 def test_no_rows(frame):

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from fleetscope.functions import labels, numbers, times
 from fleetscope.functions.nulls import concat_nn
 from fleetscope.operators import (
-    classify, config, counters, dims, forest, indexes, memory, reshape, samples, sessions, storage, topk,
+    classify, config, counter_state, counters, dims, forest, indexes, memory, reshape, samples, sessions, storage, topk,
 )
 from fleetscope.operators.topk import Measure
 from fleetscope.session import checkpointed, mounted_path, shared_folder
-from fleetscope.sources import bundles, sinks
-from fleetscope.streaming import load as streams
+from fleetscope.sources import bundles, history as stored, sinks
+from fleetscope.streaming import deltas, load as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,6 +267,63 @@ def counter_snapshot_join(spark, folder):
     return counters.counter_totals(by_status(spark, folder), month_snapshots(spark, folder), "1997-01-01", "1999-01-01")
 
 
+def month_range(facts: DataFrame, begin: str, end: str) -> DataFrame:
+    """Facts of the months from ``begin`` up to, not including, ``end``."""
+    first, last = (int(d[:4]) * 12 + int(d[5:7]) for d in (begin, end))
+    return facts.filter((F.col("snap_id") >= first) & (F.col("snap_id") < last))
+
+
+@query
+def counter_pruned_history(spark, folder):
+    """Two years of a history stored by day, which reads the folders of these two years."""
+    out, snaps = shared_folder(spark, "history"), month_snapshots(spark, folder)
+    stored.store_history(by_status(spark, folder), snaps, out)
+    facts = stored.read_history(spark, out, snaps, "1997-01-01", "1999-01-01")
+    return counters.counter_history(facts, snaps, "1997-01-01", "1999-01-01", keep_constant=True).drop("waits_var")
+
+
+@query
+def counter_per_instance(spark, folder):
+    """Each instance has snapshot rows of its own, begun some hours apart."""
+    hours = F.make_dt_interval(F.lit(0), F.col("instance_number"))
+    snaps = month_snapshots(spark, folder).join(by_status(spark, folder).select("instance_number", "snap_id").distinct(), "snap_id")
+    snaps = snaps.withColumn("begin_interval_time", F.col("begin_interval_time") + hours).withColumn("end_interval_time", F.col("end_interval_time") + hours)
+    return counters.counter_history(by_status(spark, folder), snaps, LINES_BEGIN, LINES_END, keep_constant=True,
+                                    snap_keys=("dbid", "snap_id", "instance_number")).drop("waits_var")
+
+
+LOADS = [(LINES_BEGIN, "1997-01-01"), ("1997-01-01", "1999-01-01"), ("1999-01-01", LINES_END)]
+
+
+@query
+def counter_state_merge(spark, folder):
+    """Three loads, each with the stored state of the one before and its own days only."""
+    out, snaps = shared_folder(spark, "states"), month_snapshots(spark, folder)
+    stored.store_history(by_status(spark, folder), snaps, f"{out}/history")
+    state, closed = None, []
+    for number, (begin, end) in enumerate(LOADS):
+        facts = stored.read_history(spark, f"{out}/history", snaps, begin, end)
+        rows, grown = counter_state.advance(state, counters.counter_totals(facts, snaps, begin, end))
+        rows.write.parquet(f"{out}/closed/load={number}")
+        grown.write.parquet(f"{out}/state-{number}")
+        state = spark.read.parquet(f"{out}/state-{number}")
+    return counter_state.whole_history(spark.read.parquet(f"{out}/closed").drop("load"), state, var_round=2)
+
+
+@query
+def counter_delta_stream(spark, folder):
+    """Three loads as a stream; what waits in the state at its end has no delta."""
+    out = shared_folder(spark, "stream")
+    totals = counters.counter_totals(by_status(spark, folder), month_snapshots(spark, folder), LINES_BEGIN, LINES_END)
+    totals = totals.select(*counters.SERIES_KEYS, "snap_id", "wait_time")
+    for number, (begin, end) in enumerate(LOADS):  # a load's files hold whole series, and later loads come later
+        month_range(totals, begin, end).repartition(*counters.SERIES_KEYS).write.parquet(f"{out}/in/{number}")
+    stream = spark.readStream.schema(totals.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{out}/in")
+    deltas.run_deltas(stream, deltas.batch_writer(f"{out}/out"), f"{out}/state")
+    rows = deltas.closed_rows(spark, f"{out}/out").drop("note")
+    return rows.unionByName(deltas.waiting_rows(spark, f"{out}/state"), allowMissingColumns=True)
+
+
 @query
 def counter_ffill(spark, folder):
     return history(spark, folder, by_status(spark, folder), fill_last=True).drop("waits_var")

@@ -83,20 +83,25 @@ def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the same next document; an id with several texts is represented by the text with the smallest hash. A null id comes first.
     Null texts count as empty. Hot ids are on the side of the joins that Spark splits, and are reduced to one row before they travel on.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("own_text"))
+    # Null ids are told apart by a column of their own, so that joins and groups agree on plain keys and share exchanges.
+    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("own"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("own_text"))
     half = lambda text: F.floor(F.length(text) / 2).cast("int")
-    needs = source.groupBy(F.col("own_id").alias("need_id")).agg(F.max(half(F.col("own_text"))).alias("need"))
-    wanted = following(source, "own_id").alias("f").join(needs.alias("n"), F.col("f.id").eqNullSafe(F.col("n.need_id"))).select("id", "next_id", "need")
+    needs = source.groupBy("own", "no_id").agg(F.max(half(F.col("own_text"))).alias("need"))
+    ids = following(source.select(F.when(~F.col("no_id"), F.col("own")).alias("id")), "id")
+    keyed = lambda name, own, no_id: (F.coalesce(name, F.lit(0)).alias(own), F.col(name).isNull().alias(no_id))
+    wanted = ids.select(*keyed("id", "own", "no_id"), F.col("next_id")).join(needs, ["own", "no_id"]).select(
+        F.col("own").alias("head_of"), F.col("no_id").alias("head_of_null"), "need", *keyed("next_id", "own", "no_id"))
 
     sketched = with_sketch(source, "own_text", "sketch", size, scale)
-    heads = sketched.join(wanted, F.col("own_id").eqNullSafe(F.col("next_id"))).select(
-        F.col("id").alias("head_of"), F.xxhash64("own_text").alias("text_hash"), F.struct(F.substring(F.col("own_text"), F.lit(1), F.col("need")).alias("head"), F.col("sketch").alias("next_sketch")).alias("next"))
-    heads = heads.groupBy("head_of").agg(F.min_by("next", "text_hash").alias("next"))
-    joined = sketched.join(heads, F.col("own_id").eqNullSafe(F.col("head_of")))
+    heads = sketched.join(wanted, ["own", "no_id"]).select(
+        "head_of", "head_of_null", F.xxhash64("own_text").alias("text_hash"),
+        F.struct(F.substring(F.col("own_text"), F.lit(1), F.col("need")).alias("head"), F.col("sketch").alias("next_sketch")).alias("next"))
+    heads = heads.groupBy("head_of", "head_of_null").agg(F.min_by("next", "text_hash").alias("next"))
+    joined = sketched.join(heads, (F.col("own") == F.col("head_of")) & (F.col("no_id") == F.col("head_of_null")))
     n = F.length("own_text")
     cut = half(F.col("own_text"))
     edited = F.concat(F.substring(F.col("own_text"), F.lit(1), n - cut), F.substring(F.col("next.head"), F.lit(1), cut))
-    both = joined.select(F.col("own_id").alias("doc_id"), n.cast("bigint").alias("n_chars"), edited.alias("edited_text"), "sketch", F.col("next.next_sketch").alias("next_sketch"))
+    both = joined.select(F.when(~F.col("no_id"), F.col("own")).alias("doc_id"), n.cast("bigint").alias("n_chars"), edited.alias("edited_text"), "sketch", F.col("next.next_sketch").alias("next_sketch"))
     return with_sketch(both, "edited_text", "edited_sketch", size, scale).select(
         "doc_id", "n_chars", "edited_text", "sketch", "edited_sketch", containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))

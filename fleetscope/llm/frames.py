@@ -36,9 +36,14 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose ``row_key`` is in the column KEY of ``keys``, one for each key, with the columns of ``docs``."""
-    keyed = docs.withColumn(KEY, row_key(id_col, text_col)).alias("d")
-    wanted = keys.select(F.col(KEY).alias("__wanted")).distinct().alias("k")
-    same = (F.col(f"d.{KEY}.id").eqNullSafe(F.col("k.__wanted.id"))
-            & (F.col(f"d.{KEY}.text_hash") == F.col("k.__wanted.text_hash")))
-    return keyed.join(wanted, same, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    """Rows of ``docs`` whose ``row_key`` is in the column KEY of ``keys``, one for each key, with the columns of ``docs``.
+
+    Keys are made distinct where they are small; rows shuffle once, on plain columns without nulls, so that the join and the
+    choice of one row a key share a partitioning and an order."""
+    parts = [f"{KEY}_{i}" for i in range(3)]
+
+    def split(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.withColumns(dict(zip(parts, (F.coalesce(key["id"].cast("bigint"), F.lit(0)), key["id"].isNull(), key["text_hash"]))))
+
+    wanted = split(keys.select(KEY), F.col(KEY)).select(parts).distinct()
+    return split(docs, row_key(id_col, text_col)).join(wanted, parts, "left_semi").dropDuplicates(parts).drop(*parts)

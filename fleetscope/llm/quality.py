@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 
 _RATIOS = ("bare", "caps", "marks", "digits", "repeats", "top")
 _NOISE = "!?#$%&*|=~^+<>@_-"
 _SIGNS = _NOISE + ".,;:'\"()[]{}/\\`"
+#: Different grades that labels may have; more are no rating scale.
+MOST_GRADES = 32
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         core = word if word.isalpha() else word.strip(_SIGNS)
-        name = core.lower() if core else word[:8]
+        name = core.lower() if core else word
         shape = (not core) | (len(core) > 1 and core.isupper()) << 1
         if core is not word and core != word:
             shape |= (bool(core) and len(word) - len(word.rstrip(_NOISE)) > 1) << 2
@@ -67,8 +70,9 @@ class Features:
         total = int(counts.sum())
         buckets = np.unique(packed & (1 << 40) - 1)
         ratios = [float(counts[packed >> 40 + bit & 1 == 1].sum()) / total if total else 0.0 for bit in range(4)]
-        # Distinct words fall short of the total in any long text, so their number is seen on the scale of its logarithm.
-        ratios += [1 - np.log1p(n) / np.log1p(total), counts.max() / total] if total >= 20 else [0.0, 0.0]
+        # Distinct words fall short of the total in any long text, so their number is seen on the scale of its logarithm. Twenty words
+        # are added to the total: the fewer words a text has, the less it tells that one of them stands out or comes again.
+        ratios += [(1 - np.log1p(n) / np.log1p(total)) * total / (total + 20), counts.max() / (total + 20)] if total else [0.0, 0.0]
         # All levels up to a ratio: a weight for each step can follow any rise.
         steps = [20 * i + step for i, r in enumerate(ratios) if r > 0 for step in range(min(int(r * 20), 19) + 1)]
         steps.append(20 * len(_RATIOS) + total.bit_length())
@@ -102,10 +106,11 @@ def _telling(rows: list[tuple[np.ndarray, np.ndarray]], top: np.ndarray, setting
     return np.where(with_top + without >= settings.min_rows, np.abs(odds) * z2 / (z2 + 9), 0.0)
 
 
-def fit(texts: list[str | None], grades: list[int], grades_count: int, settings: Settings = Settings()) -> Model:
-    """Fit weights and ordered cuts by stochastic steps on the likelihood (Adagrad). Cuts are a first cut plus positive gaps, so they stay ordered."""
+def fit(texts: Iterable[str | None], grades: list[int], grades_count: int, settings: Settings = Settings()) -> Model:
+    """Fit weights and ordered cuts by stochastic steps on the likelihood (Adagrad). Cuts are a first cut plus positive gaps, so they stay ordered.
+    Texts are read once, and only their features are held; ``grades`` (0 and up) fills up while they are read."""
     features = Features(settings.buckets)
-    rows = [features(t) for t in texts]
+    rows = [(index.astype(np.int32), value.astype(np.float32)) for index, value in map(features, texts)]
     scale = _telling(rows, np.array(grades) == grades_count - 1, settings)
     rows = [(index[used], (value * scale[index])[used]) for index, value in rows for used in [scale[index] != 0]]
     weights, history = np.zeros(settings.buckets), np.full(settings.buckets, 1e-2)
@@ -140,11 +145,23 @@ def fit(texts: list[str | None], grades: list[int], grades_count: int, settings:
     return Model(weights * scale, cuts, settings)
 
 
-def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(text, grade) of at most ``settings.sample`` labelled rows, the same in every run. The grade is a point for quality and one for not being toxic.
-    The sample is chosen among labels by hash before any text moves; rows without a full label are left out."""
-    grade = (F.col("quality") + 1 - F.col("toxic")).cast("int")
-    rated = labels.select(F.col("doc_id").alias("id"), grade.alias("grade")).where("id is not null and grade between 0 and 2")
+def scale_of(labels: DataFrame) -> list[int]:
+    """The ordered grades that the labels give: quality, and a point for not being toxic. At most ``MOST_GRADES`` values reach the driver; more of them, or
+    a toxic mark other than 0 and 1, stop the job."""
+    full = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    if not full.where("toxic not in (0, 1)").isEmpty():
+        raise ValueError("toxic must be 0 or 1")
+    found = full.select((F.col("quality") + 1 - F.col("toxic")).cast("bigint").alias("grade")).distinct().limit(MOST_GRADES + 1).collect()
+    if len(found) > MOST_GRADES:
+        raise ValueError(f"labels have more than {MOST_GRADES} grades")
+    return sorted(r.grade for r in found)
+
+
+def graded(docs: DataFrame, labels: DataFrame, scale: list[int], id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """(id, text, grade) of at most ``settings.sample`` labelled rows, the same in every run, the grade as a place on the scale. The
+    sample is chosen among labels by hash before any text moves; rows without a full label are left out."""
+    place = F.array_position(F.array(*map(F.lit, scale)), (F.col("quality") + 1 - F.col("toxic")).cast("int")) - 1
+    rated = labels.select(F.col("doc_id").alias("id"), place.cast("int").alias("grade")).where("id is not null and grade is not null")
     chosen = rated.orderBy(F.md5(F.col("id").cast("string")), "grade").limit(settings.sample)
     texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
     return texts.join(chosen, texts["own"] == chosen["id"]).select(F.col("own").alias("id"), "text", "grade").orderBy("id", "grade", F.xxhash64("text")).limit(
@@ -152,13 +169,27 @@ def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Model | None:
-    """Fit on the bounded sample; None if no row is labelled."""
-    rows = graded(docs, labels, id_col, text_col, settings).select("text", "grade").toLocalIterator()
-    texts, grades = [], []
-    for text, grade in rows:
-        texts.append(text)
-        grades.append(grade)
-    return fit(texts, grades, 3, settings) if texts else None
+    """Fit on the bounded sample; None if no row is labelled. One task reads the sample and fits; only weights and cuts reach the driver."""
+    scale = scale_of(labels)
+    if not scale:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades: list[int] = []
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    grades.append(grade)
+                    yield text
+
+        model = fit(texts(), grades, max(len(scale), 2), settings)
+        if grades:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f8").tobytes()], pa.binary()), pa.array([model.cuts.tolist()], pa.list_(pa.float64()))], ["weights", "cuts"])
+
+    rows = graded(docs, labels, scale, id_col, text_col, settings).select("text", "grade").coalesce(1)
+    found = rows.mapInArrow(run, "weights binary, cuts array<double>").collect()
+    return Model(np.frombuffer(found[0].weights, "<f8"), np.array(found[0].cuts), settings) if found else None
 
 
 def judge(text: Column, model: Model) -> Column:
@@ -179,12 +210,14 @@ def judge(text: Column, model: Model) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Return (doc_id, expected_grade, p_good, kept) for every row: the expected grade of 0 to 2, the probability of the top grade, and whether
-    it is above ``settings.keep_above``.
-
-    Training reads a bounded, documented sample of labelled rows; scoring runs over every whole text where it lies, without a shuffle.
-    A null text counts as empty and is judged as such. Without any labelled row everything is kept, with null probabilities.
-    Repeated rows each get their score.
+    """Return (doc_id, expected_grade, p_good, kept) for every row: the expected place on the scale of grades, the probability of the top grade, and
+    whether it is above ``settings.keep_above``.
+
+    Training reads a bounded, documented sample of labelled rows; scoring runs over every whole text where it lies, without a shuffle; a task
+    holds one batch of texts and the distinct words of one text, so a very long text takes a few times its size.
+    A null text counts as empty and is judged as such; equal texts have equal scores, and a probability of exactly ``keep_above`` isn't kept. Without
+    any labelled row everything is kept, with null probabilities. Repeated rows each get their score; an id with several labels is fitted with each of
+    them. Labels with a null id, quality or toxic mark are left out of the fit.
     """
     model = train(docs, labels, id_col, text_col, settings)
     if model is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,11 +46,13 @@ def _audit(weight: int, bits: int) -> str:
     return format(weight & ((1 << bits) - 1), "o").zfill(bits // 3).rstrip("0").translate(_LETTERS) if bits else ""
 
 
-def block_paths(rows: list[tuple[str, bool, bool]], limit: int = 2) -> list[list[tuple[int, str] | None]]:
+@lru_cache(1 << 12)
+def block_paths(rows: tuple[tuple[str, bool, bool], ...], limit: int = 2) -> list[list[tuple[int, str] | None]]:
     """Cheapest (cost, audit) through the rows from each state (first index) to each state (second), None where there is no way.
 
     A row is (initial of the role, whether it must go, whether it is truncated). Before each row up to ``limit`` turns may be inserted - a
     third would repeat the state after the first at a higher cost - then the row is deleted, kept if its role fits, or reroled.
+    Short conversations repeat the same rows in this sense, so the last few thousand answers are kept.
     """
     bits = 3 * (limit + 1) * len(rows)
     found: list[list[tuple[int, str] | None]] = [[None] * 4 for _ in range(4)]
@@ -115,7 +118,7 @@ class _Block:
             self.turns.append(turn)
 
     def record(self) -> tuple:
-        paths = block_paths(self.rows)
+        paths = block_paths(tuple(self.rows))
         known = [t for t in self.turns if t is not None]
         return (*self.key, len(self.rows), self.blank, self.duplicate, self.truncated, self.illegal, self.rows[0][0], self.rows[-1][0],
                 known[0] if known else None, known[-1] if known else None, len(known), self.turns[-1],

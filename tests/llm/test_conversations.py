@@ -109,7 +109,7 @@ def test_blocks_join_to_the_same_audit(block):
     rng = random.Random(3)
     for _ in range(400):
         rows = [(rng.choice("suat"), rng.random() < 0.2, rng.random() < 0.3) for _ in range(rng.randint(1, 9))]
-        cuts = [conversations.block_paths(rows[i:i + block]) for i in range(0, len(rows), block)]
+        cuts = [conversations.block_paths(tuple(rows[i:i + block])) for i in range(0, len(rows), block)]
         cost, parts = conversations.join_blocks(cuts)
         want = cheapest([(r, "t", gone, int(cut)) for r, gone, cut in rows])
         assert (cost, "".join(parts)) == want[:2], rows

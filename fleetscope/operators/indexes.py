@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fleetscope.functions.nulls import concat_nn
 from fleetscope.functions.numbers import number_text
 from fleetscope.operators.dims import with_value
+from fleetscope.session import checkpointed
 
 # Owners whose indexes are not reported, types of ordinary indexes, block overheads.
 SYSTEM_OWNERS = ["SYS", "DVSYS", "MDSYS", "XDB"]
@@ -36,40 +37,94 @@ def prefix_marks(columns: DataFrame, keys: Sequence[str], pos: str, column: str)
     return own.withColumn("_mark", mark).select(*columns.columns, "_mark")
 
 
+def list_classes(columns: DataFrame, keys: Sequence[str] = (), table: str = "bo#", index: str = "obj#", pos: str = "pos#",
+                 column: str = "intcol#") -> DataFrame:
+    """(keys, table, member, class_id, n): lists of a table that are equal share the smallest of their ids. ``n`` is the length, NULL where
+    positions are not 1..n: such a list is a class of its own.
+
+    Lists of equal length and mark meet their smallest only, so K equal lists are K comparisons, entry by entry; one that
+    differs after all stays alone.
+    """
+    owner = [*keys, table]
+    entries = columns.select(*owner, F.col(index).alias("member"), F.col(pos).cast("bigint").alias("n"), F.col(column).alias("col"))
+    whole = entries.groupBy(*owner, "member").agg(
+        F.max("n").alias("n"), F.count("n").alias("_count"), F.bit_xor(F.xxhash64("n", "col")).alias("_mark"))
+    whole = whole.withColumn("n", F.when((F.col("n") == F.col("_count")), F.col("n"))).drop("_count")
+    same = whole.filter("n is not null").groupBy(*owner, "n", "_mark").agg(F.min("member").alias("first"), F.count(F.lit(1)).alias("_size"))
+    followers = whole.join(same.filter("_size > 1"), [*owner, "n", "_mark"]).filter("member <> first").select(*owner, "member", "first", F.col("n").alias("_need"))
+    model = entries.withColumnRenamed("member", "first")
+    equal = (
+        followers.join(entries, [*owner, "member"]).join(model, [*owner, "first", "n", "col"])
+        .groupBy(*owner, "member", "first", "_need").agg(F.count(F.lit(1)).alias("_equal")).filter("_equal = _need").select(*owner, "member", "first")
+    )
+    return whole.select(*owner, "member", "n").join(equal, [*owner, "member"], "left").select(
+        *owner, "member", F.coalesce("first", "member").alias("class_id"), "n")
+
+
+def class_prefixes(columns: DataFrame, classes: DataFrame, keys: Sequence[str] = (), table: str = "bo#", index: str = "obj#",
+                   pos: str = "pos#", column: str = "intcol#") -> DataFrame:
+    """(keys, table, class_id, longer): the class's list leads the longer list of another class.
+
+    Only the first list of each class takes part. Whole lists meet prefixes of equal length and mark in one equi-join, so
+    pairs that merely share a table or a column never come up; a count of equal entries then confirms each pair.
+    """
+    owner = [*keys, table]
+    heads = classes.filter("member = class_id").select(*owner, "class_id", F.col("n").alias("_need"))
+    entries = columns.select(*owner, F.col(index).alias("class_id"), F.col(pos).cast("bigint").alias("n"), F.col(column).alias("col"))
+    entries = entries.join(heads.select(*owner, "class_id"), [*owner, "class_id"], "left_semi")
+    marks = prefix_marks(entries, [*owner, "class_id"], "n", "col")
+    ends = marks.join(heads.filter("_need is not null"), [*owner, "class_id"]).filter("n = _need").select(*owner, "class_id", "n", "_mark")
+    longer = marks.select(*owner, F.col("class_id").alias("longer"), "n", "_mark")
+    pairs = ends.join(longer, [*owner, "n", "_mark"]).filter("class_id <> longer").select(*owner, "class_id", "longer", F.col("n").alias("_need"))
+    return (
+        pairs.join(entries, [*owner, "class_id"])
+        .join(entries.withColumnRenamed("class_id", "longer"), [*owner, "longer", "n", "col"])
+        .groupBy(*owner, "class_id", "longer", "_need")
+        .agg(F.count(F.lit(1)).alias("_equal"))
+        .filter(F.col("_equal") == F.col("_need"))
+        .select(*owner, "class_id", "longer")
+    )
+
+
+def redundant_classes(columns: DataFrame, keys: Sequence[str] = (), table: str = "bo#", index: str = "obj#", pos: str = "pos#",
+                      column: str = "intcol#") -> DataFrame:
+    """One row per list: its class, the class's size, and how many classes and lists of them it leads.
+
+    A list is redundant if its class has another member or leads a longer list. Rows grow with the lists, not with the
+    pairs among equal ones.
+    """
+    owner = [*keys, table]
+    classes = list_classes(columns, keys, table, index, pos, column)
+    sizes = classes.groupBy(*owner, "class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    led = class_prefixes(columns, classes, keys, table, index, pos, column).join(sizes.withColumnsRenamed({"class_id": "longer", "class_size": "_size"}), [*owner, "longer"])
+    led = led.groupBy(*owner, "class_id").agg(F.count(F.lit(1)).alias("covering_classes"), F.sum("_size").alias("covering_lists"))
+    zero = F.lit(0).cast("bigint")
+    return classes.drop("n").join(sizes, [*owner, "class_id"]).join(led, [*owner, "class_id"], "left").select(
+        *owner, "member", "class_id", "class_size", F.coalesce("covering_classes", zero).alias("covering_classes"), F.coalesce("covering_lists", zero).alias("covering_lists"))
+
+
 def redundant_prefixes(columns: DataFrame, candidates: DataFrame | None = None, keys: Sequence[str] = (),
                        table: str = "bo#", index: str = "obj#", pos: str = "pos#",
                        column: str = "intcol#") -> DataFrame:
     """Pairs (redundant, sufficient): the first index's list leads the second's, on one table.
 
     Two equal lists report each other. ``candidates`` (keys, index) limits the redundant side. A list
-    whose positions are not 1..n is never redundant.
-
-    Whole lists meet prefixes of equal length and mark in one equi-join, so pairs that merely share a
-    table or a column never come up; a count of equal entries then confirms each pair.
+    whose positions are not 1..n is never redundant. Pairs are found between classes of equal lists (``class_prefixes``) and
+    written out for their members last.
     """
     owner = [*keys, table]
-    entries = columns.select(*owner, index, F.col(pos).cast("bigint").alias("n"), F.col(column).alias("col"))
-    listed = [*owner, index]
-    whole = entries.groupBy(*listed).agg(
-        F.max("n").alias("n"), F.count("n").alias("_count"), F.bit_xor(F.xxhash64("n", "col")).alias("_mark"))
-    short = whole.filter(F.col("n") == F.col("_count")).select(
-        *owner, F.col(index).alias("redundant"), "n", "_mark")
+    # Two branches read the classes; lists are summed up once.
+    classes = checkpointed(list_classes(columns, keys, table, index, pos, column))
+    pairs = class_prefixes(columns, classes, keys, table, index, pos, column)
+    own = classes.filter("n is not null").select(*owner, "class_id", F.col("class_id").alias("longer"))
+    short = classes.filter("n is not null").select(*owner, "class_id", F.col("member").alias("redundant"))
     if candidates is not None:
         wanted = candidates.select(*keys, F.col(index).alias("redundant"))
         short = short.join(wanted, [*keys, "redundant"], "left_semi")
-    marks = prefix_marks(entries, listed, "n", "col").select(*owner, F.col(index).alias("sufficient"), "n", "_mark")
-    pairs = short.join(marks, [*owner, "n", "_mark"]).filter(F.col("redundant") != F.col("sufficient"))
-    found = pairs.select(*owner, "redundant", "sufficient", F.col("n").alias("_need"))
-    first = entries.withColumnRenamed(index, "redundant")
-    second = entries.withColumnRenamed(index, "sufficient")
-    return (
-        found.join(first, [*owner, "redundant"])
-        .join(second, [*owner, "sufficient", "n", "col"])
-        .groupBy(*owner, "redundant", "sufficient", "_need")
-        .agg(F.count(F.lit(1)).alias("_equal"))
-        .filter(F.col("_equal") == F.col("_need"))
-        .select(*owner, "redundant", "sufficient")
-    )
+    enough = classes.select(*owner, F.col("class_id").alias("longer"), F.col("member").alias("sufficient"))
+    several = own.groupBy(*owner, "class_id", "longer").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1").drop("_size")
+    return pairs.unionByName(several).join(short, [*owner, "class_id"]).join(enough, [*owner, "longer"]).filter(
+        "redundant <> sufficient").select(*owner, "redundant", "sufficient")
 
 
 def object_names(objects: DataFrame, owners: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

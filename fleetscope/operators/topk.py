@@ -62,19 +62,24 @@ STATEMENT_MEASURES = {
 }
 
 
-# Quotients are added with this many places and 24 digits before the point, their sum is shown with fewer.
-RATIO_SUM, RATIO_PLACES = "decimal(38,14)", 6
+# Sums of quotients are shown with so many places.
+RATIO_PLACES = 6
 
 
 def measure_sum(measure: Measure, positive_only: bool = False) -> Column:
     """Summed measure; ``positive_only`` leaves rows without a positive measure out of the sum.
 
-    Quotients are added as decimals, so that a sum does not depend on the order in which tasks deliver its parts.
+    Quotients are cut into their whole part, millionths and millionths of these, and each is added as a whole number: a sum does
+    not depend on the order in which tasks deliver its parts, and whole numbers add fast.
     """
     value = F.when(F.col(measure.column) > 0, measure.value()) if positive_only else measure.value()
     if measure.per is None:
         return F.sum(value)
-    return F.round(F.sum(value.cast(RATIO_SUM)), RATIO_PLACES).cast("double")
+    million = F.lit(1e6)
+    fraction = (value - F.floor(value)) * million
+    parts = [F.floor(value), F.floor(fraction), F.round((fraction - F.floor(fraction)) * million).cast("bigint")]
+    whole, micro, rest = (F.sum(p).cast("double") for p in parts)
+    return F.round(whole + (micro + rest / million) / million, RATIO_PLACES)
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], value: str, k: int, ties: Sequence[str] = (),
@@ -127,9 +132,12 @@ def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tup
     chosen = list(measures)
     names = [m.name for m in chosen]
     sums = [measure_sum(m, positive_only=True).alias(m.name) for m in chosen]
-    summed = statements.filter(F.col(executions) > 0).groupBy(*keys, *item).agg(*sums)
+    bucket = F.pmod(F.xxhash64(*item), F.lit(buckets)).alias("_bucket")
+    # Dealt out by tenant and bucket once, for the maxima and for the join: a hot tenant is spread over its buckets.
+    summed = statements.filter(F.col(executions) > 0).groupBy(*keys, *item).agg(*sums).select("*", bucket)
+    summed = summed.repartition(*keys, "_bucket")
     maxima = (
-        summed.groupBy(*keys, F.pmod(F.xxhash64(*item), F.lit(buckets)).alias("_bucket"))
+        summed.groupBy(*keys, "_bucket")
         .agg(*[F.max(f"`{n}`").alias(n) for n in names])
         .groupBy(*keys)
         .agg(*[F.sort_array(F.collect_list(f"`{n}`"), asc=False).alias(n) for n in names])
@@ -140,9 +148,10 @@ def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tup
         F.array(*[F.get(f"`{n}`", F.lit(k - 1)).cast("double") for n in names]).alias("_bounds"),
     )
     if keys:
+        each = bounds.withColumn("_of_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))))
         # NULL-safe, so that both sides read one shuffle of the sums: no side gets a NULL filter.
         same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
-        joined = summed.join(bounds, same, "left")
+        joined = summed.join(each, [*same, F.col("_bucket") == F.col("_of_bucket")], "left")
     else:
         joined = with_value(summed, bounds, "_bounds", "_bounds", required=False)
     entries = [

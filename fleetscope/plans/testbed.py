@@ -870,17 +870,26 @@ def dictionary(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     return objects, owners, block
 
 
-@query
-def redundant_prefix(spark, folder):
+def column_lists(spark, folder) -> DataFrame:
+    """Orders as indexes on their customer's table; an order's lines are the index columns."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     # Rows of one order only: an order has few lines.
     place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey"))
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("obj#"), place.alias("pos#"), (F.col("l_suppkey") % 5).alias("intcol#"))
-    columns = lines.join(orders, F.col("obj#") == F.col("o_orderkey")).select(
+    return lines.join(orders, F.col("obj#") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("bo#"), "obj#", "pos#", "intcol#")
-    plain = orders.filter(F.col("o_orderkey").bitwiseAND(1) == 0).select(F.col("o_orderkey").alias("obj#"))
-    return indexes.redundant_prefixes(columns, plain).withColumnRenamed("bo#", "table_id")
+
+
+@query
+def redundant_prefix(spark, folder):
+    plain = table(spark, folder, "orders").filter(F.col("o_orderkey").bitwiseAND(1) == 0).select(F.col("o_orderkey").alias("obj#"))
+    return indexes.redundant_prefixes(column_lists(spark, folder), plain).withColumnRenamed("bo#", "table_id")
+
+
+@query
+def redundant_classes(spark, folder):
+    return indexes.redundant_classes(column_lists(spark, folder)).withColumnRenamed("bo#", "table_id")
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetscope.functions.labels import lower_names
 from fleetscope.operators import config, counters, indexes, memory, samples, sessions, storage, topk
+from fleetscope.sources import sinks
 
 Tables = Mapping[str, DataFrame]
 
@@ -329,6 +330,35 @@ def run_report(name: str, tables: Tables, scope: Scope) -> DataFrame:
     return spec.build(tables, scope)
 
 
+#: Sections of one schema that one plan answers: group -> (its sections, source table, tall result with a section column).
+STATEMENT_GROUP = "topsql"
+
+
+def _statement_sections(t: Tables, s: Scope, names: Iterable[str]) -> DataFrame:
+    measures = [topk.STATEMENT_MEASURES[n] for n in names]
+    tall = topk.topk_statements_all(t["statements"], measures, s.keys)
+    return tall.withColumnRenamed("measure", sinks.SECTION)
+
+
+def write_reports(tables: Tables, scope: Scope, folder: str, names: Iterable[str] | None = None, fmt: str = "parquet") -> dict[str, str | None]:
+    """Run the reports (all whose tables are present, or the named ones) and store them: section -> the group that holds it, None
+    for a folder of its own.
+
+    Statement sections share a schema and a source: they come from one scan of ``statements`` and one aggregation, in one
+    write partitioned by section. Every other section is one job.
+    """
+    chosen = list(names) if names is not None else [n for n, r in REPORTS.items() if all(i in tables for i in r.inputs)]
+    shared = [n for n in chosen if n in topk.STATEMENT_MEASURES]
+    if len(shared) > 1:
+        sinks.write_tall(_statement_sections(tables, scope, shared), folder, STATEMENT_GROUP, fmt)
+    else:
+        shared = []
+    for name in chosen:
+        if name not in shared:
+            sinks.write_section(run_report(name, tables, scope), folder, name, fmt)
+    return {n: STATEMENT_GROUP if n in shared else None for n in chosen}
+
+
 def collect_sections(tables: Tables, scope: Scope, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """All reports whose source tables are present (or the named ones), as lazy DataFrames."""
     if names is not None:

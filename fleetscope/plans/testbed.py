@@ -17,6 +17,7 @@ from fleetscope.operators import (
     classify, config, counter_state, counters, dims, forest, indexes, memory, reshape, samples, sessions, storage, topk,
 )
 from fleetscope.operators.topk import Measure
+from fleetscope.plans import reports
 from fleetscope.session import checkpointed, mounted_path, shared_folder
 from fleetscope.sources import bundles, history as stored, sinks
 from fleetscope.streaming import deltas, load as streams
@@ -120,6 +121,19 @@ def topk_all_statement_measures(spark, folder):
     return as_double(topk.topk_statements_all(statements(spark, folder)), "value")
 
 
+@query
+def statement_sections_fanout(spark, folder):
+    """All 26 statement sections in one write, read back section by section."""
+    out = shared_folder(spark, "fanout")
+    scope = reports.Scope(as_of=LINES_END, begin=LINES_BEGIN, end=LINES_END)
+    where = reports.write_reports({"statements": statements(spark, folder)}, scope, out, list(topk.STATEMENT_MEASURES))
+    parts = [
+        sinks.read_section(spark, out, name, group=group).select(F.lit(name).alias("section"), "con_id", "sql_id", "sql_text", "value", "count_sql")
+        for name, group in where.items()
+    ]
+    return as_double(reduce(DataFrame.unionByName, parts), "value")
+
+
 @query
 def topk_threshold_first15(spark, folder):
     kinds = {"ECONOMY": "PACKAGE", "SMALL": "PACKAGE BODY", "LARGE": "FUNCTION", "MEDIUM": "PROCEDURE"}
@@ -779,6 +793,55 @@ def blocking_forest(spark, folder):
     return tree.withColumn("path", F.array_join("path", "/"))
 
 
+def memory_inputs(spark, folder) -> memory.MemoryInputs:
+    """Nations as databases: sizes from their customers, advice rows from their suppliers."""
+    people = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("k"), F.sum("c_custkey").alias("m"))
+    base = people.withColumn("bundle_id", F.concat(F.lit("db"), text("c_nationkey")))
+    k, m, mb = F.col("k"), F.col("m"), F.lit(memory.MB).cast("bigint")
+
+    def rows(names: tuple[str, ...], *values: tuple) -> DataFrame:
+        cells = [F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, row)]) for row in values]
+        return base.select("bundle_id", F.inline(F.array(*cells)))
+
+    sga = rows(("name", "value"), ("Fixed Size", k * 1000 + 1000000), ("Variable Size", (m % 4000 + 2000) * mb + k),
+               ("Database Buffers", (m % 700 + 1) * mb), ("Redo Buffers", k * 65536))
+    components = rows(
+        ("component", "current_size", "granule_size"),
+        ("shared pool", m % 300 * mb, m % 2 * mb * 4 + mb * 4), ("large pool", k % 7 * mb, mb * 4), ("java pool", m % 3 * mb, mb * 4), ("streams pool", k * 0, mb * 4),
+        ("DEFAULT buffer cache", m % 500 * mb, mb * 4), ("KEEP buffer cache", k % 2 * mb * 8, mb * 4), ("RECYCLE buffer cache", k * 0, mb * 4),
+        ("DEFAULT 2K buffer cache", m % 5 * mb, mb * 4), ("DEFAULT 8K buffer cache", k % 3 * mb, mb * 4), ("DEFAULT 16K blocksize buffer cache", k % 4 * mb, mb * 4),
+        ("OSM Buffer Cache", mb, mb * 4), ("shared io pool", k * 1000, mb * 4))
+    free = rows(("current_size",), (m % 100 * mb,))
+    settings = rows(("name", "value"), ("db_block_size", F.when(k % 2 == 0, "8192").otherwise("16384")), ("sga_target", text(m % 3 * 1000)),
+                    ("pga_aggregate_target", F.when(m % 4 != 0, text(m % 900 * mb))))
+    key = F.col("s_suppkey")
+    advice = table(spark, folder, "supplier").select(
+        F.concat(F.lit("db"), text("s_nationkey")).alias("bundle_id"), F.when(key % 3 == 1, "KEEP").otherwise("DEFAULT").alias("name"),
+        F.when(key % 2 == 0, 8192).otherwise(16384).alias("block_size"), (key % 4 * 0.5).alias("factor"),
+        F.when(F.col("s_nationkey") % 3 == 0, F.lit(1.0)).when(key % 7 != 0, (key % 2 + 1).cast("double")).alias("effect"), "s_nationkey")
+    loads = lambda name, least: advice.filter(F.col("s_nationkey") >= least).select("bundle_id", F.col("factor").alias(name), F.col("effect").alias("estd_lc_load_time_factor"))
+    return memory.MemoryInputs(
+        sga, components, free, settings.filter("value is not null"),
+        advice.select("bundle_id", "name", "block_size", F.col("factor").alias("size_factor"), F.col("effect").alias("estd_physical_read_factor")),
+        loads("shared_pool_size_factor", 3), loads("java_pool_size_factor", 6),
+        advice.select("bundle_id", F.col("factor").alias("pga_target_factor"), ((F.col("effect") - 1) * 100).alias("estd_pga_cache_hit_percentage")))
+
+
+@query
+def memory_component_list(spark, folder):
+    return as_double(memory.component_list(memory_inputs(spark, folder), ("bundle_id",)), "memory_size", 6)
+
+
+@query
+def memory_advice_status(spark, folder):
+    return memory.advice_status(memory_inputs(spark, folder), ("bundle_id",))
+
+
+@query
+def memory_components_report(spark, folder):
+    return as_double(memory.memory_components(memory_inputs(spark, folder), ("bundle_id",)), "memory_size", 6)
+
+
 @query
 def memory_forest(spark, folder):
     columns = ["memory_component", "parent_memory_component", "memory_size"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fleetscope.sources.bundles import CSV_OPTIONS
 from fleetscope.sources.schemas import schema_of
@@ -35,14 +35,33 @@ def write_sections(sections: Mapping[str, DataFrame], folder: str, fmt: str = "p
         write_section(df, folder, name, fmt)
 
 
-def read_section(spark: SparkSession, folder: str, section: str, fmt: str = "parquet") -> DataFrame:
-    """A stored section with its fixed schema; CSV types are never inferred."""
+#: Column of a tall result that names the section a row belongs to.
+SECTION = "section"
+
+
+def write_tall(df: DataFrame, folder: str, group: str, fmt: str = "parquet") -> None:
+    """Many sections of one schema from one job: rows carry their section's name and go to a folder per section and bundle.
+
+    The result is computed once, whatever the number of sections; ``read_section`` finds them below ``folder/group``.
+    """
+    parts = [SECTION, *(c for c in ("bundle_id",) if c in df.columns)]
+    writer = df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts)
+    if fmt == "csv":
+        writer.options(**CSV_WRITE).csv(f"{folder}/{group}")
+    else:
+        writer.format(fmt).save(f"{folder}/{group}")
+
+
+def _raw(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    text = ", ".join(f"`{f.name}` STRING" for f in schema.fields) + ", bundle_id STRING"
+    return spark.read.schema(text).option("header", "true").option("multiLine", "true").option("escape", '"').csv(folder)
+
+
+def read_section(spark: SparkSession, folder: str, section: str, fmt: str = "parquet", group: str | None = None) -> DataFrame:
+    """A stored section with its fixed schema; CSV types are never inferred. ``group`` names the tall result that holds it."""
+    target = f"{folder}/{section}" if group is None else f"{folder}/{group}/{SECTION}={section}"
     if fmt != "csv":
-        return spark.read.format(fmt).load(f"{folder}/{section}")
+        return spark.read.format(fmt).load(target)
     schema = schema_of(section)
-    text = ", ".join(f"`{f.name}` STRING" for f in schema.fields) + ", bundle_id STRING"
-    raw = (
-        spark.read.schema(text).option("header", "true").option("multiLine", "true").option("escape", '"')
-        .csv(f"{folder}/{section}")
-    )
+    raw = _raw(spark, schema, target)
     return raw.select("bundle_id", *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 END = 2
 _END_BYTES = np.array([END], "<u4").tobytes()
 #: Chunks a worker remembers before it starts anew, about 200 bytes each.
-_KNOWN_CHUNKS = 1 << 20
+_KNOWN_CHUNKS = 1 << 19
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
 _BUCKETS, _DIMS, _BITS = 256, 3, 16
+#: Documents drawn for each range to place its border.
+_SAMPLE = 64
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _WITH_IDS = _PIECES + ", ids array<int>"
 
@@ -63,17 +66,46 @@ def document_vector(data: bytes) -> np.ndarray:
     return vector / size if size else vector
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the Hilbert key of the document vector's projection on fixed random axes."""
-    axes = np.random.Generator(np.random.PCG64(11)).standard_normal((_DIMS, _BUCKETS))
-    top = (1 << _BITS) - 1
-    for batch in batches:
-        keys = []
-        for data in batch.column(1).cast(pa.binary()).to_pylist():
-            place = axes @ document_vector(data or b"")
-            spread = np.clip((place / 6 + 0.5) * top, 0, top).astype(np.int64)
-            keys.append(hilbert_index(spread.tolist(), _BITS))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["id", "text", "key"])
+Place = tuple[int, int, int]
+
+
+def _place(key: int, tie: int, doc: int | None) -> Place:
+    return key, tie, -1 << 63 if doc is None else doc
+
+
+def _keys(borders: list[Place]):
+    """Add the Hilbert key of the document vector's projection on fixed random axes, and the range between the borders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes = np.random.Generator(np.random.PCG64(11)).standard_normal((_DIMS, _BUCKETS))
+        top = (1 << _BITS) - 1
+        for batch in batches:
+            keys = []
+            for data in batch.column(1).cast(pa.binary()).to_pylist():
+                place = axes @ document_vector(data or b"")
+                spread = np.clip((place / 6 + 0.5) * top, 0, top).astype(np.int64)
+                keys.append(hilbert_index(spread.tolist(), _BITS))
+            ranges = [bisect_right(borders, _place(*p)) for p in zip(keys, batch.column(2).to_pylist(), batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(ranges, pa.int32())], ["id", "text", "tie", "key", "range"])
+
+    return run
+
+
+_KEYED = "id bigint, text string, tie bigint, key bigint, range int"
+
+
+def _borders(source: DataFrame, ranges: int) -> list[Place]:
+    """Borders of ranges of about the same number of characters. About ``_SAMPLE`` documents a range are drawn, whatever the table holds; the driver gets
+    their keys and lengths, no texts."""
+    rows = source.count()
+    drawn = source.sample(min(1.0, _SAMPLE * ranges / max(rows, 1)), 11).mapInArrow(_keys([]), _KEYED)
+    found = sorted((_place(r.key, r.tie, r.id), r.chars) for r in drawn.select("key", "tie", "id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).toLocalIterator())
+    total, ahead, borders = sum(chars + 1 for _, chars in found), 0, []
+    for place, chars in found:
+        if ahead * ranges >= (len(borders) + 1) * total and (not borders or borders[-1] < place):
+            borders.append(place)
+        ahead += chars + 1
+    return borders
 
 
 class _ChunkIds(dict):
@@ -85,9 +117,12 @@ class _ChunkIds(dict):
 
         super().__init__()
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True  # their names in a text are ordinary text
+        names = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names)), re.I) if names else None
 
     def of(self, text: str) -> np.ndarray:
+        if self.special is not None and self.special.search(text):  # the tokenizer cuts at these names before anything else
+            return np.array([*self.encoder.encode(text, add_special_tokens=False).ids, END], "<u4")
         # A-Z are lower-cased as the tokenizer does anyway, and a full stop or comma after an ASCII letter is a token of its own anyway: fewer chunks differ.
         chunks = _STOP.sub(rb" \1", text.encode().lower()).replace(b"\n", b" ").split(b" ")
         new = [c for c in set(chunks) if c not in self]
@@ -158,15 +193,18 @@ def pack(
     """Return the pieces of documents in sequences of at most ``length`` ids, with their ids if ``with_ids``.
 
     Each document's character trigrams are hashed into a count vector, which fixed random axes project to three dimensions; its cell's place on a Hilbert curve
-    is the sort key, so like documents lie near each other. Texts are range-sorted by the key - cuts lie between sampled keys,
-    ties go by id and text, so equal documents spread over ranges - and each range lays its documents end to end. Every sequence
-    is full except for the last ids of a range, which fill sequences of descending powers of two: nothing is padded. A task holds
-    one batch of texts and one open sequence. Ids are made after the sort, once.
-
-    A null or empty text is the end id alone. Documents of any length are cut freely over sequences. Repeated rows
-    are packed as often as they stand there. ``sequence_id`` is unique, its upper bits name the range.
+    is the sort key, so like documents lie near each other. Texts are range-sorted by the key - ranges hold about as many characters each, their
+    borders come from a bounded sample, ties go by a hash of the text and by id, so equal documents spread over ranges - and each range lays its
+    documents end to end. Every sequence is full except for the last ids of a range, which fill sequences of descending powers of two: nothing is
+    padded. A task holds one batch of texts and one open sequence. Keys are made once, and ids once after the sort.
+
+    Ids are the tokenizer's own with ``add_special_tokens=False``: the names of its special tokens in a text stand for these tokens. A null or empty
+    text is the end id alone. Documents of any length are cut freely over sequences; one document is in one range. Repeated rows
+    are packed as often as they stand there. ``sequence_id`` is unique, its upper bits name the range. ``docs`` is read three times (number, sample,
+    texts), so store it first if it is costly.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    keyed = source.mapInArrow(_keys, "id bigint, text string, key bigint").withColumn("tie", F.xxhash64("text"))
-    ranged = keyed.repartitionByRange("key", "tie", "id").sortWithinPartitions("key", "tie", "id").select("id", "text")
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = source.mapInArrow(_keys(_borders(source, ranges)), _KEYED)
+    ranged = keyed.repartitionById(ranges, F.col("range")).sortWithinPartitions("key", "tie", "id").select("id", "text")
     return ranged.mapInArrow(_packer(tokenizer, length, with_ids), _WITH_IDS if with_ids else _PIECES)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -95,6 +96,20 @@ def test_lines(docs):
     assert lines.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_common_lines_of_long_documents_take_linear_time(frame):
+    def seconds(n):
+        text = "\n".join(f"a line that stands in all documents, number {i}" for i in range(n))
+        rows = frame(DOC, [(i, text + f"\nown {i}", "a", 1, "x", 0) for i in range(4)] + [(None, text, "a", 1, "x", 0), (None, text + "\nx", "a", 1, "x", 0)]).cache()
+        rows.count()
+        start = time.perf_counter()
+        found = lines.drop_repeated_lines(rows).collect()
+        assert sorted(r.n_dropped for r in found) == [0, n, n, n, n, n] and [r.text for r in found if r.doc_id == 0] == ["own 0"]
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16000) < 2 * seconds(8000) + 3
+
+
 def test_mixing_meets_its_targets(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
@@ -114,7 +129,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     pieces = packing.pack(docs, tokenizer_path(), length=64).collect()
     by_sequence, got = {}, Counter()
     for p in pieces:
@@ -145,6 +159,19 @@ def test_chunked_ids_equal_the_tokenizer():
         assert ids.of(text)[:-1].tolist() == ids.encoder.encode(text, add_special_tokens=False).ids
 
 
+def test_special_names_are_the_contracts_tokens():
+    assert packing._chunk_ids(tokenizer_path()).of("a <|endoftext|> b").tolist() == [320, 49407, 321, 2]
+
+
+def test_ranges_hold_as_many_characters(frame):
+    texts = frame(DOC, [(i, f"text {i % 7} " * (400 if i % 10 == 0 else 4), "a", 1, "x", 0) for i in range(600)])
+    source = texts.selectExpr("doc_id AS id", "text", "xxhash64(text) AS tie")
+    borders = packing._borders(source, 6)
+    assert len(borders) == 5 and borders == sorted(set(borders))
+    chars = source.mapInArrow(packing._keys(borders), packing._KEYED).groupBy("range").agg({"text": "count"}).count()
+    assert chars == 6 and packing._borders(source.limit(0), 6) == []
+
+
 def test_hilbert_neighbours_touch():
     cells = sorted(((x, y, z) for x in range(4) for y in range(4) for z in range(4)), key=lambda p: packing.hilbert_index(list(p), 2))
     assert sorted(packing.hilbert_index(list(c), 2) for c in cells) == list(range(64))

@@ -62,7 +62,7 @@ class Features:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         counted = Counter((text or "").split())
-        if len(self.words) > 1 << 19:
+        if len(self.words) > 1 << 18:
             self.words.clear()
         n = len(counted)
         packed = np.fromiter(map(self.words.__getitem__, counted), np.int64, n)

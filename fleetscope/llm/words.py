@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words a worker remembers the hash of before it starts anew; bounds its memory.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _BASE = np.uint64(0xD6E8FEB86659FD93)

@@ -11,6 +11,7 @@ from fleetscope.functions.nulls import substr_nn
 from fleetscope.operators.classify import first_match, words_capitalised
 from fleetscope.operators.dims import with_value
 from fleetscope.operators.forest import forest
+from fleetscope.operators.subtree import subtree_sums
 
 MB = 1048576
 
@@ -218,6 +219,12 @@ def memory_forest(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return tree.join(sizes, [*keys, "id"])
 
 
+def memory_sums(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Components with the size of all below them, as a sunburst needs it; sizes in whole kilobytes."""
+    sized = report.withColumn("_kb", F.round(F.col("memory_size") * 1024).cast("bigint"))
+    return subtree_sums(sized, "memory_component", "parent_memory_component", "_kb", keys)
+
+
 def value_range(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Smallest and largest value of a column (the colour scale of a chart)."""
     return df.groupBy(*keys).agg(F.min(column).alias("min_value"), F.max(column).alias("max_value"))

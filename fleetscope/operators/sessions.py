@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetscope.functions.nulls import concat_nn
 from fleetscope.operators.dims import filter_equal, sorted_by, with_value
 from fleetscope.operators.forest import forest, with_children_only
+from fleetscope.operators.subtree import subtree_sums
 from fleetscope.operators.topk import top_overall, top_per_group
 
 INT_COLUMNS = ["inst_id", "sid", "blocking_instance", "blocking_session", "serial#"]
@@ -70,6 +71,17 @@ def blocking_forest(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return tree.join(info, [*keys, "id"])
 
 
+def blocked_by_root(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Sessions that hold up others without waiting themselves: (id, name, value, blocked, chain): how many wait behind them, and how long the
+    longest chain is. No paths are made, so a chain of any length is served."""
+    nodes = blocking_nodes(sessions, keys).withColumn("_one", F.lit(1).cast("bigint"))
+    tree = subtree_sums(nodes, "uid", "pid", "_one", keys)
+    chains = tree.groupBy(*keys, F.col("root").alias("id")).agg(F.max("depth").alias("chain"))
+    roots = tree.filter((F.col("depth") == 0) & (F.col("subtree_size") > 1)).select(*keys, "id", (F.col("subtree_size") - 1).alias("blocked"))
+    info = nodes.select(*keys, F.col("uid").alias("id"), F.col("info").alias("name"), F.col("sid").alias("value"))
+    return roots.join(chains, [*keys, "id"]).join(info, [*keys, "id"])
+
+
 def open_transactions(transactions: DataFrame, undo_segments: DataFrame, sessions: DataFrame, parameter: DataFrame,
                       keys: Sequence[str] = ("con_id",), link: Sequence[str] = (), kb: float = 1024,
                       ordered: bool = True) -> DataFrame:

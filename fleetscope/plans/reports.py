@@ -223,6 +223,11 @@ def _blocking(t, s):
     return sessions.blocking_forest(sessions.user_sessions(t["sessions"], s.session_status), s.bundle)
 
 
+@report("session-blocked-counts", "sessions")
+def _blocked(t, s):
+    return sessions.blocked_by_root(sessions.user_sessions(t["sessions"], s.session_status), s.bundle)
+
+
 @report("uncommit-tx", "transactions", "rollname", "sessions", "parameter")
 def _open_tx(t, s):
     return sessions.open_transactions(t["transactions"], t["rollname"], t["sessions"], t["parameter"], s.keys, s.bundle)

@@ -781,18 +781,26 @@ def session_top10_sql(spark, folder):
     return sessions.top_groups(table(spark, folder, "lineitem").select("l_partkey"), ["l_partkey"])
 
 
-@query
-def blocking_forest(spark, folder):
+def blocked_customers(spark, folder) -> DataFrame:
     """Customers as sessions: customer n is blocked by n div 10, the first ten block nobody's wait."""
-    rows = table(spark, folder, "customer").select(
+    return table(spark, folder, "customer").select(
         F.lit(1).alias("inst_id"), F.col("c_custkey").cast("int").alias("sid"), F.col("c_nationkey").alias("serial#"),
         F.when(F.col("c_custkey") >= 10, 1).otherwise(0).alias("blocking_instance"),
         F.when(F.col("c_custkey") >= 10, F.floor(F.col("c_custkey") / 10)).otherwise(0).cast("int").alias(
             "blocking_session"))
-    tree = sessions.blocking_forest(rows)
+
+
+@query
+def blocking_forest(spark, folder):
+    tree = sessions.blocking_forest(blocked_customers(spark, folder))
     return tree.withColumn("path", F.array_join("path", "/"))
 
 
+@query
+def blocked_by_root(spark, folder):
+    return sessions.blocked_by_root(blocked_customers(spark, folder))
+
+
 def memory_inputs(spark, folder) -> memory.MemoryInputs:
     """Nations as databases: sizes from their customers, advice rows from their suppliers."""
     people = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("k"), F.sum("c_custkey").alias("m"))
@@ -842,8 +850,7 @@ def memory_components_report(spark, folder):
     return as_double(memory.memory_components(memory_inputs(spark, folder), ("bundle_id",)), "memory_size", 6)
 
 
-@query
-def memory_forest(spark, folder):
+def region_components(spark, folder) -> DataFrame:
     columns = ["memory_component", "parent_memory_component", "memory_size"]
     regions = table(spark, folder, "region").select(
         F.concat(F.lit("R"), text("r_regionkey")), F.lit(None).cast("string"), F.lit(0).cast("bigint")).toDF(*columns)
@@ -852,10 +859,22 @@ def memory_forest(spark, folder):
         F.col("n_nationkey").cast("bigint")).toDF(*columns)
     suppliers = table(spark, folder, "supplier").select(
         F.concat(F.lit("S"), text("s_suppkey")), F.concat(F.lit("N"), text("s_nationkey")), cents("s_acctbal")).toDF(*columns)
-    tree = memory.memory_forest(regions.union(nations).union(suppliers))
+    return regions.union(nations).union(suppliers)
+
+
+@query
+def memory_forest(spark, folder):
+    tree = memory.memory_forest(region_components(spark, folder))
     return tree.withColumn("path", F.array_join("path", "/"))
 
 
+@query
+def memory_subtree_sums(spark, folder):
+    sums = memory.memory_sums(region_components(spark, folder))
+    within = (F.col("exit") - F.col("entry") + 1).alias("steps")
+    return sums.select("id", "parent", "root", "depth", "subtree_size", "subtree_sum", within)
+
+
 @query
 def uncommitted_tx(spark, folder):
     tx = table(spark, folder, "lineitem").select(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from fleetscope.functions.labels import lower_names
 from fleetscope.operators import config, counters, indexes, memory, samples, sessions, storage, topk
+from fleetscope.plans import views
 from fleetscope.sources import sinks
+from fleetscope.sources.schemas import schema_of
 
 Tables = Mapping[str, DataFrame]
 
@@ -71,6 +73,11 @@ def _sessions(t, s):
     return sessions.user_sessions(t["sessions"], s.session_status)
 
 
+@report("sessions-by-release", "sessions", "instance")
+def _release_sessions(t, s):
+    return views.sessions_by_release(sessions.user_sessions(t["sessions"], s.session_status), t["instance"], s.bundle)
+
+
 @report("patch-info", "registry_history")
 def _patches(t, s):
     return config.patch_history(t["registry_history"], keys=s.bundle)
@@ -339,10 +346,11 @@ def run_report(name: str, tables: Tables, scope: Scope) -> DataFrame:
 STATEMENT_GROUP = "topsql"
 
 
-def _statement_sections(t: Tables, s: Scope, names: Iterable[str]) -> DataFrame:
+def _statement_sections(t: Tables, s: Scope, names: Sequence[str]) -> DataFrame:
     measures = [topk.STATEMENT_MEASURES[n] for n in names]
     tall = topk.topk_statements_all(t["statements"], measures, s.keys)
-    return tall.withColumnRenamed("measure", sinks.SECTION)
+    # The order of the stored section's columns, which CSV is read by.
+    return tall.select(*s.bundle, F.col("measure").alias(sinks.SECTION), *[f.name for f in schema_of(names[0]).fields if f.name in tall.columns])
 
 
 def write_reports(tables: Tables, scope: Scope, folder: str, names: Iterable[str] | None = None, fmt: str = "parquet") -> dict[str, str | None]:

@@ -17,7 +17,7 @@ from fleetscope.operators import (
     classify, config, counter_state, counters, dims, forest, indexes, memory, reshape, samples, sessions, storage, topk,
 )
 from fleetscope.operators.topk import Measure
-from fleetscope.plans import reports
+from fleetscope.plans import reports, views
 from fleetscope.session import checkpointed, mounted_path, shared_folder
 from fleetscope.sources import bundles, history as stored, sinks
 from fleetscope.streaming import deltas, load as streams
@@ -790,6 +790,18 @@ def blocked_customers(spark, folder) -> DataFrame:
             "blocking_session"))
 
 
+@query
+def session_columns_by_release(spark, folder):
+    """Market segments as databases of releases 9 to 13; two instances each, the older one counts."""
+    customers = table(spark, folder, "customer")
+    rows = blocked_customers(spark, folder).join(
+        customers.select(F.col("c_custkey").cast("int").alias("sid"), F.col("c_mktsegment").alias("bundle_id"), F.col("c_name").alias("username"), F.lit("ACTIVE").alias("status"),
+                         F.concat(F.lit("m"), text("c_nationkey")).alias("machine"), F.lit("DEDICATED").alias("server"), (F.col("c_custkey") % 7).alias("p1")), "sid")
+    releases = customers.select(F.col("c_mktsegment").alias("bundle_id"), F.concat(
+        text(F.length("c_mktsegment") % 5 + 9 + F.col("c_nationkey") % 2), F.lit(".2.0")).alias("version")).distinct()
+    return views.sessions_by_release(rows, releases)
+
+
 @query
 def blocking_forest(spark, folder):
     tree = sessions.blocking_forest(blocked_customers(spark, folder))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetscope.functions.labels import project_existing, rename_columns
-from fleetscope.operators.dims import join_tenant, with_whole_database
+from fleetscope.operators.dims import join_tenant, major_version, with_whole_database
 from fleetscope.operators.storage import temp_usage_matrix, usage_in_mb
 
 # Columns shown per section; ``name`` is the tenant's name.
@@ -39,6 +39,7 @@ VIEWS = {
     "db-auto-tasks": ["name", "client_name", "task_name", "operation_name", "status", "window_group_name", "enabled",
                       "next_start_date"],
 }
+# Session columns of databases without tenants, by the first release that has them.
 SESSION_COLUMNS_WITHOUT_TENANT = {
     11: ["name", "inst_id", "sid", "serial#", "username", "status", "event", "p1text", "p1", "p2text", "p2", "wait_class",
          "sql_id", "row_wait_obj#", "row_wait_file#", "logon_time", "blocking_session_status", "blocking_instance",
@@ -64,6 +65,32 @@ def session_columns(release: int, tenants: bool = True) -> list[str]:
     return SESSION_COLUMNS_WITHOUT_TENANT[11 if release >= 11 else 0]
 
 
+#: First release with tenants.
+TENANT_RELEASE = 12
+
+
+def sessions_by_release(rows: DataFrame, instances: DataFrame, keys: Sequence[str] = ("bundle_id",)) -> DataFrame:
+    """Sessions of databases of mixed releases in one table: each bundle shows the columns its major version has, the others are NULL.
+
+    ``instances`` gives the version of each bundle's instances, of which the lowest counts. A bundle without a readable version shows what
+    every release has. The version arrives by an equi-join with one row per bundle.
+    """
+    release = F.col("_release")
+    versions = instances.groupBy(*keys).agg(F.min(major_version(F.col("version"))).alias("_release"))
+    gates = [(release >= TENANT_RELEASE, session_columns(TENANT_RELEASE)), (release >= 11, session_columns(11, False)), (F.lit(True), session_columns(0, False))]
+    shown = [c for c in dict.fromkeys(c for _, names in gates for c in names) if c in rows.columns]
+
+    def masked(column: str) -> Column:
+        cell, out = F.col(f"`{column}`"), None
+        for applies, names in gates:
+            value = cell if column in names else F.lit(None)
+            out = F.when(applies, value) if out is None else out.when(applies, value)
+        return out.cast(rows.schema[column].dataType).alias(column)
+
+    joined = rows.join(versions, list(keys), "left") if keys else rows.withColumn("_release", versions.scalar())
+    return joined.select(*keys, *map(masked, shown))
+
+
 def view(section: str, rows: DataFrame, containers: DataFrame | None = None, tenant: str | None = None,
          keys: Sequence[str] = ("con_id",), labelled: bool = False) -> DataFrame:
     """Rows of a section as shown. Without ``containers`` (no tenants) names are not joined."""

@@ -124,3 +124,37 @@ SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.e) AS edited_sha256,
 FROM edits e JOIN sketches a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN sketches b ON b.doc_id = e.doc_id AND b.kind = 1
   JOIN sketches c ON c.doc_id = e.doc_id AND c.kind = 2
 """
+
+SQL["op3_url_filter"] = r"""
+WITH RECURSIVE pages_of AS (
+  SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), rules(verdict, h, p) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), tags AS (
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv')
+), links AS (  -- absolute ones and those from the root
+  SELECT url, if(starts_with(raw, '/'), regexp_extract(url, '^[^:/?#]*://[^/?#]*') || raw, raw) AS link FROM (
+    SELECT url, CASE WHEN regexp_matches(tag, '(?i)\srel\s*=\s*"?[^">]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\shref\s*=\s*"?([^"\s>]*)', 1)
+      WHEN regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*"?refresh\b') THEN regexp_extract(tag, '(?i)url\s*=\s*([^"\s>]*)', 1) END AS raw FROM tags) WHERE raw <> ''
+), ends AS (
+  SELECT DISTINCT u, lower(regexp_extract(u, '://([^/?#]*)', 1)) AS host, coalesce(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    lower(regexp_extract(u, '://([^/?#]*)', 1)) || if(regexp_extract(u, '://[^/?#]*([^#]*)', 1) LIKE '/%', '', '/') || regexp_extract(u, '://[^/?#]*([^#]*)', 1) AS node
+  FROM (SELECT url AS u FROM links UNION SELECT link FROM links) WHERE regexp_extract(u, '://([^/?#]*)', 1) <> ''
+), edges AS (
+  SELECT a.node AS a, b.node AS b FROM links JOIN ends a ON a.u = url JOIN ends b ON b.u = link
+), reach AS (
+  SELECT node, node AS seen FROM ends
+  UNION
+  SELECT r.node, if(e.a = r.seen, e.b, e.a) FROM reach r JOIN edges e ON r.seen IN (e.a, e.b)
+), fits AS (
+  SELECT k, arg_max(verdict, length(h) * 100000 + length(p)) AS verdict, arg_max(h || p, length(h) * 100000 + length(p)) AS rule
+  FROM (SELECT DISTINCT host || '|' || path AS k, host, path FROM (SELECT host, path FROM pages_of UNION ALL SELECT host, path FROM ends))
+    JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k
+), carried AS (
+  SELECT r.node, min(f.verdict) AS verdict FROM reach r JOIN ends e ON e.node = r.seen JOIN fits f ON f.k = e.host || '|' || e.path GROUP BY r.node
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, c.verdict, 'allow') AS verdict
+FROM pages_of p LEFT JOIN fits f ON f.k = p.host || '|' || p.path LEFT JOIN (SELECT DISTINCT u, node FROM ends) e ON e.u = p.url LEFT JOIN carried c ON c.node = e.node
+"""

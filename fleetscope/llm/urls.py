@@ -54,15 +54,20 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Return (url, link): canonical links and meta-refresh redirects of pages, outside comments and scripts."""
+    """Return (url, link): canonical links and meta-refresh redirects of pages, outside comments and scripts. ``canonical`` may be one of several words
+    of ``rel``; relative links start from the page's base element, if it has one."""
     visible = F.regexp_replace(html := F.col(html_col), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    tags = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(
-        F.col(url_col).alias("url"), F.explode(F.regexp_extract_all(visible, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
-    canonical = F.when(F.lower(attribute(F.col("tag"), "rel")) == "canonical", attribute(F.col("tag"), "href"))
+    shown = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), visible.alias("visible"))
+    tags = shown.select("url", F.regexp_extract("visible", r"(?is)<base\b[^>]*>", 0).alias("base"),
+                        F.explode(F.regexp_extract_all("visible", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    names = F.split(F.lower(attribute(F.col("tag"), "rel")), r"[\x20\x09-\x0D]+")
+    canonical = F.when(F.array_contains(names, "canonical"), attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(attribute(F.col("tag"), "http-equiv")) == "refresh",
                      F.regexp_extract(attribute(F.col("tag"), "content"), r"(?i)url\s*=\s*(.*)$", 1))
-    found = checkpointed(tags.select("url", F.trim(F.coalesce(canonical, refresh)).alias("raw")).where("raw <> ''"))  # also keeps the expressions small
-    return checkpointed(found.select("url", absolute(F.col("raw"), F.col("url")).alias("link")).where("link is not null"))
+    # Stored in between, which also keeps the expressions small.
+    found = checkpointed(tags.select("url", attribute(F.col("base"), "href").alias("base"), F.trim(F.coalesce(canonical, refresh)).alias("raw")).where("raw <> ''"))
+    based = checkpointed(found.select("url", F.coalesce(absolute(F.col("base"), F.col("url")), "url").alias("base"), "raw"))
+    return checkpointed(based.select("url", absolute(F.col("raw"), F.col("base")).alias("link")).where("link is not null"))
 
 
 def _first_fit(rules: Sequence[tuple[str, str, str]], host: Column, path: Column, value) -> Column:
@@ -84,8 +89,9 @@ def judge(
     canonical links and redirects, read from the pages unless ``links`` gives them - carry decisions. An allowed
     url anywhere in the component allows its unruled aliases, else a blocked one blocks them, else ``default`` holds.
 
-    A null url or one without ``://`` has an empty host and path, fits no rule and gets ``default``. Null html has no links.
-    Repeated rows each get their verdict.
+    A null url or one without ``://`` has an empty host and path, fits no rule and gets ``default``. Null html has no links. Of rules of equal
+    length the later one counts. Repeated rows each get their verdict; a null page_id stays null. Very long texts are searched once a pattern in
+    their task.
     """
     links = page_links(pages, url_col, html_col) if links is None else links
     ends = checkpointed(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetscope.session import shared_folder
@@ -21,6 +24,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows: a task turns no more texts into Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back: it survives executors, is
     computed once and takes less disk than a checkpoint when rows hold texts."""

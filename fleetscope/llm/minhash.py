@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetscope.llm.frames import KEY, keep_rows, saved
+from fleetscope.llm.frames import KEY, keep_rows, saved, slices
 from fleetscope.llm.graph import components
 from fleetscope.llm.words import lower_words, mixed, shingle_set, word_hashes
 from fleetscope.session import checkpointed
@@ -44,7 +44,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, coordinate
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, offsets = _coordinates(coordinates)
         hashes = word_hashes()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, his, los, signatures, parities = [], [], [], [], []
             for data in batch.column(2).cast(pa.binary()).to_pylist():
                 shingles = shingle_set(hashes.of(lower_words(data or b"")), words)
@@ -67,7 +67,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in slices(batches):
             a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
             keep = []
             for x, y in zip(left, right):

@@ -1120,14 +1120,9 @@ def sections_with_bundles(spark, folder) -> dict[str, DataFrame]:
 
 @query
 def bundle_roundtrip(spark, folder):
-    """Sections to bundles and back. Without a mounted shared folder, sections take CSV folders instead."""
-    sections = sections_with_bundles(spark, folder)
+    """Sections to bundles and back; the shared folder must be a mounted path, as for every bundle that is written."""
     out = shared_folder(spark, "bundles")
-    mounted = mounted_path(out)
-    if mounted is None:
-        sinks.write_sections(sections, out, "csv")
-        return sinks.read_section(spark, out, "redo-log", "csv")
-    written = bundles.write_bundles(sections, mounted)
+    written = bundles.write_bundles(sections_with_bundles(spark, folder), mounted_path(out))
     written.write.mode("overwrite").parquet(f"{out}/written")
     return bundles.read_bundle_section(spark, out, "redo-log")
 

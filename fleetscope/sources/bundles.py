@@ -1,8 +1,8 @@
 """Bundles: one tar.gz of CSV sections per database.
 
-Reading opens each archive on an executor, member after member, and emits rows in Arrow batches;
-columns are typed on the JVM. A gzip stream can only be read from its start, so one archive is one
-task. ``ingest_bundles`` therefore reads every archive once and stores all sections as Parquet, and
+Reading lists the archives, opens each by its path on an executor and reads it as a stream, member after member; rows leave
+in Arrow batches and columns are typed on the JVM. An archive is never held, whatever its size. A gzip stream can only be read from its start,
+so one archive is one task. ``ingest_bundles`` therefore reads every archive once and stores all sections as Parquet, and
 ``write_bundles`` cuts a large bundle into several archives of the same ``bundle_id``.
 """
 
@@ -17,12 +17,14 @@ import tarfile
 import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from fleetscope.sources.schemas import SECTIONS, schema_of
+from fleetscope.session import mounted_path
+from fleetscope.sources.schemas import schema_of
 
 # The functions below travel to the executors with their code, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,10 +49,11 @@ def section_of_member(member: str) -> str | None:
     return None if "/" in name or not name else name.removesuffix(".csv")
 
 
-def _rows(content: bytes, wanted: frozenset[str] | None) -> Iterator[tuple[str, int, list[tuple[str, str]]]]:
+def _rows(stream: BinaryIO, wanted: frozenset[str] | None) -> Iterator[tuple[str, int, list[tuple[str, str]]]]:
     csv.field_size_limit(LONGEST_CELL)  # statement texts exceed the module's own limit of 131,072
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as archive:
+    with tarfile.open(fileobj=stream, mode="r|gz") as archive:
         for member in archive:
+            archive.members = []  # else the list of members grows with the archive
             section = section_of_member(member.name)
             if not member.isfile() or section is None or (wanted is not None and section not in wanted):
                 continue
@@ -62,18 +65,26 @@ def _rows(content: bytes, wanted: frozenset[str] | None) -> Iterator[tuple[str,
                     yield section, number, [(h, c) for h, c in zip(header, cells) if c != ""]
 
 
+def _open(place: str | bytes) -> BinaryIO:
+    """An archive by its path, or its content where only Spark's readers reach it."""
+    if isinstance(place, bytes):
+        return io.BytesIO(place)
+    return open("/" + place.removeprefix("file:").lstrip("/"), "rb")
+
+
 def _explode(wanted: frozenset[str] | None):
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bundle, content in zip(batch["bundle_id"].to_pylist(), batch["content"]):
+            for bundle, place in zip(batch["bundle_id"].to_pylist(), batch["place"]):
                 columns: list[list] = [[], [], [], []]
-                for section, number, cells in _rows(content.as_py(), wanted):
-                    for column, item in zip(columns, (bundle, section, number, cells)):
-                        column.append(item)
-                    if len(columns[0]) == BATCH_ROWS:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, type=f.type) for c, f in zip(columns, CELLS)], schema=CELLS)
-                        columns = [[], [], [], []]
+                with _open(place.as_py()) as stream:
+                    for section, number, cells in _rows(stream, wanted):
+                        for column, item in zip(columns, (bundle, section, number, cells)):
+                            column.append(item)
+                        if len(columns[0]) == BATCH_ROWS:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(c, type=f.type) for c, f in zip(columns, CELLS)], schema=CELLS)
+                            columns = [[], [], [], []]
                 if columns[0]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=f.type) for c, f in zip(columns, CELLS)], schema=CELLS)
@@ -82,10 +93,15 @@ def _explode(wanted: frozenset[str] | None):
 
 
 def bundle_cells(spark: SparkSession, path: str, sections: Iterable[str] | None = None) -> DataFrame:
-    """Rows (bundle_id, section, row_no, cells) of all bundles under ``path``; empty cells are absent."""
+    """Rows (bundle_id, section, row_no, cells) of all bundles under ``path``; empty cells are absent, other sections are skipped in the stream.
+
+    Spark lists the archives and deals them out by size. On a mounted path each task opens its archives itself and memory doesn't grow with
+    them. In another store only Spark's reader reaches them: there an archive passes through one cell, which ends at 2 GB.
+    """
     wanted = None if sections is None else frozenset(sections)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path)
-    named = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.part-[^/]*)?\.tar\.gz$", 1).alias("bundle_id"), "content")
+    place = F.col("content") if mounted_path(path) is None else F.col("path")
+    named = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.part-[^/]*)?\.tar\.gz$", 1).alias("bundle_id"), place.alias("place"))
     return named.mapInArrow(_explode(wanted), CELLS_DDL)
 
 
@@ -106,22 +122,36 @@ def _typed(cell: Column, kind: T.DataType) -> Column:
     return cell.try_cast(kind)
 
 
-def typed_section(cells: DataFrame, section: str, extra: bool = False) -> DataFrame:
+#: Column with the cells that don't parse, by column name.
+REJECTS = "rejects"
+
+
+def typed_section(cells: DataFrame, section: str, extra: bool = False, rejects: bool = False) -> DataFrame:
     """One section with its fixed schema plus ``bundle_id``; no rows give an empty typed table.
 
-    ``extra`` keeps columns outside the schema in a map.
+    ``extra`` keeps columns outside the schema in a map. A cell that is no value of its column's type is NULL; ``rejects`` keeps its text in a map by
+    column, empty where all cells parse, so that nothing is lost in silence (``rejected_cells`` lists them).
     """
     schema = schema_of(section)
     columns = [_typed(_cell(f.name), f.dataType).alias(f.name) for f in schema.fields]
     if extra:
         known = [n for f in schema.fields for n in (f.name, *ALIASES.get(f.name, ()))]
         columns.append(F.map_filter("cells", lambda k, _: ~k.isin(known)).alias("extra"))
+    if rejects:
+        typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+        odd = [F.when(_cell(f.name).isNotNull() & _typed(_cell(f.name), f.dataType).isNull(), F.struct(F.lit(f.name), _cell(f.name))) for f in typed]
+        columns.append((F.map_from_entries(F.array_compact(F.array(*odd))) if odd else F.create_map().cast("map<string,string>")).alias(REJECTS))
     return cells.filter(F.col("section") == section).select("bundle_id", *columns)
 
 
-def read_bundle_section(spark: SparkSession, path: str, section: str, extra: bool = False) -> DataFrame:
+def rejected_cells(section: DataFrame) -> DataFrame:
+    """(bundle_id, column, cell) of every cell of a section, read with ``rejects``, that does not parse."""
+    return section.select("bundle_id", F.explode(REJECTS).alias("column", "cell"))
+
+
+def read_bundle_section(spark: SparkSession, path: str, section: str, extra: bool = False, rejects: bool = False) -> DataFrame:
     """One section of all bundles under ``path``; other members are skipped inside the archive."""
-    return typed_section(bundle_cells(spark, path, [section]), section, extra)
+    return typed_section(bundle_cells(spark, path, [section]), section, extra, rejects)
 
 
 def ingest_bundles(spark: SparkSession, path: str, out: str) -> None:
@@ -130,9 +160,9 @@ def ingest_bundles(spark: SparkSession, path: str, out: str) -> None:
     cells.hint("rebalance", "section").write.mode("overwrite").partitionBy("section").parquet(out)
 
 
-def read_ingested(spark: SparkSession, out: str, section: str, extra: bool = False) -> DataFrame:
+def read_ingested(spark: SparkSession, out: str, section: str, extra: bool = False, rejects: bool = False) -> DataFrame:
     """One section of an ingested fleet; reads that section's folder only."""
-    return typed_section(spark.read.schema(CELLS_DDL).parquet(out), section, extra)
+    return typed_section(spark.read.schema(CELLS_DDL).parquet(out), section, extra, rejects)
 
 
 def csv_line(df: DataFrame, skip: Iterable[str] = ("bundle_id",)) -> Column:

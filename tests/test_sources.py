@@ -49,6 +49,42 @@ def test_long_cells_and_unknown_members(spark, tmp_path):
     assert [tuple(r) for r in stored.filter("section = 'new-part'").select("bundle_id", "cells").collect()] == [("db1", {"a": "1", "b": "2"})]
 
 
+def test_cells_that_do_not_parse_are_rejects(spark, tmp_path):
+    write_tar(tmp_path / "my db 100%.tar.gz", {"pdb-info.csv": "con_id,name,open_mode\n1,A,x\nseven,B,y\n,C,z\n"})
+    rows = bundles.read_bundle_section(spark, str(tmp_path), "pdb-info", rejects=True)
+    assert sorted((r.name, r.con_id, r.rejects) for r in rows.collect()) == [("A", 1, {}), ("B", None, {"con_id": "seven"}), ("C", None, {})]
+    assert [tuple(r) for r in bundles.rejected_cells(rows).collect()] == [("my db 100%", "con_id", "seven")]
+
+
+def test_an_archive_is_read_as_a_stream(spark, tmp_path):
+    import tracemalloc
+
+    lines, many = 400_000, 300
+    path = tmp_path / "big.tar.gz"
+    with tarfile.open(path, "w:gz", compresslevel=1) as archive:
+        for number in range(many):
+            info = tarfile.TarInfo(f"other-{number}.csv")
+            info.size = 4
+            archive.addfile(info, io.BytesIO(b"a\n1\n"))
+        data = b"con_id,name\n" + b"".join(b"%d,name of tenant %d\n" % (i, i) for i in range(lines))
+        info = tarfile.TarInfo("pdb-info.csv")
+        info.size = len(data)
+        archive.addfile(info, io.BytesIO(data))
+    size = path.stat().st_size
+    del data
+    tracemalloc.start()
+    try:
+        with open(path, "rb") as stream:
+            assert sum(1 for _ in bundles._rows(stream, frozenset(["pdb-info"]))) == lines
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1_500_000 < size
+    cells = bundles.bundle_cells(spark, str(tmp_path), ["pdb-info"])
+    assert cells.count() == lines
+    assert "content" not in cells._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
 def test_counter_sections_under_other_column_names(spark, tmp_path):
     for number, name in enumerate(["latch_name", "event_name", "state_name", "stat_name"]):
         write_tar(tmp_path / f"db{number}.tar.gz", {

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetscope.llm import exact, minhash, mixing, packing, quality
-from fleetscope.llm.frames import saved, table
+from fleetscope.llm.frames import removed, saved, table
 from fleetscope.llm.queries import tokenizer_path
+from fleetscope.session import shared_folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents table; each stage's rows are written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to the documents table; each stage's rows are written as Parquet in the shared folder and read again. Once a stage has
+    been written, the rows it was made from are removed; the last stage's stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = shared_folder(spark, f"pipeline-{name}")
+        docs = saved(stage(spark, docs, sf_dir), name, folder)
+        if before:
+            removed(spark, before)
+        before = folder
     return docs

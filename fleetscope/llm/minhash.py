@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetscope.llm.frames import KEY, keep_rows, saved, slices
+from fleetscope.llm.frames import KEY, keep_rows, removed, saved, slices
 from fleetscope.llm.graph import components
 from fleetscope.llm.words import lower_words, mixed, shingle_set, word_hashes
-from fleetscope.session import checkpointed
+from fleetscope.session import checkpointed, shared_folder
 
 _SKETCH = "id bigint, text_hash bigint, n_shingles bigint, set_hi bigint, set_lo bigint, signature array<int>, parity array<bigint>"
 
@@ -192,7 +192,8 @@ def near_duplicates(
     sample = nodes.join(lists.select("node"), "node", "left_semi").select("node", "sample")
     texts = docs.select(F.struct(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("own"), F.col(text_col).alias("text"))
     texts = texts.join(sample, F.col("own.id").eqNullSafe(F.col("sample.id")) & (F.col("own.text_hash") == F.col("sample.text_hash")))
-    texts = saved(texts.select("node", "text"), "near-texts")
+    kept_texts = shared_folder(docs.sparkSession, "near-texts")
+    texts = saved(texts.select("node", "text"), "near-texts", kept_texts)
 
     # A node whose values are the most common ones is the centre of its copies: most of them link with it.
     posted = lists.select("node", F.aggregate("posted", F.lit(0).cast("bigint"), lambda s, p: s + p["df"]).alias("weight"), F.explode("posted.key").alias("key"))
@@ -207,6 +208,7 @@ def near_duplicates(
     others = _cross_pairs(lists.join(nodes.select("node", "parity"), "node"), groups, matches, percent)
     more = _verified(_colliding(others, lists, matches, percent), texts, words, percent)
     found = components(links.unionByName(more))
+    removed(docs.sparkSession, kept_texts)  # both sets of links are stored
 
     member = nodes.join(found, "node", "left").select("set_hi", "set_lo", "n_shingles", "first_id", F.coalesce("root", "node").alias("root"))
     best = member.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -212,9 +212,9 @@ def memory_components(inputs: MemoryInputs, keys: Sequence[str] = ()) -> DataFra
     )
 
 
-def memory_forest(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Components as a forest by parent name, with their size as ``value``."""
-    tree = forest(report, "memory_component", "parent_memory_component", keys)
+def memory_forest(report: DataFrame, keys: Sequence[str] = (), with_path: bool = True) -> DataFrame:
+    """Components as a forest by parent name, with their size as ``value``; without paths if they aren't shown."""
+    tree = forest(report, "memory_component", "parent_memory_component", keys, with_path)
     sizes = report.select(*keys, F.col("memory_component").alias("id"), F.col("memory_size").alias("value"))
     return tree.join(sizes, [*keys, "id"])
 

@@ -63,10 +63,10 @@ def session_info_without_name() -> Column:
     return concat_nn(F.col("inst_id"), F.lit(","), F.col("sid"), F.lit(","), F.col("serial#"))
 
 
-def blocking_forest(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Who blocks whom: trees of sessions whose root blocks at least one other session."""
+def blocking_forest(sessions: DataFrame, keys: Sequence[str] = (), with_path: bool = True) -> DataFrame:
+    """Who blocks whom: trees of sessions whose root blocks at least one other session. Without paths, chains may be of any length."""
     nodes = blocking_nodes(sessions, keys)
-    tree = with_children_only(forest(nodes, "uid", "pid", keys), keys)
+    tree = with_children_only(forest(nodes, "uid", "pid", keys, with_path), keys)
     info = nodes.select(*keys, F.col("uid").alias("id"), F.col("info").alias("name"), F.col("sid").alias("value"))
     return tree.join(info, [*keys, "id"])
 

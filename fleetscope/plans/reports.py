@@ -22,7 +22,7 @@ class Scope:
 
     ``tenant`` is empty for a database without tenants; ``bundle`` is ``("bundle_id",)`` for a fleet.
     ``snap_keys`` joins counters with snapshots: name the instance where each has snapshot rows of its own.
-    ``session_status`` and ``job_state`` filter the session and job reports.
+    ``session_status`` and ``job_state`` filter the session and job reports. ``paths=False`` leaves the lists of ancestors out of forests.
     """
 
     as_of: str
@@ -34,6 +34,7 @@ class Scope:
     snap_keys: tuple[str, ...] | None = None
     session_status: str | None = None
     job_state: str | None = None
+    paths: bool = True
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -227,7 +228,7 @@ def _by_sql(t, s):
 
 @report("session-blocking", "sessions")
 def _blocking(t, s):
-    return sessions.blocking_forest(sessions.user_sessions(t["sessions"], s.session_status), s.bundle)
+    return sessions.blocking_forest(sessions.user_sessions(t["sessions"], s.session_status), s.bundle, s.paths)
 
 
 @report("session-blocked-counts", "sessions")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -62,7 +62,8 @@ def _row_blocks(rows: int, columns: int) -> Iterator[slice]:
 
 
 def _centroid_sums(batches: Iterator[pd.DataFrame], centroids: dict[tuple[str, int], np.ndarray]) -> Iterator[pd.DataFrame]:
-    """Sums of the vectors nearest to each centroid, one row a centroid and task at most."""
+    """Sums of the vectors nearest to each centroid, one row a centroid and task at most; a label that a task has no vector of adds no frame, since
+    Arrow can't turn an empty column into lists."""
     sums = {key: np.zeros((len(c), c.shape[1] + 1)) for key, c in centroids.items()}
     for batch in batches:
         for (label, dim), own in batch.groupby(["label", "dim"]):
@@ -73,7 +74,8 @@ def _centroid_sums(batches: Iterator[pd.DataFrame], centroids: dict[tuple[str, i
                 np.add.at(total, nearest, np.hstack([x[part], np.ones((len(nearest), 1))]))
     for (label, dim), total in sums.items():
         used = np.flatnonzero(total[:, -1])
-        yield pd.DataFrame({"label": label, "dim": dim, "cluster": used, "total": list(total[used])})
+        if len(used):
+            yield pd.DataFrame({"label": label, "dim": dim, "cluster": used, "total": list(total[used])})
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -139,10 +141,10 @@ def _assign(nodes: DataFrame, centroids: dict, radius: float) -> DataFrame:
         rows, "node bigint, label string, dim int, vector array<double>, copies bigint, cluster int, home boolean")
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
+def _build(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     names = rows["node"].to_numpy()
-    edges = flatgraph.build(_matrix(rows["vector"]))
-    return pd.DataFrame({"node": names, "near": [names[e[e >= 0]] for e in edges]})
+    edges = flatgraph.build(_matrix(rows["vector"]), least)
+    return pd.DataFrame({"node": names, "near": [names[e] for e in edges]})
 
 
 def _search(settings: Settings):
@@ -158,13 +160,20 @@ def _search(settings: Settings):
         asked, y = queries["q_node"].to_numpy(), _matrix(queries["q_vector"])
         own = np.searchsorted(names, asked).clip(max=len(names) - 1)
         own = np.where(names[own] == asked, own, -1)
-        who, nodes = flatgraph.search(x, edges, flatgraph.medoid(x), own, y, settings.threshold, settings.beam)
-        other = (names[nodes] != asked[who]) & (names[nodes] >= 0)  # planted vectors are nobody's partners
-        who, nodes = who[other], nodes[other]
-        links = np.bincount(who, weights=graph["copies"].to_numpy()[nodes], minlength=len(asked)).astype(np.int64)
-        mates = np.bincount(who, minlength=len(asked)).astype(np.int64)
-        some, real = mates > 0, asked[who] >= 0
-        a, b = flatgraph.forest(asked[who][real], names[nodes][real])
+        lists, start = flatgraph.Lists(edges), flatgraph.medoid(x)
+        links, mates = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        joined = []
+        for part in _row_blocks(len(asked), len(names)):  # so many queries that all their links with the block are a bounded number of pairs
+            some = asked[part]
+            who, nodes = flatgraph.search(x, lists, start, own[part], y[part], settings.threshold, settings.beam)
+            other = (names[nodes] != some[who]) & (names[nodes] >= 0)  # planted vectors are nobody's partners
+            who, nodes = who[other], nodes[other]
+            links[part] = np.bincount(who, weights=graph["copies"].to_numpy()[nodes], minlength=len(some)).astype(np.int64)
+            mates[part] = np.bincount(who, minlength=len(some))
+            real = some[who] >= 0
+            joined.append(flatgraph.forest(some[who][real], names[nodes][real]))
+        a, b = flatgraph.forest(*(np.concatenate(ends) for ends in zip(*joined)))
+        some = mates > 0
         return pd.concat([pd.DataFrame({"node": asked[some], "links": links[some], "mates": mates[some]}), pd.DataFrame({"a": a, "b": b})])
 
     return run
@@ -231,12 +240,12 @@ def audited_near_duplicates(
     2. Nodes go to overlapping cluster shards: the nearest centroid's and all whose cell is within reach, so a shard holds
        every possible partner of the vectors at home in it. A shard above ``block`` rows is cut into blocks by hash; a dense
        ball, which no centroid divides, is thus bounded too.
-    3. Each block builds a pruned neighbour graph; a node's lists from all its blocks are united.
-    4. The vectors at home search every block of their shard, greedily from its medoid, then expanding the range; similarities are
-       computed in double precision, so no link is false. A task returns counts and a spanning forest of its links, never pairs.
+    3. Each block builds a pruned neighbour graph; a node's lists from all its blocks are united. Among the nodes in range of one another only such are
+       pruned as a kept one leads to, so a node's range search in its own block finds all its links there.
+    4. The vectors at home search every block of their shard, their own from their place in it, others greedily from the medoid, then expanding the range; an
+       exact check of the other blocks follows; similarities are computed in double precision, so no link is false. A task returns counts and a spanning forest of its links, never pairs.
     5. Recall is measured in every run: near copies of drawn nodes are planted among the vectors, left out of all results, and searched like any vector, and so
-       are drawn nodes; both are compared with all rows. If the mean share of linked nodes found is less than ``recall``, for dense or for
-       sparse queries, the search is repeated with a wider beam; after three times it raises.
+       are drawn nodes; both are compared with all rows. A mean share of linked nodes found below ``recall``, for dense or for sparse queries, stops the job.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing. Vectors of
     different length don't compare. Rows that repeat an id count as vectors of their own; they share a component if their
@@ -260,7 +269,7 @@ def audited_near_duplicates(
                          F.ceil(F.greatest("homes", F.lit(1)) / settings.block).cast("int").alias("chunks"))
     placed = placed.join(sizes, _CELL)
     members = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    lists = members.groupBy(*_CELL, "block").applyInPandas(_build, "node bigint, near array<bigint>")
+    lists = members.groupBy(*_CELL, "block").applyInPandas(lambda rows: _build(rows, settings.threshold), "node bigint, near array<bigint>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = checkpointed(members.join(united, "node").select(*_CELL, "block", "chunks", "node", "vector", "copies", "near"))
     graph = graph.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -271,18 +280,13 @@ def audited_near_duplicates(
     drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(settings.audit).select("node", "label", "dim", "vector").toPandas()
     true = _count_mates(nodes, pd.concat([drawn, planted]), settings)
     queries = nodes.sparkSession.createDataFrame([(int(n),) for n in true["node"]], "node bigint")
-    for attempt in range(3):
-        how = replace(settings, beam=settings.beam * 2**attempt)
-        hits = graph.select(*key, "node", "vector", "copies", "near").groupBy(*key).cogroup(
-            asked.groupBy(*[f"q_{c}" for c in key])).applyInPandas(
-            _search(how), "node bigint, links bigint, mates bigint, a bigint, b bigint")
-        hits = checkpointed(hits)
-        links = checkpointed(hits.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("mates").alias("mates")))
-        audit = _audit(true, links.join(queries, "node").select("node", "mates").toPandas(), settings)
-        if audit.recall is None or audit.recall >= settings.recall:
-            break
-    else:
-        raise RuntimeError("the graph search finds fewer links than asked for; use a wider beam")
+    hits = checkpointed(graph.select(*key, "node", "vector", "copies", "near").groupBy(*key).cogroup(
+        asked.groupBy(*[f"q_{c}" for c in key])).applyInPandas(
+        _search(settings), "node bigint, links bigint, mates bigint, a bigint, b bigint"))
+    links = checkpointed(hits.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("mates").alias("mates")))
+    audit = _audit(true, links.join(queries, "node").select("node", "mates").toPandas(), settings)
+    if audit.recall is not None and audit.recall < settings.recall:
+        raise RuntimeError("the graph search finds fewer links than asked for")
 
     roots = components(hits.where("a is not null").select("a", "b"))
     member = nodes.join(roots, "node", "left").select("node", "label", "vector", "copies", "first_id", F.coalesce("root", "node").alias("root"))

@@ -87,6 +87,49 @@ def test_centroids_are_averages_of_their_cells(frame):
     assert embeddings._fit_centroids(nodes, embeddings.Settings()) == {}
 
 
+def test_a_task_without_vectors_of_a_large_label(frame):
+    # Rows come label by label, so no task has vectors of all labels with several centroids; a task may have no rows at all.
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((40, 16))
+    rows = [(i, (base[i % 40] + rng.standard_normal(16) * (0.02 if i % 3 else 0.3)).tolist(), i // 150) for i in range(450)]
+    vectors = frame("vec_id bigint, embedding array<double>, label int", rows)
+    found = embeddings.near_duplicates(vectors, settings=embeddings.Settings(shard=60, block=50)).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == plain(rows)
+
+    centroids = {(label, 16): base[:3] for label in ("0", "1", "2")}
+    nodes = frame("label string, dim int, vector array<double>", [(str(l), 16, v) for _, v, l in rows if l < 2]).repartition(8, "label")
+    sums = nodes.mapInPandas(lambda b: embeddings._centroid_sums(b, centroids), "label string, dim int, cluster int, total array<double>")
+    counts = sums.selectExpr("label", "total[16] AS n").groupBy("label").sum("n").collect()
+    assert {tuple(r) for r in counts} == {("0", 150.0), ("1", 150.0)}
+
+
+def loose_ball(rows, seed=4):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal(64) + rng.standard_normal((rows, 64)) * 0.15
+
+
+@pytest.mark.parametrize("block", [8192, 100])
+def test_no_link_of_a_loose_ball_is_lost(frame, block):
+    # Many links, no vector in the middle, and vectors that are on nobody's list of nearest ones; scaled copies lie at one place.
+    ball = loose_ball(700)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.vstack([ball, ball[:30] * 3, ball[:30] * 0.7]))]
+    vectors = frame("vec_id bigint, embedding array<double>, label int", rows)
+    found = embeddings.near_duplicates(vectors, settings=embeddings.Settings(block=block)).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == plain(rows)
+
+
+def test_range_search_of_a_block():
+    x = flatgraph.unit(np.vstack([loose_ball(900), np.random.default_rng(6).standard_normal((300, 64))]))
+    lists, start = flatgraph.Lists(flatgraph.build(x, 0.98)), flatgraph.medoid(x)
+    true = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.98) if a != b}
+    at = np.arange(len(x))
+    pairs = {(int(a), int(b)) for a, b in zip(*flatgraph.search(x, lists, start, at, x, 0.98)) if a != b}
+    assert pairs == true
+    y = flatgraph.unit(loose_ball(960)[900:])  # no nodes of the block
+    true = {(int(a), int(b)) for a, b in np.argwhere(y @ x.T >= 0.98)}
+    assert {(int(a), int(b)) for a, b in zip(*flatgraph.search(x, lists, start, np.full(len(y), -1), y, 0.98, 1))} == true and true
+
+
 def test_no_rows(frame):
     assert embeddings.near_duplicates(frame("vec_id bigint, embedding array<double>, label int", [])).count() == 0
 

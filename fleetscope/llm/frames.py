@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetscope.session import shared_folder
+from fleetscope.session import removed, saved  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space, the class [\x20\x09-\x0D].
@@ -31,21 +31,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def saved(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it back: it survives executors, is
-    computed once and takes less disk than a checkpoint when rows hold texts. A caller that removes the rows later names the folder."""
-    spark = df.sparkSession
-    folder = folder or shared_folder(spark, purpose)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def removed(spark: SparkSession, folder: str) -> None:
-    """Delete a folder below the shared one, through Spark's file systems, once nothing reads it any more."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def row_key(id_col: str, text_col: str) -> Column:
     """A row's id with a hash of its text: tells rows apart that repeat an id with another text."""
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))

@@ -78,7 +78,7 @@ def blocked_by_root(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     tree = subtree_sums(nodes, "uid", "pid", "_one", keys)
     chains = tree.groupBy(*keys, F.col("root").alias("id")).agg(F.max("depth").alias("chain"))
     roots = tree.filter((F.col("depth") == 0) & (F.col("subtree_size") > 1)).select(*keys, "id", (F.col("subtree_size") - 1).alias("blocked"))
-    info = nodes.select(*keys, F.col("uid").alias("id"), F.col("info").alias("name"), F.col("sid").alias("value"))
+    info = nodes.filter("pid is null").select(*keys, F.col("uid").alias("id"), F.col("info").alias("name"), F.col("sid").alias("value"))
     return roots.join(chains, [*keys, "id"]).join(info, [*keys, "id"])
 
 

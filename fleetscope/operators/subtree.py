@@ -1,51 +1,76 @@
-"""Intervals and sums of subtrees, without paths: the tour around each tree as a linked list, ranked by pointer doubling."""
+"""Intervals and sums of subtrees, without paths: pointer doubling towards the root, for the sums first and then for the intervals."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DataType, DecimalType, IntegralType, LongType
 
 from fleetscope.operators.forest import forest
-from fleetscope.operators.ordered import next_value
-from fleetscope.session import checkpointed
+from fleetscope.session import removed, saved, shared_folder
 
 #: Slices into which the children of one node are cut, so that a node with very many of them is no single group.
 CHILD_SLICES = 256
 
 
-def _tour(tree: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows (at, then, nodes, total): a step down into each node and a step up out of it, each with the step that follows it, NULL after a root's
-    last. Steps down count their node."""
-    step = lambda node, down: F.struct(*[F.col(k) for k in keys], F.col(node).alias("id"), F.lit(down).alias("down"))
-    rows = tree.withColumns({"_slice": F.pmod(F.xxhash64("id"), F.lit(CHILD_SLICES)), "_id": F.col("id")})
-    below = rows.filter("parent is not null")
-    beside = next_value(below, [*keys, "parent"], "_id", "id", "beside", F.col("_slice"))
-    heads = below.groupBy(*keys, "parent").agg(F.min(F.struct("_slice", "_id"))["_id"].alias("first")).withColumnRenamed("parent", "id")
-    down = rows.join(heads, [*keys, "id"], "left").select(
-        step("id", True).alias("at"), F.when(F.col("first").isNotNull(), step("first", True)).otherwise(step("id", False)).alias("then"),
-        F.lit(1).cast("bigint").alias("nodes"), F.col(value).alias("total"))
-    nothing = (F.lit(0).cast("bigint").alias("nodes"), F.lit(0).cast(tree.schema[value].dataType).alias("total"))
-    up = beside.select(step("id", False).alias("at"), F.when(F.col("beside").isNotNull(), step("beside", True)).otherwise(step("parent", False)).alias("then"), *nothing)
-    ends = rows.filter("parent is null").select(step("id", False).alias("at"), F.lit(None).cast(up.schema["then"].dataType).alias("then"), *nothing)
-    return down.unionByName(up).unionByName(ends)
-
-
-def _ranked(tour: DataFrame) -> DataFrame:
-    """(at, nodes, total): what each step and all that follow it count. Every round doubles the reach, so a tour of n steps takes log2(n) rounds; a
-    step has one step before it, in every round, so no join key is hot. Steps that reach the end leave the working set."""
-    done, rest = None, checkpointed(tour.withColumn("follow", F.lit(1).cast("bigint")))
-    while True:
-        finished = rest.filter("then is null")
-        done = finished if done is None else done.unionByName(finished)
-        waiting = rest.filter("then is not null")
-        if waiting.isEmpty():
-            return done
-        ahead = done.unionByName(waiting).select(
-            F.col("at").alias("then"), F.col("then").alias("_then"), F.col("nodes").alias("_nodes"), F.col("total").alias("_total"), F.col("follow").alias("_follow"))
-        rest = checkpointed(waiting.join(ahead, "then").select(
-            "at", F.col("_then").alias("then"), (F.col("nodes") + F.col("_nodes")).alias("nodes"), (F.col("total") + F.col("_total")).alias("total"),
-            (F.col("follow") + F.col("_follow")).alias("follow")))
+def _sum_type(kind: DataType) -> DataType:
+    """Type of the running sums. Decimals keep their scale; the sum of two has one digit more, which still fits."""
+    return DecimalType(37, kind.scale) if isinstance(kind, DecimalType) else LongType() if isinstance(kind, IntegralType) else kind
+
+
+def _sums(tree: DataFrame, keys: Sequence[str], deepest: int, folder: str) -> DataFrame:
+    """(keys, id, nodes, total): what a node and all below it count. In a round of reach r each row of depth r or more holds the sums of what is less
+    than r steps below it and hands them to its ancestor r steps above. Sums of one receiver combine before they shuffle, so a
+    node with very many children is no hot key."""
+    kind = tree.schema["total"].dataType
+    summed = (F.sum("nodes").alias("nodes"), F.sum("total").cast(kind).alias("total"))
+    parts, reach = [tree.select(*keys, "id", "nodes", "total")], 1
+    rest = tree.filter("depth >= 1").select(*keys, "id", F.col("parent").alias("up"), "depth", "nodes", "total")
+    while reach <= deepest:
+        handed = saved(rest.groupBy(*keys, "up").agg(*summed).withColumnRenamed("up", "id"), "subtree", f"{folder}/handed-{reach}")
+        parts.append(handed)
+        beyond = rest.select(*keys, F.col("id").alias("up"), F.col("up").alias("_up"))
+        got = handed.select(*keys, "id", F.col("nodes").alias("_nodes"), F.col("total").alias("_total"))
+        rest = rest.filter(F.col("depth") >= 2 * reach).hint("merge").join(beyond, [*keys, "up"]).hint("merge").join(got, [*keys, "id"], "left").select(
+            *keys, "id", F.col("_up").alias("up"), "depth", (F.col("nodes") + F.coalesce("_nodes", F.lit(0))).alias("nodes"),
+            (F.col("total") + F.coalesce("_total", F.lit(0).cast(kind))).cast(kind).alias("total"))
+        reach *= 2
+        if reach <= deepest:
+            rest = saved(rest, "subtree", f"{folder}/sums-{reach}")
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "id").agg(*summed)
+
+
+def _steps_from_parent(sized: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows below a root with ``entry``: the steps from the parent's entry to their own, past the children before them and all below those."""
+    family = [*keys, "parent"]
+    rows = sized.filter("depth >= 1").select(*family, "id", "depth", "nodes", F.pmod(F.xxhash64("id"), F.lit(CHILD_SLICES)).alias("_slice"))
+    earlier = W.partitionBy(*family).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(*family, "_slice").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy(*family, "_slice").agg(F.sum("nodes").alias("_whole")).select(*family, "_slice", F.sum("_whole").over(earlier).alias("_carried"))
+    before = F.coalesce("_own", F.lit(0)) + F.coalesce("_carried", F.lit(0))
+    return rows.withColumn("_own", F.sum("nodes").over(within)).hint("merge").join(carried, [*family, "_slice"]).select(
+        *family, "id", "depth", (before * 2 + 1).alias("entry"))
+
+
+def _entries(sized: DataFrame, keys: Sequence[str], deepest: int, folder: str) -> DataFrame:
+    """(keys, id, entry): a node's place in the tour of its tree. In a round of reach r the rows of depth r or more hold the steps from their ancestor r
+    steps above, and those above them are done."""
+    done = sized.filter("depth = 0").select(*keys, "id", F.lit(1).cast("bigint").alias("entry"))
+    rest, reach = _steps_from_parent(sized, keys).withColumnRenamed("parent", "up"), 1
+    if deepest:
+        rest = saved(rest, "subtree", f"{folder}/steps")
+    while reach <= deepest:
+        ahead = done.select(*keys, F.col("id").alias("up"), F.lit(None).cast(rest.schema["up"].dataType).alias("_up"), F.col("entry").alias("_entry")).unionByName(
+            rest.select(*keys, F.col("id").alias("up"), F.col("up").alias("_up"), F.col("entry").alias("_entry")))
+        step = rest.hint("merge").join(ahead, [*keys, "up"]).select(
+            *keys, F.col("_up").alias("up"), "id", "depth", (F.col("entry") + F.col("_entry")).alias("entry"))
+        step = saved(step, "subtree", f"{folder}/entries-{reach}")
+        reach *= 2
+        done = done.unionByName(step.filter(F.col("depth") < reach).select(done.columns))
+        rest = step.filter(F.col("depth") >= reach)
+    return done
 
 
 def subtree_sums(nodes: DataFrame, id_column: str, parent_column: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -53,19 +78,20 @@ def subtree_sums(nodes: DataFrame, id_column: str, parent_column: str, value: st
 
     ``entry`` and ``exit`` number a tree's steps from 1: a node lies below another of the same root exactly if its interval lies within the
     other's, so questions about subtrees are range conditions. ``subtree_sum`` adds ``value`` (whole numbers or decimals, NULL counts as 0) over
-    the node and all below it. Work is log2(nodes) rounds whatever the depth; no row holds a path. Orphans, cycles and what hangs
-    below them have no row, as in ``forest``.
+    the node and all below it. Work is log2(depth) rounds; no row holds a path. Orphans, cycles and what hangs
+    below them have no row, as in ``forest``. The rows are stored when the function returns; what the rounds wrote is gone.
     """
-    group = list(keys)
-    tree = forest(nodes, id_column, parent_column, group, with_path=False)
-    values = nodes.select(*group, F.col(id_column).alias("id"), F.coalesce(F.col(value), F.lit(0).cast(nodes.schema[value].dataType)).alias("_value"))
-    tree = checkpointed(tree.join(values, [*group, "id"]))
-    ranked = checkpointed(_ranked(_tour(tree, group, "_value")))
-    cells = [*[F.col(f"at.{k}").alias(k) for k in group], F.col("at.id").alias("id"), "nodes", "total", "follow"]
-    down = ranked.filter("at.down").select(cells)
-    up = ranked.filter("not at.down").select(*cells[:-3], F.col("nodes").alias("_nodes"), F.col("total").alias("_total"), F.col("follow").alias("_follow"))
-    both = tree.drop("_value").join(down, [*group, "id"]).join(up, [*group, "id"])
-    length = both.filter("depth = 0").select(*group, F.col("id").alias("root"), F.col("follow").alias("_all"))
-    return both.join(length, [*group, "root"]).select(
-        *group, "id", "parent", "root", "depth", (F.col("_all") - F.col("follow") + 1).alias("entry"), (F.col("_all") - F.col("_follow") + 1).alias("exit"),
-        (F.col("nodes") - F.col("_nodes")).alias("subtree_size"), (F.col("total") - F.col("_total")).alias("subtree_sum"))
+    group, spark, kind = list(keys), nodes.sparkSession, nodes.schema[value].dataType
+    folder = shared_folder(spark, "subtree")
+    tree = forest(nodes, id_column, parent_column, group, with_path=False, folder=f"{folder}/forest")
+    values = nodes.select(*group, F.col(id_column).alias("id"), F.coalesce(F.col(value), F.lit(0).cast(kind)).cast(_sum_type(kind)).alias("total"))
+    tree = saved(tree.hint("merge").join(values, [*group, "id"]).withColumn("nodes", F.lit(1).cast("bigint")), "subtree", f"{folder}/tree")
+    deepest = tree.agg(F.max("depth")).first()[0] or 0
+    sized = tree.drop("nodes", "total").hint("merge").join(_sums(tree, group, deepest, folder), [*group, "id"])
+    sized = saved(sized, "subtree", f"{folder}/sized")
+    total = F.col("total").cast(kind) if isinstance(kind, IntegralType) else F.col("total")
+    result = saved(sized.hint("merge").join(_entries(sized, group, deepest, folder), [*group, "id"]).select(
+        *group, "id", "parent", "root", "depth", "entry", (F.col("entry") + F.col("nodes") * 2 - 1).alias("exit"),
+        F.col("nodes").alias("subtree_size"), total.alias("subtree_sum")), "subtree")
+    removed(spark, folder)
+    return result

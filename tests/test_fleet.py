@@ -2,6 +2,7 @@
 
 import random
 import re
+from decimal import Decimal
 
 import pytest
 
@@ -113,6 +114,21 @@ def test_a_hub_with_very_many_children(spark):
     assert found.filter("depth = 1").select("entry").distinct().count() == 19999
 
 
+def test_sums_keep_their_types_and_scale(frame):
+    rows = [(i, i // 3 if i else None, i) for i in range(30)]
+    tree = frame("id int, parent int, whole int", rows).selectExpr("*", "cast(whole / 8 as decimal(20, 10)) as exact")
+    found = {r.id: r.subtree_sum for r in subtree.subtree_sums(tree, "id", "parent", "exact").collect()}
+    whole = subtree.subtree_sums(tree, "id", "parent", "whole")
+    assert dict(whole.dtypes)["subtree_sum"] == "int"
+    assert found == {r.id: Decimal(r.subtree_sum) / 8 for r in whole.collect()}
+    assert found[0] == Decimal(435) / 8
+
+
+def test_no_node_is_no_row(frame):
+    assert subtree.subtree_sums(frame(NODE, [("a", "x", "y", 1), ("a", "y", "x", 1)]), "id", "parent", "value", ["k"]).count() == 0
+    assert subtree.subtree_sums(frame(NODE, []), "id", "parent", "value", ["k"]).count() == 0
+
+
 def test_each_bundle_shows_its_releases_columns(frame):
     rows = frame("bundle_id string, name string, inst_id int, sid int, machine string, final_blocking_session int, extra int",
                  [(b, "n", 1, 2, "m", 3, 9) for b in ("new", "mid", "old", "odd", "none")])

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from fleetscope.operators.forest import forest, with_children_only
+from fleetscope.operators.subtree import subtree_sums
 from fleetscope.session import ensure_checkpoint_dir, mounted_path
 
 
@@ -33,6 +34,24 @@ def test_deep_chain(frame):
     assert by_id(tree, "root", "depth") == {i: (0, i) for i in range(300)}
 
 
+def estimate_digits(df):
+    """Digits of the planner's estimate of the rows' bytes."""
+    return len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_estimates_do_not_grow_with_the_rounds(frame):
+    nodes = frame("id INT, parent INT", [(i, i - 1 if i else None) for i in range(70)])
+    assert estimate_digits(forest(nodes, "id", "parent", with_path=False)) < 20
+    sums = subtree_sums(nodes.selectExpr("id", "parent", "1L AS one"), "id", "parent", "one")
+    assert estimate_digits(sums) < 20
+    assert by_id(sums, "depth", "entry", "exit", "subtree_sum") == {i: (i, i + 1, 140 - i, 70 - i) for i in range(70)}
+
+
+def test_parents_without_a_type(frame):
+    tree = forest(frame("id STRING", [("r",), ("s",)]).selectExpr("id", "NULL AS parent"), "id", "parent")
+    assert by_id(tree, "parent", "root", "depth") == {"r": (None, "r", 0), "s": (None, "s", 0)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_forest_against_walking(frame, seed):
     rng = random.Random(seed)

@@ -72,6 +72,49 @@ def test_lists_with_gaps_are_never_redundant(frame):
     assert {r["member"]: r.class_size for r in indexes.redundant_classes(columns).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_columns_are_read_once(spark, frame):
+    lists = {(1, i): (1, 2, 3)[:1 + i % 3] for i in range(12)}
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    columns = frame(LIST, list_rows(lists)).mapInArrow(counted, LIST)
+    for find, rows in ((indexes.redundant_prefixes, 84), (indexes.redundant_classes, 12)):
+        before = read.value
+        assert find(columns).count() == rows
+        assert read.value - before == len(list_rows(lists))
+
+
+@pytest.mark.parametrize("width", [2, 4096])
+def test_lists_with_one_hash_are_told_apart(frame, monkeypatch, width):
+    monkeypatch.setattr(indexes, "LIST_SLICE", width)
+    monkeypatch.setattr(indexes, "_key", lambda *columns: testbed.F.pmod(testbed.F.hash(*columns), testbed.F.lit(2)).cast("bigint"))
+    rng = random.Random(width)
+    lists = {(i % 2, i): tuple(rng.choice((1, 2)) for _ in range(rng.randint(1, 4))) for i in range(30)}
+    columns = frame(LIST, list_rows(lists))
+    want = sorted((i, j) for (s, i), a in lists.items() for (t, j), b in lists.items() if s == t and i != j and b[:len(a)] == a)
+    assert sorted((r.redundant, r.sufficient) for r in indexes.redundant_prefixes(columns).collect()) == want
+    for r in indexes.redundant_classes(columns).collect():
+        same = sorted(j for (t, j), b in lists.items() if t == r["bo#"] and b == lists[t, r.member])
+        assert (r.class_id, r.class_size) == (same[0], len(same))
+        assert r.class_size - 1 + r.covering_lists == len([1 for i, _ in want if i == r.member])
+
+
+@pytest.mark.parametrize("width", [1, 2, 4096])
+def test_lists_with_repeats_and_nulls(frame, monkeypatch, width):
+    monkeypatch.setattr(indexes, "LIST_SLICE", width)
+    lists = {1: [(1, 7)], 2: [(1, 7), (2, 8)], 3: [(1, 7), (1, 7), (2, 8), (2, 8)], 4: [(1, None)], 5: [(1, None)], 6: [(1, 7), (2, 8), (2, 9), (3, 7)],
+             7: [(0, 7), (1, 7)], 8: [(None, 7), (1, 7), (2, 8)], 9: [(1, 7), (2, 8), (4, 9)], 10: [(1, 7), (2, None), (3, 9)], 11: [(1, 7), (2, 8), (3, 9)]}
+    columns = frame(LIST, [(1, name, at, col) for name, entries in lists.items() for at, col in entries] + [(None, 12, 1, 7), (None, 13, 1, 7)])
+    pairs = sorted((r.redundant, r.sufficient) for r in indexes.redundant_prefixes(columns).collect())
+    assert pairs == [(1, 2), (1, 6), (1, 9), (1, 10), (1, 11), (2, 9), (2, 11)]
+    classes = indexes.redundant_classes(columns).collect()
+    assert sorted((r.member, r.class_size, r.covering_lists) for r in classes) == [(i, 1, {1: 5, 2: 2}.get(i, 0)) for i in range(1, 12)]
+
+
 NODE = "k string, id string, parent string, value bigint"
 
 

statement_sections_fanout: rows gather by statement before they are summed

Symptom: tasks that scan the statements spill: each keeps 48 sums (three for each of 11 quotients) for every statement it meets.
Evidence: 12 million line items of 60 times sf0.1 in mixed order (0.27 GB, local, 6 cores, 450 MB of execution memory a task, 27 shuffle partitions, event log): 10.7 of 12 million rows are left after the scan's own sums, 509 MB of rows spilled as 148 MB on disk, up to 503 MB in a task.
Fix: rows travel by a hash of their statement (rebalance) before they are summed; adaptive execution splits a part that one large statement fills, and the second stage adds up as before. Only the columns the measures use travel.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 720 -> 434 s, shuffle 5.50 -> 4.33 GB, spill 3.45 -> 0.00 GB, read 0.58 -> 0.58 GB, longest task 48 -> 12 s, most memory of a task 885 -> 151 MB; at 6 GB of input CPU 3388 -> 1938 s, shuffle 38.94 -> 29.75 GB, spill 27.50 -> 0.00 GB, read 4.10 -> 4.10 GB, longest task 86 -> 26 s, most memory of a task 2416 -> 71 MB; with hot keys, at 1 GB of input CPU 594 -> 474 s, shuffle 5.10 -> 4.24 GB, spill 1.89 -> 0.00 GB, read 0.56 -> 0.56 GB, longest task 34 -> 11 s, most memory of a task 919 -> 185 MB.

@@ -133,8 +133,12 @@ def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tup
     names = [m.name for m in chosen]
     sums = [measure_sum(m, positive_only=True).alias(m.name) for m in chosen]
     bucket = F.pmod(F.xxhash64(*item), F.lit(buckets)).alias("_bucket")
+    # Rows gather by statement before they are summed: three sums a quotient are kept where its rows lie together, not in every task of
+    # the scan. The hash is no grouping key, so a part that one large statement fills is split, and a second stage adds its sums up.
+    used = dict.fromkeys([*keys, *item, *(c for m in chosen for c in (m.column, m.per) if c)])
+    rows = statements.filter(F.col(executions) > 0).select(*used, F.hash(*keys, *item).alias("_statement"))
     # Dealt out by tenant and bucket once, for the maxima and for the join: a hot tenant is spread over its buckets.
-    summed = statements.filter(F.col(executions) > 0).groupBy(*keys, *item).agg(*sums).select("*", bucket)
+    summed = rows.hint("rebalance", "_statement").groupBy(*keys, *item).agg(*sums).select("*", bucket)
     summed = summed.repartition(*keys, "_bucket")
     maxima = (
         summed.groupBy(*keys, "_bucket")

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,60 @@ def test_ratio_sums_do_not_depend_on_partitions(spark, frame):
         values.add(topk.topk_statements(df, cpu).first().value)
         values.add(float(topk.topk_statements_all(df, [cpu]).first().value))
     assert len(values) == 1
+
+
+def odd_statements(frame):
+    """Two keys with NULL parts, NULL statements and texts, rows that come twice, no or NULL executions, one statement with half of all rows."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", None]), rng.choice([1, 2, None]), rng.choice([None, *range(60)]), rng.choice(["t", None]),
+             rng.choice([None, 0, 1, 3, 7]), rng.choice([None, -5, 0, rng.randrange(1, 10**6)])) for _ in range(800)]
+    hot = [("a", 1, 5, "t", 3, 10 + i) for i in range(900)]
+    return frame("bundle_id STRING, con_id INT, sql_id INT, sql_text STRING, executions BIGINT, cpu_time BIGINT", [*rows, *rows[:99], *hot])
+
+
+def plain_first(rows, per, k=5):
+    """The first ``k`` of each tenant by sums of positive values in whole millionths of millionths, NULL last among equals."""
+    sums = {}
+    for bundle, con, sql, words, executions, value in rows:
+        if (executions or 0) > 0:
+            found = sums.setdefault((bundle, con), {}).setdefault((sql, words), [])
+            found += [Fraction(value, executions if per else 1)] if (value or 0) > 0 else []
+    nulls_last = lambda item: tuple((x is None, x or 0) for x in item)
+    first = {}
+    for tenant, of in sums.items():
+        known = [(-round(float(sum(v)), 6), nulls_last(item), item) for item, v in of.items() if v]
+        first |= {(*tenant, place): (*item, -value) for place, (value, _, item) in enumerate(sorted(known, key=lambda x: x[:2])[:k], 1)}
+    return first
+
+
+@pytest.mark.parametrize("advisory", ["64m", "1k"])
+def test_odd_statements_equal_plain_sums(spark, frame, advisory):
+    """With parts of 1 kB the large statement's rows are split among tasks."""
+    df = odd_statements(frame)
+    rows, name = [tuple(r) for r in df.collect()], "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    chosen = [Measure("cpu", "cpu_time"), Measure("cpu a run", "cpu_time", "executions")]
+    spark.conf.set(name, advisory)
+    try:
+        found = topk.topk_statements_all(df.repartition(7), chosen, keys=("bundle_id", "con_id")).collect()
+    finally:
+        spark.conf.unset(name)
+    for m in chosen:
+        got = {(r.bundle_id, r.con_id, r.count_sql): (r.sql_id, r.sql_text, float(r.value)) for r in found if r.measure == m.name}
+        want = plain_first(rows, m.per)
+        assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+        assert all(v[2] == pytest.approx(want[k][2], abs=2e-6) for k, v in got.items())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_scan_keeps_no_sums(spark):
+    """Rows gather by statement first: the stage that reads them has no aggregation, and its parts may be split."""
+    plan = plan_of(topk.topk_statements_all(statements(spark, [1], 20)))
+    gathered = [i for i, line in enumerate(plan) if "REBALANCE_PARTITIONS_BY_COL" in line]
+    assert gathered
+    for i in gathered:
+        depth = len(plan[i]) - len(plan[i].lstrip(" :+-"))
+        below = [line for line in plan[i + 1:] if len(line) - len(line.lstrip(" :+-")) > depth][:4]
+        assert not any("Aggregate" in line for line in below) and "partial_sum" in plan[i - 2] + plan[i - 1]

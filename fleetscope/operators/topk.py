topk_all_statement_measures: sums are dealt out once for maxima and join

Symptom: the query spills in the scan's tasks, and beyond that every statement's 26 sums are made twice and go through three wide shuffles.
Evidence: 36 million line items, 60 times sf0.1 in mixed order (0.8 GB, local, 6 cores, 450 MB of execution memory a task, 100 shuffle partitions, event log), before this and the commit below it: 3053 MB of rows spilled as 890 MB on disk, up to 503 MB in a task; the branch of the maxima drops the statement's columns and so gets an exchange of its own (503 MB), and the NULL-safe join deals the sums out again (568 MB after 572 MB).
Fix: the tenant is one struct whose NULL parts compare as equal, and the bucket is made above the exchange from the statement's columns, so both branches read one exchange and the join needs no further one; rows gather by statement first, as the commit below does.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 696 -> 435 s, shuffle 4.93 -> 4.33 GB, spill 3.45 -> 0.00 GB, read 0.58 -> 0.58 GB, longest task 47 -> 12 s, most memory of a task 885 -> 151 MB; at 6 GB of input CPU 3542 -> 1836 s, shuffle 38.92 -> 29.75 GB, spill 27.69 -> 0.00 GB, read 4.10 -> 4.10 GB, longest task 80 -> 25 s, most memory of a task 2416 -> 71 MB; with hot keys, at 1 GB of input CPU 614 -> 424 s, shuffle 5.10 -> 4.24 GB, spill 1.89 -> 0.00 GB, read 0.56 -> 0.56 GB, longest task 38 -> 11 s, most memory of a task 906 -> 185 MB.

@@ -132,30 +132,29 @@ def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tup
     chosen = list(measures)
     names = [m.name for m in chosen]
     sums = [measure_sum(m, positive_only=True).alias(m.name) for m in chosen]
-    bucket = F.pmod(F.xxhash64(*item), F.lit(buckets)).alias("_bucket")
+    bucket = F.pmod(F.xxhash64(*item), F.lit(buckets))
     # Rows gather by statement before they are summed: three sums a quotient are kept where its rows lie together, not in every task of
     # the scan. The hash is no grouping key, so a part that one large statement fills is split, and a second stage adds its sums up.
     used = dict.fromkeys([*keys, *item, *(c for m in chosen for c in (m.column, m.per) if c)])
     rows = statements.filter(F.col(executions) > 0).select(*used, F.hash(*keys, *item).alias("_statement"))
-    # Dealt out by tenant and bucket once, for the maxima and for the join: a hot tenant is spread over its buckets.
-    summed = rows.hint("rebalance", "_statement").groupBy(*keys, *item).agg(*sums).select("*", bucket)
-    summed = summed.repartition(*keys, "_bucket")
+    sums_of = rows.hint("rebalance", "_statement").groupBy(*keys, *item).agg(*sums)
+    # Dealt out by tenant and bucket once, for the maxima and for the join: a hot tenant is spread over its buckets. The tenant is
+    # one struct, whose NULL parts compare as equal, and the bucket needs the statement's columns, so both sides read one shuffle.
+    tenant = ["_tenant"] if keys else []
+    of_tenant = [F.struct(*keys).alias("_tenant")] if keys else []
+    summed = sums_of.select(*of_tenant, *item, *[F.col(f"`{n}`") for n in names]).repartition(*tenant, bucket)
+    summed = summed.withColumn("_bucket", bucket)
     maxima = (
-        summed.groupBy(*keys, "_bucket")
+        summed.groupBy(*tenant, "_bucket")
         .agg(*[F.max(f"`{n}`").alias(n) for n in names])
-        .groupBy(*keys)
+        .groupBy(*tenant)
         .agg(*[F.sort_array(F.collect_list(f"`{n}`"), asc=False).alias(n) for n in names])
     )
     # A missing k-th maximum gives NULL: the tenant has few statements, all of them stay.
-    bounds = maxima.select(
-        *[F.col(c).alias(f"_of_{c}") for c in keys],
-        F.array(*[F.get(f"`{n}`", F.lit(k - 1)).cast("double") for n in names]).alias("_bounds"),
-    )
+    bounds = maxima.select(*tenant, F.array(*[F.get(f"`{n}`", F.lit(k - 1)).cast("double") for n in names]).alias("_bounds"))
     if keys:
-        each = bounds.withColumn("_of_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))))
-        # NULL-safe, so that both sides read one shuffle of the sums: no side gets a NULL filter.
-        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
-        joined = summed.join(each, [*same, F.col("_bucket") == F.col("_of_bucket")], "left")
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("_bucket")
+        joined = summed.join(bounds.select("*", each), ["_tenant", "_bucket"], "left")
     else:
         joined = with_value(summed, bounds, "_bounds", "_bounds", required=False)
     entries = [
@@ -165,7 +164,8 @@ def topk_statements_all(statements: DataFrame, measures: Iterable[Measure] = tup
         )
         for i, n in enumerate(names)
     ]
-    tall = joined.select(*keys, *item, F.inline(F.array_compact(F.array(*entries))))
+    of_keys = [F.col("_tenant").getField(c).alias(c) for c in keys]
+    tall = joined.select(*of_keys, *item, F.inline(F.array_compact(F.array(*entries))))
     return top_per_group(tall, ["measure", *keys], "value", k, item)
 
 

@@ -153,3 +153,13 @@ def test_scan_keeps_no_sums(spark):
         depth = len(plan[i]) - len(plan[i].lstrip(" :+-"))
         below = [line for line in plan[i + 1:] if len(line) - len(line.lstrip(" :+-")) > depth][:4]
         assert not any("Aggregate" in line for line in below) and "partial_sum" in plan[i - 2] + plan[i - 1]
+
+
+def test_sums_are_dealt_out_once(spark):
+    """The maxima and the join read one shuffle of the sums, without a further one for the join."""
+    df = topk.topk_statements_all(statements(spark, [1, 2, None], 60))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    dealt = [line for line in final.splitlines() if "hashpartitioning(_tenant" in line and "pmod(xxhash64" in line]
+    assert sum("ReusedExchange" in line for line in dealt) == 1 and sum("REPARTITION_BY_COL" in line for line in dealt) == 2

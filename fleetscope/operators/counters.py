counter_variance_filter: slices and rows read one shuffle of the totals

Symptom: the query shuffles some five times what it reads, and totals go through two exchanges that hold the same rows.
Evidence: 36 million line items, 60 times sf0.1 in mixed order (0.8 GB, local, 6 cores, 100 shuffle partitions, event log): 4164 MB written, 4943 MB read. 1581 MB of it is written while the query builds its counters, which stays; then the slices' table (528 MB) and the rows beside it (798 MB) each get an exchange and the work below it, with the series' columns beside its struct and 8 random bytes of hash in every row, and the slices move twice (923 and 334 MB).
Fix: totals are dealt out once by series and slice, with the series' columns in its struct only; the hash and the slice are made above the exchange, and the slice is never NULL, so that no filter below tells the branches apart. The slices' exchanges leave the hash out too. Nothing is broadcast by hint.
Effect: at 1 GB of input CPU 956 -> 808 s, shuffle 4.10 -> 3.16 GB, spill 0.00 -> 0.00 GB, read 0.42 -> 0.42 GB, longest task 18 -> 18 s, most memory of a task 1275 -> 1275 MB; at 6 GB of input CPU 4664 -> 3651 s, shuffle 24.65 -> 18.98 GB, spill 1.39 -> 0.00 GB, read 3.14 -> 3.14 GB, longest task 16 -> 13 s, most memory of a task 1510 -> 1208 MB; with hot keys, at 1 GB of input CPU 930 -> 792 s, shuffle 3.57 -> 2.71 GB, spill 0.00 -> 0.00 GB, read 0.40 -> 0.40 GB, longest task 20 -> 18 s, most memory of a task 1040 -> 1040 MB.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from fleetscope.functions.times import minute_label
 from fleetscope.operators.ordered import (
-    SERIES, SERIES_KEY, SLICE, SLICE_KEY, fill_forward, neighbours_within, next_head, with_slices,
+    HASH, SERIES, SERIES_KEY, SLICE, SLICE_KEY, fill_forward, neighbours_within, next_head,
 )
 from fleetscope.operators.reshape import listed
 from fleetscope.session import checkpointed
@@ -18,6 +18,8 @@ from fleetscope.session import checkpointed
 SERIES_KEYS = ("con_id", "dbid", "instance_number", "stat_name")
 # Snapshots per slice. A series has one row per snapshot, so this bounds every window group.
 SLICE_SNAPSHOTS = 4096
+# Slice of rows without a snapshot: before all others, as NULL would be.
+NO_SLICE = -(2**63)
 
 
 def snapshot_range(snapshots: DataFrame, begin, end, keys: Sequence[str] = ("dbid", "snap_id")) -> DataFrame:
@@ -59,6 +61,22 @@ def _distance(column: str, base: str, scale: int | None) -> tuple[Column, Column
     return gap.cast("double"), F.try_multiply(gap, F.lit(Decimal(10**scale))).try_cast("decimal(18,0)")
 
 
+def _dealt(df: DataFrame, *parts: Column) -> DataFrame:
+    """Deal rows out by series and ``parts``; the series' hash is made again after the shuffle, not sent."""
+    return df.repartition(F.xxhash64(SERIES), SERIES, *parts).withColumn(HASH, F.xxhash64(SERIES))
+
+
+def _cut(totals: DataFrame, series: Sequence[str], order: str, slice_snapshots: int, *more: str) -> DataFrame:
+    """Totals dealt out by series and slice. The series' columns travel in its struct only, except those named in ``more``.
+
+    The slice is made from ``order`` above the shuffle. So the slices' table and the rows beside it need the same columns and read one
+    shuffle, as long as the result shows no others. It is never NULL, because a join would filter such a key below the shuffle.
+    """
+    rest = [c for c in totals.columns if c not in series or c in (order, *more)]
+    place = F.coalesce(_slice_of(order, slice_snapshots), F.lit(NO_SLICE))
+    return _dealt(totals.select(F.struct(*series).alias(SERIES), *rest), place).withColumn(SLICE, place)
+
+
 def _slice_table(cut: DataFrame, place: str, value: str) -> DataFrame:
     """One row per (series, slice): first and last value, and the moments of the values' distance from the slice's smallest.
 
@@ -89,7 +107,7 @@ def _with_variance(slices: DataFrame, scale: int | None) -> DataFrame:
     series is exactly 0 and a series of one value is NULL.
     """
     whole = W.partitionBy(*SERIES_KEY)
-    placed = slices.withColumn("_of", F.min("_base").over(whole))
+    placed = _dealt(slices.drop(HASH)).withColumn("_of", F.min("_base").over(whole))
     plain, steps = _distance("_base", "_of", scale)
     count = F.col("_n").cast("decimal(20,0)")
     moved = placed.withColumns({
@@ -131,7 +149,7 @@ def counter_deltas(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, order
     ``ties`` order the rows of one snapshot where the series has several.
     """
     delta = f"{value}_delta"
-    cut = with_slices(totals, series, _slice_of(order, slice_snapshots))
+    cut = _cut(totals, series, order, slice_snapshots, value, *ties)
     place = order
     if ties:
         place = "_place"
@@ -143,7 +161,9 @@ def counter_deltas(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, order
     )
     if not keep_constant:
         borders = borders.filter(F.col("waits_var") != 0)
-    joined = neighbours_within(cut, place, value).join(borders, list(SLICE_KEY))
+    # Rows without a snapshot count in the variance only.
+    placed = cut.filter(F.col(order).isNotNull())
+    joined = neighbours_within(placed, place, value).join(_dealt(borders.drop(HASH), F.col(SLICE)), list(SLICE_KEY))
     following = F.when(F.col("_inside"), F.col("_next")).otherwise(F.col("_border"))
     change = following - F.col(value)
     if fill_last:
@@ -155,7 +175,8 @@ def counter_deltas(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, order
     elif on_reset != "keep":
         raise ValueError("on_reset is 'keep' or 'null'")
     variance = F.col("waits_var") if var_round is None else F.round("waits_var", var_round)
-    return joined.withColumn(delta, change).withColumn("waits_var", variance).select(*totals.columns, delta, "waits_var")
+    shown = [F.col(c) if c in cut.columns else F.col(SERIES).getField(c).alias(c) for c in totals.columns]
+    return joined.withColumn(delta, change).withColumn("waits_var", variance).select(*shown, delta, "waits_var")
 
 
 def _slice_of(order: str, slice_snapshots: int) -> Column:
@@ -180,7 +201,7 @@ def counter_history(facts: DataFrame, snapshots: DataFrame, begin, end, value: s
 def series_variance(totals: DataFrame, series: Sequence[str] = SERIES_KEYS, value: str = "wait_time",
                     order: str = "snap_id", slice_snapshots: int = SLICE_SNAPSHOTS) -> DataFrame:
     """(series, row_count, waits_var) of every series that is not constant."""
-    cut = with_slices(totals, series, _slice_of(order, slice_snapshots))
+    cut = _cut(totals, series, order, slice_snapshots, value)
     slices = _with_variance(_slice_table(cut, order, value), _scale(totals, value))
     found = slices.groupBy(*SERIES_KEY).agg(F.sum("_rows").alias("row_count"), F.max("waits_var").alias("waits_var"))
     return found.filter(F.col("waits_var") != 0).select(f"{SERIES}.*", "row_count", "waits_var")

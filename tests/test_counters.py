@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from statistics import variance
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,36 @@ def test_chart_from_stored_rows_equals_chart_from_history(frame):
     assert sorted(map(tuple, stored.select(columns).collect())) == sorted(map(tuple, points.select(columns).collect()))
     assert [r.stat_name for r in again.orderBy("series_rank").collect()] == ["a", "c"]
     assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_rows_without_snapshot_count_in_the_variance_only(frame):
+    """NULL snapshots, values and keys, with slices of any width: such rows are not shown, their values are part of the variance."""
+    rng = random.Random(5)
+    rows = []
+    for con, stat in ((1, "a"), (None, "a"), (1, None), (2, "b")):
+        snaps = rng.sample(range(-40, 40), 25)
+        rows += series([(s, rng.choice([None, *range(500)])) for s in snaps], con=con, stat=stat)
+        rows += series([(None, rng.choice([None, 7, 900])) for _ in range(4)], con=con, stat=stat)
+    want = {}
+    for con, stat in {(r[0], r[3]) for r in rows}:
+        own = [r for r in rows if (r[0], r[3]) == (con, stat)]
+        shown = sorted((r[4], r[5]) for r in own if r[4] is not None)
+        spread = variance([r[5] for r in own if r[5] is not None])
+        for (snap, value), (_, after) in zip(shown, [*shown[1:], (None, None)], strict=True):
+            want[con, stat, snap] = (value, None if None in (value, after) else after - value, pytest.approx(spread))
+    for width in (1, 3, 4096):
+        out = counters.counter_deltas(frame(TOTALS, rows).repartition(5), slice_snapshots=width).collect()
+        assert {(r.con_id, r.stat_name, r.snap_id): (r.wait_time, r.wait_time_delta, r.waits_var) for r in out} == want
+        assert len(out) == len(want)
+
+
+def test_slices_and_rows_read_one_shuffle(frame):
+    rows = series([(s, s * s) for s in range(30)]) + series([(s, 3 * s) for s in range(30)], stat="t")
+    totals = frame(TOTALS, rows).groupBy("con_id", "dbid", "instance_number", "stat_name", "snap_id").agg(
+        F.sum("wait_time").alias("wait_time")).filter("snap_id IS NOT NULL")
+    out = counters.counter_deltas(totals, slice_snapshots=7).select("stat_name", "snap_id", "wait_time", "waits_var")
+    assert out.count() == 60 and len(out.collect()) == 60
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    dealt = [line for line in final.splitlines() if "hashpartitioning(xxhash64(_series" in line and "pmod(snap_id" in line]
+    assert len(dealt) == 2 and sum("ReusedExchange" in line for line in dealt) == 1
